@@ -1,0 +1,201 @@
+"""Whole flows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ragspark.operators import quality, requests
+from ragspark.operators.embedding import hashing_embedder, lexical_scorer
+from ragspark.operators.rerank import rerank
+from ragspark.plans import books, journals, passages, web
+from ragspark.registry import query, tables
+from ragspark.registry import sql as q
+from ragspark.registry.retrieval_queries import HYBRID, NEAR
+from ragspark.registry.text_queries import CHUNK_SQL
+
+SCORED = f"""{q.FILTERED}, source_texts as (select query_id * 1000000 + pos as doc, content from filtered), {CHUNK_SQL},
+parts as (select f.query_id, f.pos::BIGINT * 1048576 + m.part as chunk_key, f.url as source, m.chunk_text, m.token_estimate,
+                 f.query_id * 10000000000000 + f.pos::BIGINT * 1048576 + m.part as part_id
+          from merged_chunks m join filtered f on m.doc = f.query_id * 1000000 + f.pos),
+_slots_part_id as ({q.slots('parts', 'part_id', 'chunk_text')}), part_vectors as ({q.hashed('parts', 'part_id', 'chunk_text')}),
+_slots_query_id as ({q.slots('queries', 'query_id', 'query')}), query_vectors as ({q.hashed('queries', 'query_id', 'query')}),
+measured as (select p.*, v.v::FLOAT[]::DOUBLE[] as v, round({q.cosine('v.v::FLOAT[]::DOUBLE[]', 'a.v::FLOAT[]::DOUBLE[]')}, 9) as raw
+             from parts p join part_vectors v using (part_id) join query_vectors a using (query_id)),
+scored as (select * exclude (raw), round(raw, 4) as similarity from measured where raw >= 0.35)"""
+
+CONTEXT = f"""{SCORED},
+placed as (select *, row_number() over (partition by query_id order by similarity desc, chunk_key) as n from scored),
+close as (select b.query_id, b.n, list(a.chunk_key) as earlier from placed a join placed b on a.query_id = b.query_id and a.n < b.n
+          where round({q.cosine('a.v', 'b.v')}, 9) > 0.9 group by all),
+prune_walk as (
+  select distinct query_id, 0::BIGINT as n, []::BIGINT[] as kept_keys from placed union all
+  select w.query_id, p.n, case when list_has_any(w.kept_keys, coalesce(c.earlier, []::BIGINT[])) then w.kept_keys
+                               else list_append(w.kept_keys, p.chunk_key) end
+  from prune_walk w join placed p on p.query_id = w.query_id and p.n = w.n + 1
+  left join close c on c.query_id = p.query_id and c.n = p.n),
+pruned as (select query_id, unnest(kept_keys) as chunk_key from prune_walk w
+           where n = (select max(n) from placed p where p.query_id = w.query_id)),
+ranked as (select * from (select s.query_id, s.chunk_key, s.source, s.chunk_text, s.token_estimate, s.similarity, r.rerank_score,
+             row_number() over (partition by s.query_id order by r.rerank_score desc, s.similarity desc, s.chunk_key)::INT as rank
+           from pruned join scored s using (query_id, chunk_key) join (
+             select query_id, chunk_key, round({q.lexical('query', 'chunk_text')} - {q.penalty('chunk_text')}, 4) as rerank_score
+             from scored join queries using (query_id)) r using (query_id, chunk_key)) where rank <= 6),
+flags as (select *, {q.forum_source('source')} as is_forum, {q.noise('chunk_text')} as is_noise,
+                 {q.code_share('chunk_text')} >= 0.35 as is_code from ranked),
+{q.FINAL_CONTEXT}"""
+
+
+@query("chunk_similarity", f"with recursive {SCORED} select query_id, chunk_key, token_estimate, round(similarity, 4) as similarity from scored")
+def _(spark, d):
+    results = tables.web_results(spark, d)
+    filtered = quality.filter_with_fallback(results)
+    scored = web.scored_chunks(filtered, web.query_table(results), hashing_embedder(), 0.35)
+    return scored.select("query_id", "chunk_key", "token_estimate", "similarity")
+
+
+@query("reranked_chunks", f"with recursive {CONTEXT} select query_id, chunk_key, rerank_score, rank from ranked")
+def _(spark, d):
+    results = tables.web_results(spark, d)
+    asked = web.query_table(results)
+    scored = web.scored_chunks(quality.filter_with_fallback(results), asked, hashing_embedder(), 0.35)
+    return rerank(web.pruned_chunks(scored), asked, lexical_scorer).select("query_id", "chunk_key", "rerank_score", "rank")
+
+
+@query("web_context", f"with recursive {CONTEXT} select * from final_context")
+def _(spark, d):
+    return web.web_context(tables.web_results(spark, d))
+
+
+def _requests(spark, d):
+    """Every vector's request: its text, and its book - or none, or an unknown one."""
+    i = F.col("vec_id")
+    return tables.table(spark, d, "embeddings").select(
+        i.alias("query_id"),
+        F.when(i % 10 == 0, " ").otherwise(F.concat(F.lit("question "), i.cast("string"))).alias("query"),
+        F.when(i % 10 == 1, "").when(i % 10 == 2, "book-99")
+        .otherwise(F.concat(F.lit("book-"), F.col("label").cast("string"))).alias("book"))
+
+
+def _vector_of_request(spark, d):
+    vectors = tables.passage_queries(spark, d).select(F.col("query_id"), F.col("embedding").alias("_v"))
+
+    def embed(df, text, out="embedding"):
+        return df.join(vectors.select("query_id", F.col("_v").alias(out)), "query_id")
+    return embed
+
+
+@query("passage_answers", f"""with {q.PASSAGES}, asked as (
+  select vec_id as query_id, case when vec_id % 10 <> 0 then 'question ' || vec_id end as query,
+    case vec_id % 10 when 1 then null when 2 then 'book-99' else 'book-' || label end as book from embeddings),
+n as (
+  select query_id, count(*) as n, round(max(similarity), 4) as top from (
+    select p.query_id, {q.cosine('p.v', 'c.v')} as similarity,
+      row_number() over (partition by p.query_id order by {q.cosine('p.v', 'c.v')} desc, c.chunk_id) as rank
+    from asked a join passage_queries p using (query_id) join collections c on c.book_uid = a.book where a.query is not null)
+  where rank <= 5 group by 1 having max(similarity) >= 0.3)
+select query_id, book as book_uid, case when n is null then 'error' else 'success' end as status,
+  case when query is null then 'malformed input: query_text must be a non-empty string'
+       when book is null then 'missing book selection' when book = 'book-99' then 'missing embeddings for book ''book-99'''
+       when n is null then 'no sufficiently relevant content found' end as error,
+  coalesce(top, 0.0) as confidence, coalesce(n, 0) as total_results, coalesce(n_name, 'Unknown Title') as book_title
+from asked left join n using (query_id) left join nation on book = 'book-' || n_nationkey""")
+def _(spark, d):
+    titles = tables.table(spark, d, "nation").select(
+        F.concat(F.lit("book-"), F.col("n_nationkey").cast("string")).alias("book_uid"), F.col("n_name").alias("title"))
+    outcome, _records = passages.retrieve(
+        _requests(spark, d), tables.collections(spark, d), titles, _vector_of_request(spark, d), "test-model",
+        F.expr("timestamp'2026-01-02 03:04:05'"))
+    return outcome
+
+
+@query("passage_records", f"""with {q.PASSAGES}, {NEAR} select query_id, 'question ' || query_id as query, any_value(book_uid) as book,
+  count(*)::INT as listed, arg_min(chunk_id, rank) as first_chunk, round(max(similarity), 4) as top_similarity_score
+from gated where query_id % 10 not in (0, 1, 2) group by query_id""")
+def _(spark, d):
+    titles = tables.table(spark, d, "nation").select(
+        F.lit("book").alias("book_uid"), F.col("n_name").alias("title")).limit(1)
+    _outcome, records = passages.retrieve(
+        _requests(spark, d), tables.collections(spark, d), titles, _vector_of_request(spark, d), "test-model",
+        F.expr("timestamp'2026-01-02 03:04:05'"))
+    return records.select("query_id", "query", "book", F.size("results").alias("listed"),
+                          F.get("results", F.lit(0))["chunk_id"].alias("first_chunk"), "summary.top_similarity_score")
+
+
+@query("book_index")
+def _(spark, d):
+    docs = tables.table(spark, d, "documents").select(
+        F.concat(F.lit("book-"), F.col("doc_id").cast("string")).alias("book_uid"), "text")
+    return passages.book_vectors(docs, hashing_embedder())
+
+
+BOOK_HITS = f"""asked as (select vec_id as query_id, 'wish ' || vec_id || case when vec_id % 9 = 0 then repeat('.', 600) else '' end as query,
+    case when vec_id % 4 = 0 then 0 else vec_id % 8 end as top_k, list_reverse(embedding)::DOUBLE[] as v from embeddings),
+shelf as (select vec_id as book_id, embedding::DOUBLE[] as v, 'title ' || vec_id as title, case when label > 3 then 'author ' || label end as author,
+    'label ' || label as category, 'summary ' || vec_id as summary from embeddings),
+nearest as (select * from (select a.query_id, a.top_k, b.*, round({q.cosine('a.v', 'b.v')}, 9) as s,
+    row_number() over (partition by a.query_id order by round({q.cosine('a.v', 'b.v')}, 9) desc, b.book_id) as place
+  from asked a, shelf b where length(a.query) <= 500) where place <= case when top_k < 1 then 5 else top_k end and s >= 0.3)"""
+
+
+def _book_flow(spark, d):
+    rows = tables.table(spark, d, "embeddings")
+    i = F.col("vec_id")
+    asked = rows.select(
+        i.alias("query_id"),
+        F.concat(F.lit("wish "), i.cast("string"), F.when(i % 9 == 0, F.repeat(F.lit("."), F.lit(600))).otherwise("")).alias("query"),
+        F.when(i % 4 == 0, 0).otherwise((i % 8).cast("int")).alias("top_k"),
+        F.reverse("embedding").alias("embedding"))
+    label = F.col("label").cast("string")
+    shelf = rows.select(
+        i.alias("book_id"), "embedding", F.concat(F.lit("title "), i.cast("string")).alias("title"),
+        F.when(F.col("label") > 3, F.concat(F.lit("author "), label)).alias("author"),
+        F.concat(F.lit("label "), label).alias("category"), F.concat(F.lit("summary "), i.cast("string")).alias("summary"))
+    return asked, books.recommend_by_vector(asked, shelf)
+
+
+@query("book_recommendation", f"""with {BOOK_HITS}
+select query_id, row_number() over (partition by query_id order by s desc, book_id)::INT as rank, book_id, title,
+  coalesce(author, 'Unknown') as author, category, summary, round(s, 4) as similarity_score, round(s * 100, 2) as match_percentage
+from nearest""")
+def _(spark, d):
+    return _book_flow(spark, d)[1]
+
+
+@query("book_recommendation_outcomes", f"""with {BOOK_HITS}, n as (select query_id, count(*) as n from nearest group by 1)
+select query_id, case when length(query) > 500 then 'error' else 'ok' end as status, coalesce(n, 0) as total,
+  case when length(query) > 500 then 'Query too long. Maximum 500 characters allowed'
+       when n is null then 'No recommendations found' else 'Recommendations fetched successfully' end as message
+from asked left join n using (query_id)""")
+def _(spark, d):
+    return books.outcomes(*_book_flow(spark, d))
+
+
+SHOWN = f"""{HYBRID}, open_ones as (select * from hybrid where is_oa),
+cut as (select * from (select * exclude (rank), row_number() over (partition by query_id order by citations desc, branch, place)::INT as rank
+        from open_ones) where rank <= 5)"""
+
+
+def _open_papers(spark, d):
+    rows = tables.papers(spark, d).withColumn("doi", F.format_string("10.9/%d", F.col("paper_id")))
+    # The paper's own number keeps the order of equal scores the same as in the SQL statement.
+    from ragspark.operators import papers
+    index_table = hashing_embedder()(papers.paper_text(rows), "text", "embedding")
+    return journals.recommend_papers(tables.queries(spark, d), index_table, hashing_embedder(), 5, "open_access")
+
+
+@query("paper_recommendation", f"""with {SHOWN}
+select query_id, rank, coalesce(nullif(title, ''), 'Untitled') as title, '10.9/' || paper_id as doi, year,
+  {q.strip('abstract')} as abstract, case when length({q.strip('abstract')}) > 320 then substr({q.strip('abstract')}, 1, 320) || '...'
+  else {q.strip('abstract')} end as summary, citations, publisher, is_oa, pdf,
+  coalesce(pdf, 'https://doi.org/10.9%2F' || paper_id) as source_url, round(s, 4) as similarity_score, round(s * 100, 2) as match_percentage
+from (select *, coalesce(citations::DOUBLE / nullif(max(citations) over (partition by query_id), 0), 0.0) as s from cut)""")
+def _(spark, d):
+    return _open_papers(spark, d)
+
+
+@query("paper_recommendation_outcomes", f"""with {SHOWN}, n as (select query_id, count(*) as n from cut group by 1)
+select query_id, case when n is null then 'no_results' else 'ok' end as status, coalesce(n, 0) as total,
+  case when n is null then 'No journals found matching your query.' else 'Journal recommendations fetched successfully' end as message
+from queries left join n using (query_id)""")
+def _(spark, d):
+    return journals.outcomes(tables.queries(spark, d), _open_papers(spark, d))

@@ -209,8 +209,12 @@ def _(spark, d):
         "doc_id", tx.collapse_whitespace(F.col("text")).alias("collapsed"))
 
 
-@query("tokenisation", f"""select doc_id, len({q.words('text')})::INT as words,
-  array_to_string({q.ordered_distinct(q.words('lower(text)'))}, ' ') as terms from documents""")
+@query("tokenisation", f"""
+with w as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) as i
+           from (select doc_id, {q.words('text')} as ws from documents)),
+first as (select doc_id, lower(w) as term, min(i) as place, count(*) as n from w group by all)
+select d.doc_id, coalesce(sum(n), 0)::INT as words, coalesce(string_agg(term, ' ' order by place), '') as terms
+from documents d left join first f using (doc_id) group by 1""")
 def _(spark, d):
     t = F.col("text")
     return tables.table(spark, d, "documents").select(
