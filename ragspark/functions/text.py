@@ -1,6 +1,7 @@
 """Text expressions. All are built-in functions, so they stay in the JVM and prune columns as usual.
 
-``(?U)`` makes Java's ``\\w``, ``\\b`` and ``\\s`` Unicode-aware.
+Word and space characters are spelled out as classes: Java's own ``\\w`` and ``\\s`` know ASCII only, and their Unicode
+mode is slower and counts combining marks as word characters.
 """
 
 from __future__ import annotations
@@ -12,10 +13,19 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import fixed_values as fv
 
-WORD = r"(?U)\w+"
-SPACE = r"[\s\x1c-\x1f]"
+WORD_CHAR = r"\p{L}\p{N}_"
+WORD = f"[{WORD_CHAR}]+"
+_SPACES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{_SPACES}]"
+_SPACE_IN_LINE = f"[{_SPACES}&&[^\\n]]"
+_SPACE_CHARS = "".join(
+    map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F,
+              0x3000]))
 LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
-CODE_LINE = r"(?U)^(def |class |function |#|//)|[{}]|\(\);|\bfor\b|\bwhile\b|\bif\b.*:|=>"
+CODE_LINE = (
+    r"^(def |class |function |#|//)|[{}]|\(\);|=>"
+    rf"|(?<![{WORD_CHAR}])(for|while)(?![{WORD_CHAR}])|(?<![{WORD_CHAR}])if(?![{WORD_CHAR}]).*:"
+)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,7 +38,7 @@ def strings(values) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def filled(text: Column) -> Column:
@@ -46,7 +56,7 @@ def token_estimate(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Whitespace-separated words in order, repeats kept."""
-    return F.filter(F.split(text, f"(?U){SPACE}+"), lambda w: w != "")
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -85,8 +95,8 @@ def pronoun_ratio(text: Column) -> Column:
 def has_structure(text: Column) -> Column:
     return (
         F.contains(text, F.lit("\n\n"))
-        | text.rlike(r"(?mdU)^\s*[-•*]\s+")
-        | text.rlike(r"(?U)\n[A-Z][A-Za-z\s]{3,}\n")
+        | text.rlike(f"(?md)^{SPACE}*[-•*]{SPACE}")
+        | text.rlike(rf"\n[A-Z][A-Za-z{_SPACES}]{{3,}}\n")
     )
 
 
@@ -95,7 +105,8 @@ def is_forum_source(url: Column) -> Column:
 
 
 def has_forum_noise(text: Column) -> Column:
-    return F.lower(text).rlike("|".join(fv.FORUM_MARKERS))
+    markers = strings(fv.FORUM_MARKERS)
+    return let(F.lower(text), lambda t: F.exists(markers, lambda m: F.contains(t, m)))
 
 
 def has_code_mixture(text: Column) -> Column:
@@ -114,16 +125,16 @@ def answer_penalty(text: Column) -> Column:
 
 def sentence_blocks(text: Column) -> Column:
     """Sentence-like blocks: newline runs collapse, then the text breaks between a full stop and a capital."""
-    parts = F.split(F.regexp_replace(text, "\n+", "\n"), r"(?U)(?<=\.)\s+(?=[A-Z])")
+    parts = F.split(F.regexp_replace(text, "\n+", "\n"), rf"(?<=\.){SPACE}+(?=[A-Z])")
     return F.filter(F.transform(parts, strip), lambda b: b != "")
 
 
 def clean_text(text: Column) -> Column:
     """Whitespace, blank lines, line ends, space before punctuation, control characters, outer whitespace."""
     out = F.regexp_replace(text, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"(?U)\n\s*\n", "\n")
-    out = F.regexp_replace(out, r"(?mdU)^[^\S\n]+|[^\S\n]+$", "")
-    out = F.regexp_replace(out, r"(?U)\s+([.,!?;:])", "$1")
+    out = F.regexp_replace(out, rf"\n{SPACE}*\n", "\n")
+    out = F.regexp_replace(out, f"(?md)^{_SPACE_IN_LINE}+|{_SPACE_IN_LINE}+$", "")
+    out = F.regexp_replace(out, rf"{SPACE}+([.,!?;:])", "$1")
     out = F.regexp_replace(out, r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]", "")
     return strip(out)
 

@@ -38,7 +38,7 @@ def term_counts(text: Column) -> Column:
             F.get(ws, at).alias("term"),
             (F.coalesce(F.get(ss, j + 1), F.size(ws)) - at).alias("tf"),
         )))
-    return tx.let(F.array_sort(tx.words(text)), runs)
+    return tx.let(F.sort_array(tx.words(text)), runs)
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,12 +60,15 @@ def corpus_numbers(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Bm25Index:
-    """Index of a corpus. Two aggregates of one row each come back to the driver; the term table is materialised."""
-    n, mean_length = corpus_numbers(docs, text).first()
-    posted = postings(docs, key, text)
+    """Index of a corpus. The texts are read once, to write the postings; the rest comes from those.
+
+    Postings and terms lie in the shared checkpoint folder. Three numbers come back to the driver.
+    """
+    posted = cut_lineage(postings(docs, key, text))
+    n = docs.count()
     terms = cut_lineage(term_statistics(posted, n))
-    mean_idf = terms.agg(F.avg("idf")).first()[0]
-    return Bm25Index(posted, terms, n, mean_length or 0.0, mean_idf or 0.0)
+    length, mean_idf = posted.agg(F.sum("tf")).first()[0] or 0, terms.agg(F.avg("idf")).first()[0] or 0.0
+    return Bm25Index(posted, terms, n, length / n if n else 0.0, mean_idf)
 
 
 def floored_idf(index: Bm25Index) -> Column:
@@ -101,7 +104,7 @@ def search_filled(
 
     The first 2k documents of the corpus are enough to fill any query, so they are handed out slot by slot.
     """
-    hits = search(queries, index, k, key, query)
+    hits = cut_lineage(search(queries, index, k, key, query))
     if index.mean_idf <= 0:
         raise ValueError("filling needs a corpus whose mean idf is positive")
     counted = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")

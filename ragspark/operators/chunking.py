@@ -16,8 +16,8 @@ from ragspark.functions import text as tx
 
 _CHUNK = "struct<text:string,tok:int>"
 _BLOCK = "struct<text:string,tok:int,upto:int>"
-_WORD = "'(?U)\\\\w+'"
-_SPACE = "'(?U)[\\\\s\\\\x1c-\\\\x1f]+'"
+_WORD = "'" + tx.WORD.replace("\\", "\\\\") + "'"
+_SPACE = "'" + (tx.SPACE + "+").replace("\\", "\\\\") + "'"
 
 # A block over the maximum is cut every so many whitespace words and emitted at once.
 _PIECES = f"""
@@ -103,7 +103,7 @@ def text_blocks(df: DataFrame, text: str, out: str = "blocks") -> DataFrame:
 
 def window_chunks(df: DataFrame, text: str, out: str = "chunks") -> DataFrame:
     """Adds ``out``: overlapping chunks of 200-300 tokens as ``array<struct<text,tok,section>>``."""
-    folded = text_blocks(df, text, "_blocks").withColumn("_raw", F.expr(_WINDOWS.format(blocks="_blocks")))
+    folded = text_blocks(df, text, "_blocks").withColumn("_raw", F.expr(_WINDOWS.replace("{blocks}", "_blocks")))
     numbered = F.transform(
         F.col("_raw"),
         lambda c, i: F.struct(c["text"].alias("text"), c["tok"].alias("tok"), i.alias("section")),
@@ -113,7 +113,7 @@ def window_chunks(df: DataFrame, text: str, out: str = "chunks") -> DataFrame:
 
 def merge_small(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     """Joins chunks below the minimum to their predecessor, else to their successor, within one array."""
-    return df.withColumn(chunks, F.expr(_MERGE.format(chunks=chunks)))
+    return df.withColumn(chunks, F.expr(_MERGE.replace("{chunks}", chunks)))
 
 
 def exploded(df: DataFrame, keep: list[str], array: Column, position: str, value: str) -> DataFrame:

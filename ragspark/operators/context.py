@@ -9,6 +9,7 @@ from ragspark.functions import fixed_values as fv
 from ragspark.functions import scalars as sc
 from ragspark.functions import text as tx
 from ragspark.operators.ranking import token_budget
+from ragspark.session import cut_lineage
 
 COMPRESSED, PASSED = "compressed", "passthrough"
 
@@ -60,17 +61,20 @@ def compress(chunks: DataFrame) -> DataFrame:
 def final_context(chunks: DataFrame) -> DataFrame:
     """Compressed or passed-through blocks ``(query_id, mode, block, text, source, confidence)``.
 
-    ``chunks`` are the reranked rows of each query with their ``rank``, a handful per query.
+    ``chunks`` are a query's reranked rows, unique by ``rank``. Each text is inspected once; what the decisions need
+    is kept in narrow rows in the shared checkpoint folder, and the texts join only the rows that were picked.
     """
-    flags = with_signals(chunks)
-    modes = compression_decision(flags).select("query_id", "mode")
-    routed = flags.join(modes, "query_id")
+    slim = cut_lineage(with_signals(chunks).select(
+        "query_id", "rank", "token_estimate", "rerank_score", "is_forum", "is_noise", "is_code"))
+    modes = compression_decision(slim).select("query_id", "mode")
+    routed = slim.join(modes, "query_id")
     picked = compress(routed.where(F.col("mode") == COMPRESSED)).unionByName(routed.where(F.col("mode") == PASSED))
     block = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
-    return picked.select(
+    numbered = picked.select("query_id", "rank", "mode", block.alias("block"))
+    return chunks.join(numbered, ["query_id", "rank"]).select(
         "query_id",
         "mode",
-        block.alias("block"),
+        "block",
         F.col("chunk_text").alias("text"),
         "source",
         sc.confidence(F.col("rerank_score"), F.col("similarity")).alias("confidence"),

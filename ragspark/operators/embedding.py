@@ -78,7 +78,7 @@ def lexical_scorer(query: Column, text: Column) -> Column:
     """Saturating term counts of the query's keywords in the text, 0 to 2.5 per keyword."""
     def score(ts: Column) -> Column:
         def add(total: Column, k: Column) -> Column:
-            n = F.size(F.filter(ts, lambda t: t == k))
-            return total + n * 2.5 / (n + 1.5)
+            count = F.size(ts) - F.size(F.array_remove(ts, k))
+            return total + tx.let(count, lambda n: n * 2.5 / (n + 1.5))
         return F.aggregate(tx.query_keywords(query), F.lit(0.0), add)
     return tx.let(tx.tokens(text), score)

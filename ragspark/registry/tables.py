@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragspark.functions import text as tx
+from ragspark.sources.files import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages", "embeddings", "part") else rows
 
 
 def queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,7 +27,7 @@ def web_results(spark: SparkSession, folder: str) -> DataFrame:
     """
     asked = queries(spark, folder)
     n = asked.count()
-    docs = table(spark, folder, "documents")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
     host = F.when(F.col("source") == "src11", "stackoverflow.com").otherwise(F.concat("source", F.lit(".example.com")))
     i, content = F.col("doc_id"), F.col("text")
     content = F.when(i % 3 == 0, F.replace(content, F.lit("\n"), F.lit("\n\n"))).otherwise(content)
@@ -40,12 +44,11 @@ def web_results(spark: SparkSession, folder: str) -> DataFrame:
         ((i * 37 % 100) / 100.0).alias("score"),
         content.alias("content"),
     )
-    return rows.join(asked, "query_id")
+    return spread(rows).join(asked, "query_id")
 
 
 def context_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Every web result as one reranked chunk."""
-    from ragspark.functions import text as tx
     i = F.col("doc_id")
     return web_results(spark, folder).select(
         "query_id",
