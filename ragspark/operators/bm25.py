@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragspark.functions import fixed_values as fv
@@ -76,13 +76,11 @@ def floored_idf(index: Bm25Index) -> Column:
     return F.when(F.col("idf") < 0, F.lit(fv.BM25_IDF_FLOOR * index.mean_idf)).otherwise(F.col("idf"))
 
 
-def search(
-    queries: DataFrame, index: Bm25Index, k: int, key: str = "doc_id", query: str = "query"
-) -> DataFrame:
-    """Documents with the k best scores per query: ``(query_id, key, score, rank)``.
+def scores(queries: DataFrame, index: Bm25Index, key: str = "doc_id", query: str = "query") -> DataFrame:
+    """``(query_id, key, score)`` of every document that holds a term of the query.
 
     Only postings of query terms move, and they move by document: a document's partial scores then meet without a
-    second shuffle, and the top-k window limits each task's output before the last one.
+    second shuffle.
     """
     weights = (
         queries.select("query_id", F.explode(tx.words(F.col(query))).alias("term"))
@@ -93,26 +91,46 @@ def search(
     found = index.postings.join(weights.select("term").distinct(), "term", "left_semi").repartition(key)
     length_part = fv.BM25_K1 * (1 - fv.BM25_B + fv.BM25_B * F.col("doc_len") / F.lit(index.mean_length))
     part = F.col("weight") * F.col("tf") * (fv.BM25_K1 + 1) / (F.col("tf") + length_part)
-    scored = found.join(weights, "term").groupBy(key, "query_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc(key)], k).select("query_id", key, "score", "rank")
+    return found.join(weights, "term").groupBy("query_id", key).agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
+def search(queries: DataFrame, index: Bm25Index, k: int, key: str = "doc_id", query: str = "query") -> DataFrame:
+    """Documents with the k best scores per query: ``(query_id, key, score, rank)``; each task hands on k at most."""
+    found = scores(queries, index, key, query)
+    return top_k(found, ["query_id"], [F.desc("score"), F.asc(key)], k).select("query_id", key, "score", "rank")
 
 
 def search_filled(
     queries: DataFrame, docs: DataFrame, index: Bm25Index, k: int, key: str = "doc_id", query: str = "query"
 ) -> DataFrame:
-    """As ``search``, but a query with fewer than k matches is filled up with unmatched documents in key order.
+    """As ``search`` over all documents: those without a query term score 0 and follow in key order.
 
-    The first 2k documents of the corpus are enough to fill any query, so they are handed out slot by slot.
+    With a positive mean idf all scores are positive, so only queries with fewer than k matches need such documents,
+    and the first 2k of the corpus have enough. Otherwise (every common term of a tiny or uniform corpus counts
+    against a document) unmatched documents come first, and the slice grows until each query has its k.
     """
     hits = cut_lineage(search(queries, index, k, key, query))
-    if index.mean_idf <= 0:
-        raise ValueError("filling needs a corpus whose mean idf is positive")
-    counted = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-    short = counted.where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-    slots = short.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("slot"))
-    first = docs.select(key).orderBy(key).limit(2 * k).agg(F.array_sort(F.collect_list(key)).alias("ids"))
-    first = first.select(F.posexplode("ids").alias("slot", key)).withColumn("slot", F.col("slot") + 1)
-    spare = slots.join(first, "slot").join(hits, ["query_id", key], "left_anti")
-    both = hits.select("query_id", key, "score").unionByName(
-        spare.select("query_id", key, F.lit(0.0).alias("score")))
+    size = 2 * k
+    if index.mean_idf > 0:
+        counted = queries.select("query_id").join(
+            hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
+        short = counted.where(F.coalesce("n", F.lit(0)) < k).select("query_id")
+        spare = _unmatched(short, docs, hits, size, key)
+    else:
+        matched = cut_lineage(scores(queries, index, key, query))
+        while True:
+            spare = _unmatched(queries.select("query_id"), docs, matched, size, key)
+            enough = spare.groupBy("query_id").count().where(F.col("count") >= k).count()
+            if size >= index.documents or enough == queries.count():
+                break
+            size *= 2
+    both = hits.select("query_id", key, "score").unionByName(spare.select("query_id", key, F.lit(0.0).alias("score")))
     return top_k(both, ["query_id"], [F.desc("score"), F.asc(key)], k).select("query_id", key, "score", "rank")
+
+
+def _unmatched(asked: DataFrame, docs: DataFrame, matched: DataFrame, size: int, key: str) -> DataFrame:
+    """Pairs of the queries and the first ``size`` documents that are not among the matched pairs, slot by slot."""
+    slots = asked.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("slot"))
+    place = F.row_number().over(Window.orderBy(key))
+    first = docs.select(key).orderBy(key).limit(size).withColumn("slot", place)
+    return slots.join(first, "slot").join(matched.select("query_id", key), ["query_id", key], "left_anti")

@@ -139,10 +139,11 @@ def _scan_best(right: DataFrame, shipped: pa.Table, k: int, metric: str, out: T.
         part = shipped.filter(pa.compute.equal(shipped["_s"], s))
         sides[s] = (_ids(part["_id"]), _matrix(part["_v"]))
     held = right.sparkSession.sparkContext.broadcast(sides)
+    query_type = shipped.schema.field("_id").type
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, tuple] = {}
-        schema = None
+        corpus_type = None
         for batch in batches:
             codes = batch["_s"].dictionary_encode()
             for code, s in enumerate(codes.dictionary.to_pylist()):
@@ -154,10 +155,11 @@ def _scan_best(right: DataFrame, shipped: pa.Table, k: int, metric: str, out: T.
                 if s in best:
                     found = _best(*(np.concatenate(pair) for pair in zip(best[s], found)), k)
                 best[s] = found
-                schema = part.schema.field("_id").type
+                corpus_type = part.schema.field("_id").type
         for owner, ids, value in best.values():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(owner), pa.array(ids, type=schema), pa.array(value)], names=["_q", "_id", "_c"]
+                [pa.array(owner, type=query_type), pa.array(ids, type=corpus_type), pa.array(value)],
+                names=["_q", "_id", "_c"],
             )
 
     return right.mapInArrow(scan, out)

@@ -45,11 +45,11 @@ def web_context(
 ) -> DataFrame:
     """Final context blocks ``(query_id, mode, block, text, source, confidence)`` of search results.
 
-    Scored chunks and the few reranked ones are materialised in the shared checkpoint folder, because the steps after
+    Queries, scored chunks and the few reranked ones are materialised in the shared checkpoint folder, because the steps after
     them read them several times.
     """
     embedder = embedder or hashing_embedder()
-    queries = query_table(results)
+    queries = cut_lineage(query_table(results))
     filtered = quality.filter_with_fallback(results)
     scored = cut_lineage(scored_chunks(filtered, queries, embedder, similarity))
     reranked = cut_lineage(rerank(pruned_chunks(scored).drop("embedding"), queries, scorer))

@@ -132,6 +132,15 @@ def test_bm25_fills_up(spark):
     assert sorted(got["a"])[0][2] == pytest.approx(2 * idf * 2 * 2.5 / (2 + 1.5))
 
 
+def test_bm25_where_common_terms_count_against_a_document(spark):
+    docs = spark.createDataFrame([(i, "same words" if i < 9 else "other") for i in range(12)], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "same")], "query_id string, query string")
+    index = bm25.build_index(docs)
+    assert index.mean_idf < 0
+    got = bm25.search_filled(asked, docs, index, 4).orderBy("rank").collect()
+    assert [r.doc_id for r in got] == [9, 10, 11, 0] and got[3].score < 0
+
+
 def test_keyword_overlap(spark):
     books = spark.createDataFrame([(1, "Red Bolt", "Ann", None, "für x"), (2, "Blue", "Bo", "Tools", "bolted red")],
                                   "book_id long, title string, author string, category string, summary string")
