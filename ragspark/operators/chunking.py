@@ -151,7 +151,9 @@ def _split_text(text: str, separators: tuple[str, ...]) -> list[str]:
     size, overlap = fv.SPLIT_SIZE, fv.SPLIT_OVERLAP
     at = next(i for i, s in enumerate(separators) if s in text)
     sep, finer = separators[at], separators[at + 1:]
-    pieces = list(text) if sep == "" else [p for p in re.split(f"(?={re.escape(sep)})", text) if p]
+    # Each piece but the first begins with the separator that was found before it.
+    parts = list(text) if sep == "" else re.split(f"({re.escape(sep)})", text)
+    pieces = parts if sep == "" else [p for p in map("".join, zip(["", *parts[1::2]], parts[0::2])) if p]
     out: list[str] = []
     run: list[str] = []
     length = 0

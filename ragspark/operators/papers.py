@@ -99,11 +99,16 @@ def dedupe_titles(papers: DataFrame) -> DataFrame:
 
 
 def merge_hits(vector_hits: DataFrame, text_hits: DataFrame, papers: DataFrame, k: int = fv.PAPER_TOP_K) -> DataFrame:
-    """Vector hits, then BM25 hits; one per title; most cited first; k per query."""
+    """Vector hits, then BM25 hits; one per title; most cited first; k per query.
+
+    Titles and citations decide; the other columns join the papers that stay.
+    """
     both = vector_hits.select("query_id", "paper_id", F.lit(0).alias("branch"), F.col("rank").alias("place")) \
         .unionByName(text_hits.select("query_id", "paper_id", F.lit(1).alias("branch"), F.col("rank").alias("place")))
-    rows = first_seen(both.join(papers, "paper_id"), ["query_id", "title"], [F.asc("branch"), F.asc("place")])
-    return top_k(rows, ["query_id"], [F.desc("citations"), F.asc("branch"), F.asc("place")], k)
+    slim = both.join(papers.select("paper_id", "title", "citations"), "paper_id")
+    once = first_seen(slim, ["query_id", "title"], [F.asc("branch"), F.asc("place")])
+    best = top_k(once, ["query_id"], [F.desc("citations"), F.asc("branch"), F.asc("place")], k)
+    return best.join(papers.drop("title", "citations"), "paper_id")
 
 
 def hybrid_search(queries: DataFrame, papers: DataFrame, index: bm25.Bm25Index, k: int = fv.PAPER_TOP_K) -> DataFrame:

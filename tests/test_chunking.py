@@ -61,3 +61,8 @@ def test_one_evaluation_of_the_fold(spark):
     rows = spark.range(3).selectExpr("id as doc", "'A b. C' as text")
     out = chunking.exploded(chunking.window_chunks(rows, "text"), ["doc"], F.col("chunks"), "part", "c")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_separators_stay_with_the_text_after_them():
+    text = "\n\n".join(["a" * 300, "\n" + "b" * 300, "c" * 100])
+    assert chunking._split_text(text, ("\n\n", "\n", ". ", " ", "")) == ["a" * 300, "b" * 300 + "\n\n" + "c" * 100]
