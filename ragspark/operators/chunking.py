@@ -187,7 +187,7 @@ def _split_series(texts: pd.Series) -> pd.Series:
 
 def split_characters(text) -> Column:
     """Recursive character split: 480 characters, 100 overlap, coarse separators first."""
-    return F.pandas_udf(_split_series, T.ArrayType(T.StringType()))(text)
+    return F.pandas_udf(_split_series, T.ArrayType(T.StringType())).asNondeterministic()(text)
 
 
 def long_enough(chunks: Column) -> Column:

@@ -42,7 +42,7 @@ def hashing_embedder(dim: int = 64) -> Embedder:
             yield pd.Series(list((counts / np.where(lengths == 0, 1, lengths)).astype("float32")))
 
     def embed(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-        return df.withColumn(out, F.pandas_udf(_typed(encode), _VECTOR)(F.col(text)))
+        return df.withColumn(out, _once(encode)(F.col(text)))
 
     return embed
 
@@ -59,7 +59,7 @@ def model_embedder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch:
             yield pd.Series(rows)
 
     def embed(df: DataFrame, text: str, out: str = "embedding") -> DataFrame:
-        return df.withColumn(out, F.pandas_udf(_typed(encode), _VECTOR)(tx.collapse_whitespace(F.col(text))))
+        return df.withColumn(out, _once(encode)(tx.collapse_whitespace(F.col(text))))
 
     return embed
 
@@ -69,9 +69,10 @@ def precomputed(column: str) -> Embedder:
     return lambda df, text, out="embedding": df.withColumn(out, F.col(column).cast(_VECTOR))
 
 
-def _typed(encode):
+def _once(encode):
+    """The encoder as an Arrow UDF that Spark does not copy into filters on its result and so runs once per row."""
     encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return encode
+    return F.pandas_udf(encode, _VECTOR).asNondeterministic()
 
 
 def lexical_scorer(query: Column, text: Column) -> Column:

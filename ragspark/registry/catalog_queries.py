@@ -32,9 +32,9 @@ def _(spark, d):
 @query("catalog_page", f"""with {q.BOOKS}, f as (select * from books where title ilike '%bolt%' or author ilike '%bolt%'
   or isbn ilike '%bolt%' or topic ilike '%bolt%')
 select id, uid, title, author, isbn, topic, description, cover_image_url as "coverImageUrl", published_year as "publishedYear",
-  2 as page, (select count(*) from f) as total, 100 as page_size from f order by title, id limit 100 offset 100""")
+  2 as page, (select count(*) from f) as total, 10 as page_size from f order by title, id limit 10 offset 10""")
 def _(spark, d):
-    return catalog.list_books(tables.books(spark, d), "bolt", 2, 500)
+    return catalog.list_books(tables.books(spark, d), "bolt", 2, 10)
 
 
 @query("catalog_total", f"with {q.BOOKS} select count(*) as total from books where concat_ws('|', title, author, isbn, topic) ilike '%small%'")

@@ -38,10 +38,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Gives every core a part of a scan that has fewer partitions than the cluster has cores, such as one small
     file. A scan of many files or blocks is left as it is, so large tables pay no shuffle.
 
-    The seeded random key keeps Spark from moving costly text filters back below the shuffle, onto the few scan tasks.
+    The condition that is always true hangs on a seeded random number, which keeps Spark from moving costly text
+    filters back below the shuffle, onto the few scan tasks.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, F.rand(0)) if df._jdf.rdd().getNumPartitions() < cores else df
+    narrow = df._jdf.rdd().getNumPartitions() < cores
+    return df.repartition(cores).where(F.rand(0) >= 0) if narrow else df
 
 
 def file_name():
