@@ -195,10 +195,14 @@ def _(spark, d):
     return context.compression_decision(tables.context_chunks(spark, d))
 
 
-@query("low_rerank_filter", f"""with {q.CONTEXT_CHUNKS}, good as (select * from chunks where rerank_score >= 9.7)
-select query_id, rank from chunks where rerank_score >= 4.5""")
-def _(spark, d):
-    return context.drop_low_rerank(tables.context_chunks(spark, d)).select("query_id", "rank")
+@query("low_rerank_filter", f"""with {q.CONTEXT_CHUNKS},
+lowered as (select query_id, rank, rerank_score - query_id % 3 * 4 as score from chunks), good as (select * from lowered where score >= 4.5)
+select query_id, rank from good union all
+select query_id, rank from lowered where query_id not in (select query_id from good)""")
+def _(spark, d):
+    lowered = F.col("rerank_score") - F.col("query_id") % 3 * 4
+    rows = tables.context_chunks(spark, d).withColumn("rerank_score", lowered)
+    return context.drop_low_rerank(rows).select("query_id", "rank")
 
 
 @query("final_context", f"with {q.CONTEXT_CHUNKS}, {q.FINAL_CONTEXT} select * from final_context")
