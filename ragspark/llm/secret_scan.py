@@ -162,3 +162,22 @@ def masked(text: str | None, spans: list[tuple[int, str, int]], mark: str = "[SE
             out.append(mark)
         at = end
     return "".join([*out, text[at:]])
+
+
+def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span masked in the text, and the text's new length in ``length_col``; other columns stay."""
+    at = docs.columns.index(text_col)
+    count = docs.columns.index(length_col) if length_col in docs.columns else None
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, BATCH_ROWS):
+            columns, texts = list(batch.columns), batch.column(at).to_pylist()
+            clean = [masked(t, scan(t or "")[1]) for t in texts]
+            columns[at] = pa.array(clean, pa.string())
+            if count is not None:
+                old = columns[count].to_pylist()
+                new = [n if a == b else len(b) for n, a, b in zip(old, texts, clean)]
+                columns[count] = pa.array(new, columns[count].type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(mask, docs.schema)
