@@ -27,6 +27,11 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shipped(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast if its counted size allows; beyond that the join shuffles."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that a batch of long texts does not fill a worker's memory."""
     for batch in batches:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import WordHashes, lower_ascii, mixed, packed, runs, slices, stored, text_key, window_hashes, words_of
+from ragspark.llm.common import WordHashes, lower_ascii, mixed, packed, runs, shipped, slices, stored, text_key, window_hashes, words_of
 from ragspark.llm.components import components
 
 WIDTH = 5
@@ -38,6 +38,7 @@ SKETCH = 30
 BATCH_ROWS = 512
 BLOCK_HASHES = 1_500_000
 LEAF, FAN = 8, 8
+FLUSH_BYTES = 24 << 20
 
 
 def shingle_set(text: str | None, table: WordHashes, width: int = WIDTH) -> np.ndarray:
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed(sets)], ["low", "n", "hashes"])
 
     same = rows["key"].eqNullSafe(eligible["key"]) & rows["doc"].eqNullSafe(eligible["doc"])
-    sets = stored(rows.join(eligible, same).select("low", "n", "text").mapInArrow(whole, "low long, n long, hashes binary")
+    sets = stored(rows.join(shipped(eligible), same).select("low", "n", "text").mapInArrow(whole, "low long, n long, hashes binary")
                   .dropDuplicates(["low"]))
     routes = stored(rare_prefixes(sets, least))
     anchors = routes.groupBy("hash").agg(F.min("low").alias("anchor"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -244,32 +245,54 @@ def buckets(df: DataFrame) -> int:
 
 
 def posting_blocks(sets: DataFrame) -> DataFrame:
-    """(hash, member) postings, packed into one row for each batch and hash bucket, in their buckets' partitions."""
+    """(hash, member) postings in their hash bucket's partition, packed into one row for each flush and bucket.
+
+    A flush holds many sets, so the number of rows follows the postings and not sets times buckets.
+    """
     number = buckets(sets)
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
-            raw = batch.column(1).to_pylist()
-            hashes = np.frombuffer(b"".join(raw), np.uint64)
-            names = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(r) // 8 for r in raw])
-            place = (mixed(hashes) % np.uint64(number)).astype(np.int64)
-            order = np.argsort(place, kind="stable")
-            starts, sizes = runs(place[order])
-            cut = [order[a:a + s] for a, s in zip(starts, sizes)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(place[order][starts].astype(np.int32)), packed([hashes[c] for c in cut]),
-                 packed([names[c] for c in cut])], ["bucket", "hashes", "names"])
+        raw, names, held = [], [], 0
+        for batch in slices(batches, 500):
+            raw += batch.column(1).to_pylist()
+            names.append(batch.column(0).to_numpy(zero_copy_only=False))
+            held += batch.column(1).nbytes
+            if held >= FLUSH_BYTES:
+                yield cut(raw, names)
+                raw, names, held = [], [], 0
+        if raw:
+            yield cut(raw, names)
+
+    def cut(raw: list[bytes], names: list[np.ndarray]) -> pa.RecordBatch:
+        hashes = np.frombuffer(b"".join(raw), np.uint64)
+        owners = np.repeat(np.concatenate(names), [len(r) // 8 for r in raw])
+        return dealt_blocks((mixed(hashes) % np.uint64(number)).astype(np.int32), {"hashes": hashes, "names": owners})
 
     return sets.mapInArrow(block, "bucket int, hashes binary, names binary").repartition(number, "bucket")
 
 
+def dealt_blocks(place: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket in ``place``, with the values of each column packed."""
+    order = np.argsort(place, kind="stable")
+    starts, sizes = runs(place[order])
+    cut = [order[a:a + s] for a, s in zip(starts, sizes)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(place[order][starts], pa.int32()), *(packed([v[c] for c in cut]) for v in columns.values())],
+        ["bucket", *columns])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], *kinds) -> list[np.ndarray]:
+    """The packed columns of a whole partition, end to end."""
+    parts: list[list[bytes]] = [[] for _ in kinds]
+    for batch in batches:
+        for i, part in enumerate(parts):
+            part += batch.column(i + 1).to_pylist()
+    return [np.frombuffer(b"".join(p), k) for p, k in zip(parts, kinds)]
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Member, hash and frequency of every different posting of a partition whose hash two members have."""
-    hashes, names = [], []
-    for batch in batches:
-        hashes += batch.column(1).to_pylist()
-        names += batch.column(2).to_pylist()
-    h, m = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(names), np.int64)
+    h, m = unpacked(batches, np.uint64, np.int64)
     order = np.lexsort((m, h))
     h, m = h[order], m[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])] if len(h) else np.empty(0, bool)
@@ -282,44 +305,63 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndar
 
 def shared_counts(sets: DataFrame) -> DataFrame:
     """``low`` and ``matched``: how many hashes of the member another member has too."""
+    number = buckets(sets)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, _, _ = _frequencies(batches)
         different, found = np.unique(names, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(different, pa.int64()), pa.array(found, pa.int64())], ["low", "n"])
+        yield dealt_blocks(_home(different, number), {"names": different, "counts": found.astype(np.int64)})
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = unpacked(batches, np.int64, np.int64)
+        different, at = np.unique(names, return_inverse=True)
+        found = np.bincount(at, counts, len(different)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(different, pa.int64()), pa.array(found)], ["low", "matched"])
+
+    return (posting_blocks(sets).mapInArrow(count, "bucket int, names binary, counts binary").repartition(number, "bucket")
+            .mapInArrow(total, "low long, matched long"))
+
 
-    return posting_blocks(sets).mapInArrow(count, "low long, n long").groupBy("low").agg(F.sum("n").alias("matched"))
+def _home(names: np.ndarray, number: int) -> np.ndarray:
+    return (mixed(names.view(np.uint64)) % np.uint64(number)).astype(np.int32)
 
 
 def rare_prefixes(sets: DataFrame, least: int) -> DataFrame:
     """``hash`` and ``low``: of each set that can have a partner, the shared ones among its ``n - o + 1`` rarest hashes."""
+    number = buckets(sets)
+
     def list_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, hashes, df = _frequencies(batches)
-        order = np.argsort(names, kind="stable")
-        names, hashes, df = names[order], hashes[order], df[order].astype(np.int32)
+        yield dealt_blocks(_home(names, number), {"names": names, "hashes": hashes, "frequencies": df.astype(np.int32)})
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, hashes, df = unpacked(batches, np.int64, np.uint64, np.int32)
+        order = np.lexsort((hashes, df, names))
+        names, hashes = names[order], hashes[order]
         starts, sizes = runs(names)
-        cut = [slice(a, a + s) for a, s in zip(starts, sizes)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[starts]), packed([hashes[c] for c in cut]), packed([df[c] for c in cut])],
-            ["low", "hashes", "frequencies"])
+        for a in range(0, len(starts), 1000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names[starts[a:a + 1000]]), packed([hashes[b:b + s] for b, s in zip(starts[a:a + 1000], sizes[a:a + 1000])])],
+                ["low", "rare_first"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             out, names = [], []
-            for low, n, parts in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = np.frombuffer(b"".join(p["hashes"] for p in parts), np.uint64)
-                df = np.frombuffer(b"".join(p["frequencies"] for p in parts), np.int32)
+            for low, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                hashes = np.frombuffer(raw, np.uint64)
                 overlap = -(-n * least // 100)
                 first = (n - overlap + 1) - (n - len(hashes))
                 if first > 0:
-                    out.append(hashes[np.lexsort((hashes, df))[:first]])
+                    out.append(hashes[:first])
                     names.append(np.full(len(out[-1]), low))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(names), pa.int64())], ["hash", "low"])
 
-    listed = (posting_blocks(sets.select("low", "hashes")).mapInArrow(list_shared, "low long, hashes binary, frequencies binary")
-              .groupBy("low").agg(F.collect_list(F.struct("hashes", "frequencies")).alias("parts")))
-    return sets.select("low", "n").join(listed, "low").select("low", "n", "parts").mapInArrow(choose, "hash long, low long")
+    listed = (posting_blocks(sets.select("low", "hashes"))
+              .mapInArrow(list_shared, "bucket int, names binary, hashes binary, frequencies binary")
+              .repartition(number, "bucket").mapInArrow(gather, "low long, rare_first binary"))
+    return sets.select("low", "n").join(listed, "low").select("low", "n", "rare_first").mapInArrow(choose, "hash long, low long")
 
 
 def family_links(sets: DataFrame, families: DataFrame, least: int, block_hashes: int = BLOCK_HASHES) -> DataFrame:
