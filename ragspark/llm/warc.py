@@ -179,8 +179,9 @@ class WarcReader(DataSourceReader):
             if name in HEADER_COLUMNS:
                 values = set(f.value) if isinstance(f, In) else {f.value}
                 self.wanted[name] = self.wanted.get(name, values) & values
-            else:
-                yield f
+            # Spark tests the rows that are left again: a scan does not show its pushed predicates in the plan, and
+            # two scans that differ in them alone would otherwise count as one and be reused for each other
+            yield f
 
     def partitions(self) -> list[WarcFile]:
         system, folder = _open(self.path)
@@ -372,12 +373,11 @@ def page_report(spark: SparkSession, folder: str) -> DataFrame:
     page_id = F.expr("try_cast(page_key as bigint)").alias("page_id")
     responses = records.where("record_type = 'response'").select("page_key", "payload", "record_id").mapInArrow(
         measured, "page_key string, payload_bytes long, payload_digest string, record_id string")
-    headers = read_archive(spark, folder, payload=False)
-    revisits = headers.where("record_type = 'revisit'").select(
+    revisits = read_archive(spark, folder, payload=False).where("record_type = 'revisit'").select(
         page_id, F.col("full_length").cast("long").alias("payload_bytes"),
         F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.col("refers_to"))
     # only responses that a revisit names take part in the join
-    named = responses_named(headers, revisits)
+    named = responses_named(read_archive(spark, folder, payload=False), revisits)
     linked = revisits.join(named, "refers_to", "left").select(
         "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"),
         F.col("response_id").alias("refers_to"))
