@@ -6,9 +6,11 @@ corpus numbers. Postings are counted inside the document's row, so building them
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions import fixed_values as fv
@@ -17,6 +19,8 @@ from ragspark.operators.ranking import top_k
 from ragspark.session import cut_lineage
 
 DIGITS = 9
+BLOCK_DOCUMENTS = 10_000
+BLOCK_QUERIES = 500
 
 
 @dataclass(frozen=True)
@@ -105,32 +109,48 @@ def search_filled(
 ) -> DataFrame:
     """As ``search`` over all documents: those without a query term score 0 and follow in key order.
 
-    With a positive mean idf all scores are positive, so only queries with fewer than k matches need such documents,
-    and the first 2k of the corpus have enough. Otherwise (every common term of a tiny or uniform corpus counts
-    against a document) unmatched documents come first, and the slice grows until each query has its k.
+    Scores of matched documents can be positive, 0 (a term of exactly half the corpus) or negative (a floored idf below
+    0), and ties go by key, so a query with fewer than k positive scores ranks its matches together with documents it
+    does not match. Those are found in blocks of documents and queries; each block hands on k per query at most.
     """
     hits = cut_lineage(search(queries, index, k, key, query))
-    size = 2 * k
-    if index.mean_idf > 0:
-        counted = queries.select("query_id").join(
-            hits.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-        short = counted.where(F.coalesce("n", F.lit(0)) < k).select("query_id")
-        spare = _unmatched(short, docs, hits, size, key)
-    else:
-        matched = cut_lineage(scores(queries, index, key, query))
-        while True:
-            spare = _unmatched(queries.select("query_id"), docs, matched, size, key)
-            enough = spare.groupBy("query_id").count().where(F.col("count") >= k).count()
-            if size >= index.documents or enough == queries.count():
-                break
-            size *= 2
-    both = hits.select("query_id", key, "score").unionByName(spare.select("query_id", key, F.lit(0.0).alias("score")))
+    positive = hits.groupBy("query_id").agg(F.count(F.when(F.col("score") > 0, 1)).alias("n"))
+    short = cut_lineage(queries.join(positive, "query_id", "left").where(F.coalesce("n", F.lit(0)) < k)
+                        .select("query_id", F.col(query).alias("query")))
+    both = hits.select("query_id", key, "score").unionByName(
+        _unmatched(short, docs, index, k, key).select("query_id", key, F.lit(0.0).alias("score")))
     return top_k(both, ["query_id"], [F.desc("score"), F.asc(key)], k).select("query_id", key, "score", "rank")
 
 
-def _unmatched(asked: DataFrame, docs: DataFrame, matched: DataFrame, size: int, key: str) -> DataFrame:
-    """Pairs of the queries and the first ``size`` documents that are not among the matched pairs, slot by slot."""
-    slots = asked.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("slot"))
-    place = F.row_number().over(Window.orderBy(key))
-    first = docs.select(key).orderBy(key).limit(size).withColumn("slot", place)
-    return slots.join(first, "slot").join(matched.select("query_id", key), ["query_id", key], "left_anti")
+def _unmatched(asked: DataFrame, docs: DataFrame, index: Bm25Index, k: int, key: str) -> DataFrame:
+    """Per query and document block the first k documents without a term of the query."""
+    doc_blocks = max(1, -(-index.documents // BLOCK_DOCUMENTS))
+    query_blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    every = (F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in (doc_blocks, query_blocks))
+    in_docs, in_queries = F.pmod(F.xxhash64(key), F.lit(doc_blocks)).cast("int"), F.pmod(
+        F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
+    terms = asked.select("query_id", F.explode(tx.words(F.col("query"))).alias("term")).distinct()
+    pairs = index.postings.join(terms, "term").select("query_id", key).distinct()
+    none = F.lit(None)
+    listed = asked.select("query_id", next(every).alias("db"), in_queries.alias("qb"), F.lit(0).alias("kind"),
+                          none.cast(docs.schema[key].dataType).alias(key))
+    stock = docs.select(none.cast(asked.schema["query_id"].dataType).alias("query_id"), in_docs.alias("db"),
+                        next(every).alias("qb"), F.lit(1).alias("kind"), key)
+    met = pairs.select("query_id", in_docs.alias("db"), in_queries.alias("qb"), F.lit(2).alias("kind"), key)
+
+    def first(rows: pa.Table) -> pa.Table:
+        names, keys, kinds = (rows[c].to_pylist() for c in ("query_id", key, "kind"))
+        stocked = sorted(d for d, kind in zip(keys, kinds) if kind == 1)
+        matched: dict = {}
+        for q, d, kind in zip(names, keys, kinds):
+            if kind == 2:
+                matched.setdefault(q, set()).add(d)
+        found: list[tuple] = []
+        for q in (q for q, kind in zip(names, kinds) if kind == 0):
+            free = (d for d in stocked if d not in matched.get(q, ()))
+            found += [(q, d) for d in itertools.islice(free, k)]
+        return pa.Table.from_arrays([pa.array([q for q, _ in found], rows.schema.field("query_id").type),
+                                     pa.array([d for _, d in found], rows.schema.field(key).type)], ["query_id", key])
+
+    kind = f"query_id {asked.schema['query_id'].dataType.simpleString()}, `{key}` {docs.schema[key].dataType.simpleString()}"
+    return listed.unionByName(stock).unionByName(met).groupBy("db", "qb").applyInArrow(first, kind)

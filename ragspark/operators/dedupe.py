@@ -27,7 +27,7 @@ def prune_near_duplicates(
     scope: str = "query_id",
     vector: str = "embedding",
     threshold: float = fv.NEAR_DUPLICATE_COSINE,
-    leaders: int = 1024,
+    leaders: int = 1000,
     block_rows: int = vec.BLOCK_ROWS,
 ) -> DataFrame:
     """Greedy pruning: in order, a row stays unless it is too similar to a row of its scope that stayed before it.

@@ -24,8 +24,9 @@ def collect_candidates(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def grow_index(candidates: DataFrame, path: str, embedder: Embedder) -> DataFrame:
-    """Adds candidates the index lacks and returns the index table."""
-    insert_if_absent(paper_index(candidates, embedder), path, "paper_id")
+    """Adds candidates the index lacks and returns the index table; only those are embedded."""
+    keyed = candidates.withColumn("paper_id", papers.paper_key())
+    insert_if_absent(keyed, path, "paper_id", lambda fresh: paper_index(fresh, embedder))
     return stored(candidates.sparkSession, path)
 
 

@@ -13,8 +13,8 @@ from ragspark.operators.embedding import Embedder, Scorer, hashing_embedder, lex
 from ragspark.operators.rerank import rerank, score_chunks
 from ragspark.session import cut_lineage
 
-# Chunk order within a query: result position first, then the chunk's place in its result.
-PARTS_PER_RESULT = 1 << 20
+# Chunk order within a query: result position first, then the chunk's place in its result, which is a 32-bit number.
+PARTS_PER_RESULT = 1 << 31
 
 
 def query_table(results: DataFrame) -> DataFrame:

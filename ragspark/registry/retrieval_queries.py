@@ -259,6 +259,41 @@ def _(spark, d):
     return hits.withColumn("score", F.round("score", 5))
 
 
+SHORT = f"""queries as (select n_nationkey as query_id, n_name || ' 17' as query from nation),
+lines as (select p_partkey as doc_id, p_type || ' ' || p_name as text from part), {q.bm25('lines', 'doc_id', 'text', 'queries', 30, full=True)}"""
+HALF = f"""queries as (select r_regionkey as query_id, case when r_regionkey % 2 = 0 then 'even' else 'odd rare' || r_regionkey end as query from region),
+lines as (select s_suppkey as doc_id, (case when s_suppkey % 2 = 0 then 'even ' else 'odd ' end) || 'w' || s_suppkey || ' v' || s_suppkey as text
+          from supplier), {q.bm25('lines', 'doc_id', 'text', 'queries', 60, full=True)}"""
+
+
+@query("bm25_full_ranking", f"""with {q.QUERIES},
+{q.bm25('documents', 'doc_id', 'text', 'queries', 20, full=True)} select query_id, doc_id, round(score, 5) as score, rank from bm25_hits""")
+def _(spark, d):
+    docs = tables.table(spark, d, "documents")
+    hits = bm25.search_filled(tables.queries(spark, d), docs, bm25.build_index(docs), 20)
+    return hits.withColumn("score", F.round("score", 5))
+
+
+@query("bm25_short_queries", f"with {SHORT} select query_id, doc_id, round(score, 5) as score, rank from bm25_hits")
+def _(spark, d):
+    asked = tables.table(spark, d, "nation").select(
+        F.col("n_nationkey").alias("query_id"), F.concat("n_name", F.lit(" 17")).alias("query"))
+    docs = tables.table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    return bm25.search_filled(asked, docs, bm25.build_index(docs), 30).withColumn("score", F.round("score", 5))
+
+
+@query("bm25_zero_weights", f"with {HALF} select query_id, doc_id, round(score, 5) as score, rank from bm25_hits")
+def _(spark, d):
+    even = F.col("r_regionkey") % 2 == 0
+    asked = tables.table(spark, d, "region").select(
+        F.col("r_regionkey").alias("query_id"),
+        F.when(even, "even").otherwise(F.concat(F.lit("odd rare"), F.col("r_regionkey").cast("string"))).alias("query"))
+    key = F.col("s_suppkey")
+    docs = tables.table(spark, d, "supplier").select(key.alias("doc_id"), F.concat(
+        F.when(key % 2 == 0, "even ").otherwise("odd "), F.lit("w"), key.cast("string"), F.lit(" v"), key.cast("string")).alias("text"))
+    return bm25.search_filled(asked, docs, bm25.build_index(docs), 60).withColumn("score", F.round("score", 5))
+
+
 @query("lexical_rerank_scores", f"with {q.WEB} select doc_id, round({q.lexical('query', 'content')} - {q.penalty('content')}, 4) as rerank_score from web")
 def _(spark, d):
     from ragspark.operators.embedding import lexical_scorer
@@ -376,7 +411,7 @@ vector_hits as (select * from (select a.query_id, b.paper_id, row_number() over
     round(list_dot_product(a.v::FLOAT[]::DOUBLE[], a.v::FLOAT[]::DOUBLE[]) + list_dot_product(b.v::FLOAT[]::DOUBLE[], b.v::FLOAT[]::DOUBLE[])
           - 2 * list_dot_product(a.v::FLOAT[]::DOUBLE[], b.v::FLOAT[]::DOUBLE[]), 9), b.paper_id) as rank
   from query_vectors a, paper_vectors b) where rank <= 20),
-{q.bm25('corpus', 'paper_id', 'text', 'queries', 20)},
+{q.bm25('corpus', 'paper_id', 'text', 'queries', 20, full=True)},
 united as (select query_id, paper_id, 0 as branch, rank as place from vector_hits union all
            select query_id, paper_id, 1, rank from bm25_hits),
 once as (select * from (select u.*, p.* exclude (paper_id), row_number() over (partition by query_id, title order by branch, place) as seen

@@ -216,8 +216,10 @@ LINES = """lines as (
                generate_subscripts(string_split(text, chr(10)), 1) - 1 as line from documents))"""
 
 
-def bm25(corpus: str, key: str, text: str, asked: str, k: int) -> str:
-    """Tables ``bm25_*`` ending in ``bm25_hits(query_id, key, score, rank)``."""
+def bm25(corpus: str, key: str, text: str, asked: str, k: int, full: bool = False) -> str:
+    """Tables ``bm25_*`` ending in ``bm25_hits(query_id, key, score, rank)``; ``full`` ranks documents without a match too."""
+    every = (f"(select a.query_id, d.{key}, coalesce(s.score, 0.0::DOUBLE) as score from {asked} a cross join {corpus} d "
+             f"left join bm25_scores s on s.query_id = a.query_id and s.{key} = d.{key})")
     return f"""
 bm25_tokens as (select {key}, unnest({words(text)}) as term from {corpus}),
 bm25_lengths as (select {key}, len({words(text)}) as doc_len from {corpus}),
@@ -234,4 +236,4 @@ bm25_scores as (
   from bm25_asked a join bm25_tf t using (term) join bm25_weights w using (term) join bm25_lengths l using ({key}),
        bm25_numbers c group by 1, 2),
 bm25_hits as (select * from (select *, row_number() over (partition by query_id order by score desc, {key})::INT as rank
-                             from bm25_scores) where rank <= {k})"""
+                             from {every if full else 'bm25_scores'}) where rank <= {k})"""

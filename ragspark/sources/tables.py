@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import scalars as sc
 from ragspark.operators.dedupe import first_seen
+from ragspark.session import cut_lineage
 
 ROWS_PER_FILE = 1_000_000
 ENVELOPE_ROWS = 1_000
@@ -94,14 +97,15 @@ def delivery_status(batch: DataFrame, index: DataFrame | None, key: str, vector:
     return keys.select(key, F.explode(listed).alias("_s")).select(key, "_s.*").where(F.col("rows") > 0)
 
 
-def insert_if_absent(batch: DataFrame, path: str, key: str) -> DataFrame:
+def insert_if_absent(batch: DataFrame, path: str, key: str,
+                     prepare: Callable[[DataFrame], DataFrame] = lambda fresh: fresh) -> DataFrame:
     """Appends the rows of a batch that the index lacks, one per key, and returns them.
 
-    Running it again with the same batch changes nothing.
+    ``prepare`` (such as an embedder) sees only rows that are new. Running it again with the same batch changes nothing.
     """
     spark = batch.sparkSession
     once = first_seen(batch, [key], [F.xxhash64(*batch.columns)])
-    fresh = new_rows(once, stored(spark, path), key)
+    fresh = cut_lineage(prepare(new_rows(once, stored(spark, path), key)))
     fresh.write.mode("append").parquet(path)
     return fresh
 

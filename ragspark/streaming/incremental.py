@@ -18,7 +18,7 @@ def maintain_index(
     A micro-batch that is replayed after a failure finds its rows in the index and adds nothing.
     """
     def write(batch: DataFrame, _: int) -> None:
-        insert_if_absent(embedder(batch, text, "embedding"), path, key)
+        insert_if_absent(batch, path, key, lambda fresh: embedder(fresh, text, "embedding"))
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

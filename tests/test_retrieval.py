@@ -1,3 +1,5 @@
+import inspect
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def test_vectors_of_other_dimension_never_meet(spark):
     assert sorted((r.id, r.other) for r in got.collect()) == [(1, 1), (2, 2)]
 
 
-@pytest.mark.parametrize("leaders", [1024, 5])
+@pytest.mark.parametrize("leaders", [1000, 5])
 def test_greedy_prune(cloud, leaders):
     rows, df = cloud
     kept = {}
@@ -141,6 +143,29 @@ def test_bm25_where_common_terms_count_against_a_document(spark):
     assert [r.doc_id for r in got] == [9, 10, 11, 0] and got[3].score < 0
 
 
+def test_bm25_ranks_zero_scores_with_unmatched_documents(spark):
+    docs = spark.createDataFrame([(i, f"half w{i} x{i}" if i >= 4 else f"w{i} x{i}") for i in range(8)], "doc_id long, text string")
+    asked = spark.createDataFrame([("a", "half"), ("b", "half w5")], "query_id string, query string")
+    index = bm25.build_index(docs)
+    got = bm25.search_filled(asked, docs, index, 3).orderBy("query_id", "rank").collect()
+    assert [r.doc_id for r in got] == [0, 1, 2, 5, 0, 1] and [r.score > 0 for r in got] == [False] * 3 + [True, False, False]
+
+
+def test_bm25_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 5} x{i}") for i in range(50)], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"w{i}") for i in range(6)], "query_id string, query string")
+    index = bm25.build_index(docs)
+    want = bm25.search_filled(asked, docs, index, 15).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(bm25, "BLOCK_DOCUMENTS", 7)
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 2)
+    assert bm25.search_filled(asked, docs, index, 15).orderBy("query_id", "rank").collect() == want and len(want) == 90
+
+
+def test_a_whole_scope_is_never_sent_to_one_task(spark, cloud):
+    heads = ranking.top_k(cloud[1], ["g"], [F.col("id").asc()], inspect.signature(dedupe.prune_near_duplicates).parameters["leaders"].default)
+    assert "WindowGroupLimit" in heads._jdf.queryExecution().executedPlan().toString()
+
+
 def test_keyword_overlap(spark):
     books = spark.createDataFrame([(1, "Red Bolt", "Ann", None, "für x"), (2, "Blue", "Bo", "Tools", "bolted red")],
                                   "book_id long, title string, author string, category string, summary string")

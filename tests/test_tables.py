@@ -69,6 +69,24 @@ def test_insert_if_absent_twice(spark, tmp_path):
     assert sorted(r.book_id for r in spark.read.parquet(path).collect()) == [1, 2, 3]
 
 
+def test_only_new_rows_are_embedded(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embedder(rows, text, out):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        marked = rows.withColumn(out, F.array(F.lit(1.0)))
+        return marked.mapInArrow(count, marked.schema)
+
+    path, batch = str(tmp_path / "index"), spark.createDataFrame([(i, "t") for i in range(10)], "book_id int, summary string")
+    for _ in range(2):
+        fresh = tables.insert_if_absent(batch.union(batch), path, "book_id", lambda rows: embedder(rows, "summary", "embedding"))
+        fresh.count(), fresh.collect()
+    assert seen.value == 10 and spark.read.parquet(path).count() == 10
+
+
 def test_paper_index_grows(spark, tmp_path):
     path = str(tmp_path / "papers")
     columns = "query_id int, pos int, title string, doi string, year int, abstract string, citations int, publisher string, " \
