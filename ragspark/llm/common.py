@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ragspark.session import cut_lineage
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
-_OTHER_SPACES = re.compile("[\x0b\x1c-\x1f\x85\xa0  -     　]")
-_LOWER_ASCII = {c: c + 32 for c in range(65, 91)}
+#: White space of ``str.split`` that does not end a word here.
+_OTHER_SPACES = [chr(c) for c in (*range(0x1c, 0x20), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)]
 _UPPER_ASCII = re.compile("[A-Z]+")
 
 
@@ -43,7 +43,7 @@ def words_of(text: str | None) -> list[str]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; ``str.split`` where no other white space occurs, as it is faster."""
     if not text:
         return []
-    return WORD.findall(text) if _OTHER_SPACES.search(text) else text.split()
+    return WORD.findall(text) if any(c in text for c in _OTHER_SPACES) else text.split()
 
 
 def lower_ascii(text: str) -> str:

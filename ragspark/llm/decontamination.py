@@ -18,6 +18,7 @@ columns are not read; an empty table on either side gives an empty result. Ties
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -35,11 +36,15 @@ BLOCK_ITEMS = 16
 ITEMS_PER_INDEX = 20_000
 BATCH_ROWS = 256
 ITEM_WORDS = 400
+DENSE = 1 << 22
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
 def plain(word: str) -> str:
     """A word in lower case without the marks around it; a word of marks alone stays."""
+    bare = word.rstrip(".,;:!?")
+    if bare.isalnum():  # by far the most words; the pattern gives the same
+        return bare.lower()
     return _EDGES.sub("", word.lower()) or word
 
 
@@ -57,6 +62,24 @@ class Terms(dict):
         return found
 
 
+def summed(keys: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys below ``size`` and the sum of their values; by a table where it is not much larger than the input."""
+    if size <= max(DENSE, 4 * len(keys)):
+        sums = np.bincount(keys, values, size)
+        found = np.flatnonzero(sums)
+        return found, sums[found]
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, values, len(found))
+
+
+def one_of(keys: np.ndarray, wanted: np.ndarray, size: int) -> np.ndarray:
+    if size > max(DENSE, 4 * len(keys)):
+        return np.isin(keys, wanted)
+    flags = np.zeros(size, bool)
+    flags[wanted] = True
+    return flags[keys]
+
+
 class BlockMaxIndex:
     """Postings in compressed rows: per term its items with weights, and its blocks with their largest weight."""
 
@@ -101,17 +124,17 @@ class BlockMaxIndex:
         passage, term = passage[keep], term[keep]
         rows, owner = self._spread(term, self.block_start)
         blocks = len(self.items) // BLOCK_ITEMS + 1
-        cells, at = np.unique(passage[owner] * blocks + self.block[rows], return_inverse=True)
-        alive = cells[np.bincount(at, self.block_max[rows], len(cells)) >= slack] if len(cells) else cells
+        last = int(passage[-1]) + 1 if len(passage) else 0
+        cells, sums = summed(passage[owner] * blocks + self.block[rows], self.block_max[rows], last * blocks)
+        alive = cells[sums >= slack]
         if not len(alive):
             return []
-        keep = np.isin(passage, np.unique(alive // blocks))
+        keep = one_of(passage, np.unique(alive // blocks), last)
         passage, term = passage[keep], term[keep]
         rows, owner = self._spread(term, self.start)
-        keep = np.isin(passage[owner] * blocks + self.item[rows] // BLOCK_ITEMS, alive)
+        keep = one_of(passage[owner] * blocks + self.item[rows] // BLOCK_ITEMS, alive, last * blocks)
         rows, owner = rows[keep], owner[keep]
-        hits, at = np.unique(passage[owner] * len(self.items) + self.item[rows], return_inverse=True)
-        score = np.bincount(at, self.weight[rows], len(hits))
+        hits, score = summed(passage[owner] * len(self.items) + self.item[rows], self.weight[rows], last * len(self.items))
         return [(int(h) // len(self.items), int(h) % len(self.items), float(s))
                 for h, s in zip(hits, score) if s >= slack]
 
@@ -179,7 +202,7 @@ def _search(index, threshold: float, overlap: float):
             keys = batch.column(0).to_pylist()
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             counts = np.array([len(w) for w in texts], dtype=np.int64)
-            number = np.fromiter((terms[w] for words in texts for w in words), dtype=np.int64, count=counts.sum())
+            number = np.fromiter(map(terms.__getitem__, itertools.chain.from_iterable(texts)), dtype=np.int64, count=counts.sum())
             place = np.arange(len(number)) - np.repeat(np.cumsum(counts) - counts, counts)
             # window k of a document covers its words from k * stride on, two strides long
             windows = np.maximum(1, -(-counts // stride))
