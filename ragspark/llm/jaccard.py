@@ -271,14 +271,16 @@ def posting_blocks(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(block, "bucket int, hashes binary, names binary").repartition(number, "bucket")
 
 
-def dealt_blocks(place: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket in ``place``, with the values of each column packed."""
+def dealt_blocks(place: np.ndarray, columns: dict[str, np.ndarray], empty: dict[str, np.ndarray] | None = None) -> pa.RecordBatch:
+    """One row for each bucket in ``place``, with the values of each column packed; ``empty`` columns hold none."""
     order = np.argsort(place, kind="stable")
     starts, sizes = runs(place[order])
     cut = [order[a:a + s] for a, s in zip(starts, sizes)]
+    empty = empty or {}
     return pa.RecordBatch.from_arrays(
-        [pa.array(place[order][starts], pa.int32()), *(packed([v[c] for c in cut]) for v in columns.values())],
-        ["bucket", *columns])
+        [pa.array(place[order][starts], pa.int32()), *(packed([v[c] for c in cut]) for v in columns.values()),
+         *(packed([v for _ in cut]) for v in empty.values())],
+        ["bucket", *columns, *empty])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], *kinds) -> list[np.ndarray]:
@@ -332,44 +334,45 @@ def rare_prefixes(sets: DataFrame, least: int) -> DataFrame:
 
     def list_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, hashes, df = _frequencies(batches)
-        yield dealt_blocks(_home(names, number), {"names": names, "hashes": hashes, "frequencies": df.astype(np.int32)})
+        none = np.empty(0, np.int64)
+        yield dealt_blocks(_home(names, number), {"names": names, "hashes": hashes, "frequencies": df.astype(np.int32)},
+                           {"members": none, "sizes": none})
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, hashes, df = unpacked(batches, np.int64, np.uint64, np.int32)
-        order = np.lexsort((hashes, df, names))
-        names, hashes = names[order], hashes[order]
-        starts, sizes = runs(names)
-        for a in range(0, len(starts), 1000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[starts[a:a + 1000]]), packed([hashes[b:b + s] for b, s in zip(starts[a:a + 1000], sizes[a:a + 1000])])],
-                ["low", "rare_first"])
+    def list_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = {"names": np.empty(0, np.int64), "hashes": np.empty(0, np.uint64), "frequencies": np.empty(0, np.int32)}
+        for batch in batches:
+            low, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            out = dealt_blocks(_home(low, number), {"members": low, "sizes": n}, none)
+            yield out.select(["bucket", "names", "hashes", "frequencies", "members", "sizes"])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2000):
-            out, names = [], []
-            for low, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                hashes = np.frombuffer(raw, np.uint64)
-                overlap = -(-n * least // 100)
-                first = (n - overlap + 1) - (n - len(hashes))
-                if first > 0:
-                    out.append(hashes[:first])
-                    names.append(np.full(len(out[-1]), low))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(names), pa.int64())], ["hash", "low"])
-
-    listed = (posting_blocks(sets.select("low", "hashes"))
-              .mapInArrow(list_shared, "bucket int, names binary, hashes binary, frequencies binary")
-              .repartition(number, "bucket").mapInArrow(gather, "low long, rare_first binary"))
-    return sets.select("low", "n").join(listed, "low").select("low", "n", "rare_first").mapInArrow(choose, "hash long, low long")
+        names, hashes, df, members, n = unpacked(batches, np.int64, np.uint64, np.int32, np.int64, np.int64)
+        order = np.lexsort((hashes, df, names))
+        names, hashes = names[order], hashes[order]
+        starts, shared = runs(names)
+        by_name = np.argsort(members)
+        size = n[by_name][np.searchsorted(members[by_name], names[starts])]
+        first = (size + -size * least // 100 + 1) - (size - shared)
+        keep = np.arange(len(names)) - np.repeat(starts, shared) < np.repeat(first, shared)
+        names, hashes = names[keep], hashes[keep].view(np.int64)
+        for a in range(0, len(names), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[a:a + 100_000]), pa.array(names[a:a + 100_000])], ["hash", "low"])
+
+    # a member's size goes to the bucket where its shared hashes meet, so no join moves those hashes again
+    shape = "bucket int, names binary, hashes binary, frequencies binary, members binary, sizes binary"
+    listed = posting_blocks(sets.select("low", "hashes")).mapInArrow(list_shared, shape)
+    sizes = sets.select("low", "n").mapInArrow(list_sizes, shape)
+    return listed.unionByName(sizes).repartition(number, "bucket").mapInArrow(choose, "hash long, low long")
 
 
 def family_links(sets: DataFrame, families: DataFrame, least: int, block_hashes: int = BLOCK_HASHES) -> DataFrame:
     """Links ``a``, ``b`` between members: within each family, or each pair of blocks of a large one."""
-    inside = sets.join(families.select(F.col("node").alias("low"), F.col("component").alias("family")), "low")
-    blocks = inside.groupBy("family").agg(F.ceil(F.sum("n") / block_hashes).cast("int").alias("blocks"))
+    placed = sets.select("low", "n").join(families.select(F.col("node").alias("low"), F.col("component").alias("family")), "low")
+    blocks = placed.groupBy("family").agg(F.ceil(F.sum("n") / block_hashes).cast("int").alias("blocks"))
+    # the way of each member is settled on narrow rows, so the sets themselves move once
+    ways = stored(placed.join(blocks, "family").select("low", "family", "blocks"))
     own = F.pmod(F.xxhash64("low"), F.col("blocks")).cast("int")
-    dealt = inside.join(blocks, "family").select(
+    dealt = sets.select("low", "hashes").join(shipped(ways), "low").select(
         "family", "low", "hashes", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("family", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "low", "hashes")
     dealt = dealt.repartition("family", "one", "two").sortWithinPartitions("family", "one", "two", "own", "low")
