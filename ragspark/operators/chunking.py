@@ -19,23 +19,44 @@ _BLOCK = "struct<text:string,tok:int,upto:int>"
 _WORD = "'" + tx.WORD.replace("\\", "\\\\") + "'"
 _SPACE = "'" + (tx.SPACE + "+").replace("\\", "\\\\") + "'"
 
-# A block over the maximum is cut every so many whitespace words and emitted at once.
+SEGMENT = 64
+
+
+def _fold(kind: str, carried: dict[str, str], merge: str, finish: str) -> str:
+    """SQL of a fold over ``{items}`` that appends elements of ``kind`` to ``s.done`` and carries the state ``carried``.
+
+    Appending copies an array, so the items are folded in segments, each with an empty ``done`` at its start; the
+    segments' outputs are put together once. ``merge`` sees the item as ``b``; ``finish`` sees all output as ``done``
+    and the last state as ``o``. Binding the items in a lambda keeps Spark from computing them once per segment.
+    """
+    def state(owner: str) -> str:
+        return ", ".join(f"'{name}', {owner}.{name}" for name in carried)
+
+    start = ", ".join(f"'{name}', {value}" for name, value in carried.items())
+    return f"""
+get(transform(array({{items}}), every -> aggregate(
+  transform(sequence(0, cast((size(every) - 1) div {SEGMENT} as int)), i -> slice(every, i * {SEGMENT} + 1, {SEGMENT})),
+  named_struct('parts', cast(array() as array<array<{kind}>>), {start}),
+  (o, segment) -> get(transform(
+    array(aggregate(segment, named_struct('done', cast(array() as array<{kind}>), {state('o')}), (s, b) -> {merge})),
+    s -> named_struct('parts', concat(o.parts, array(s.done)), {state('s')})), 0),
+  o -> get(transform(array(flatten(o.parts)), done -> {finish}), 0))), 0)
+"""
+
+
+# A block over the maximum is split once, cut every so many whitespace words and emitted at once.
 _PIECES = f"""
-transform(
-  sequence(0, cast((size(split(b.text, {_SPACE})) - 1) div {fv.CHUNK_MAX_TOKENS} as int)),
+get(transform(array(split(b.text, {_SPACE})), words -> transform(
+  sequence(0, cast((size(words) - 1) div {fv.CHUNK_MAX_TOKENS} as int)),
   i -> get(transform(
-    array(array_join(slice(split(b.text, {_SPACE}), i * {fv.CHUNK_MAX_TOKENS} + 1, {fv.CHUNK_MAX_TOKENS}), ' ')),
-    piece -> named_struct('text', piece, 'tok', regexp_count(piece, {_WORD}))), 0))
+    array(array_join(slice(words, i * {fv.CHUNK_MAX_TOKENS} + 1, {fv.CHUNK_MAX_TOKENS}), ' ')),
+    piece -> named_struct('text', piece, 'tok', regexp_count(piece, {_WORD}))), 0))), 0)
 """
 
 # State: done = emitted chunks; win = blocks of the open window, each with the running total up to and including it;
 # base = running total before the window; total = running total of all blocks that entered a window.
-_WINDOWS = f"""
-aggregate(
-  {{blocks}},
-  named_struct('done', cast(array() as array<{_CHUNK}>), 'win', cast(array() as array<{_BLOCK}>),
-               'base', 0, 'total', 0),
-  (s, b) -> case
+_WINDOWS = _fold(_CHUNK, {"win": f"cast(array() as array<{_BLOCK}>)", "base": "0", "total": "0"}, f"""
+  case
     when b.tok > {fv.CHUNK_MAX_TOKENS} then
       named_struct('done', concat(s.done, {_PIECES}), 'win', s.win, 'base', s.base, 'total', s.total)
     when s.total - s.base + b.tok <= {fv.CHUNK_MAX_TOKENS} then
@@ -52,45 +73,40 @@ aggregate(
         'win', concat(tail, array(named_struct('text', b.text, 'tok', b.tok, 'upto', s.total + b.tok))),
         'base', get(tail, 0).upto - get(tail, 0).tok,
         'total', s.total + b.tok)), 0)
-  end,
-  s -> case
-    when size(s.win) = 0 then s.done
-    when s.total - s.base < {fv.CHUNK_MIN_TOKENS} and size(s.done) > 0
-         and get(s.done, size(s.done) - 1).tok + s.total - s.base <= {fv.CHUNK_MERGE_LIMIT} then
-      concat(slice(s.done, 1, size(s.done) - 1),
+  end""", f"""
+  case
+    when size(o.win) = 0 then done
+    when o.total - o.base < {fv.CHUNK_MIN_TOKENS} and size(done) > 0
+         and get(done, size(done) - 1).tok + o.total - o.base <= {fv.CHUNK_MERGE_LIMIT} then
+      concat(slice(done, 1, size(done) - 1),
              array(named_struct(
-               'text', concat(get(s.done, size(s.done) - 1).text, '\\n\\n', array_join(s.win.text, '\\n\\n')),
-               'tok', get(s.done, size(s.done) - 1).tok + s.total - s.base)))
-    else concat(s.done, array(named_struct('text', array_join(s.win.text, '\\n\\n'), 'tok', s.total - s.base)))
-  end)
-"""
+               'text', concat(get(done, size(done) - 1).text, '\\n\\n', array_join(o.win.text, '\\n\\n')),
+               'tok', get(done, size(done) - 1).tok + o.total - o.base)))
+    else concat(done, array(named_struct('text', array_join(o.win.text, '\\n\\n'), 'tok', o.total - o.base)))
+  end""")
 
-# State: done = settled chunks; held = a small chunk that did not fit its predecessor and waits for the next one.
+# State: done = settled chunks; last = the chunk before the next one, still open to small successors; held = a small
+# chunk that did not fit its predecessor and waits for the next one.
 _PART = "struct<text:string,tok:int,section:int>"
-_MERGE = f"""
-aggregate(
-  {{chunks}},
-  named_struct('done', cast(array() as array<{_PART}>), 'held', cast(array() as array<{_PART}>)),
-  (s, c) -> case
-    when size(s.held) > 0 and get(s.held, 0).tok + c.tok <= {fv.CHUNK_MERGE_LIMIT} then
-      named_struct('done', concat(s.done, array(named_struct(
-                     'text', concat(get(s.held, 0).text, '\\n\\n', c.text),
-                     'tok', get(s.held, 0).tok + c.tok, 'section', get(s.held, 0).section))),
+_NO_PART = f"cast(array() as array<{_PART}>)"
+_MERGE = _fold(_PART, {"last": _NO_PART, "held": _NO_PART}, f"""
+  case
+    when size(s.held) > 0 and get(s.held, 0).tok + b.tok <= {fv.CHUNK_MERGE_LIMIT} then
+      named_struct('done', concat(s.done, s.last),
+                   'last', array(named_struct('text', concat(get(s.held, 0).text, '\\n\\n', b.text),
+                                              'tok', get(s.held, 0).tok + b.tok, 'section', get(s.held, 0).section)),
                    'held', slice(s.held, 1, 0))
     when size(s.held) > 0 then
-      named_struct('done', concat(s.done, s.held, array(c)), 'held', slice(s.held, 1, 0))
-    when c.tok < {fv.CHUNK_MIN_TOKENS} and size(s.done) > 0
-         and get(s.done, size(s.done) - 1).tok + c.tok <= {fv.CHUNK_MERGE_LIMIT} then
-      named_struct('done', concat(slice(s.done, 1, size(s.done) - 1), array(named_struct(
-                     'text', concat(get(s.done, size(s.done) - 1).text, '\\n\\n', c.text),
-                     'tok', get(s.done, size(s.done) - 1).tok + c.tok,
-                     'section', get(s.done, size(s.done) - 1).section))),
+      named_struct('done', concat(s.done, s.last, s.held), 'last', array(b), 'held', slice(s.held, 1, 0))
+    when b.tok < {fv.CHUNK_MIN_TOKENS} and size(s.last) > 0
+         and get(s.last, 0).tok + b.tok <= {fv.CHUNK_MERGE_LIMIT} then
+      named_struct('done', s.done,
+                   'last', array(named_struct('text', concat(get(s.last, 0).text, '\\n\\n', b.text),
+                                              'tok', get(s.last, 0).tok + b.tok, 'section', get(s.last, 0).section)),
                    'held', s.held)
-    when c.tok < {fv.CHUNK_MIN_TOKENS} then named_struct('done', s.done, 'held', array(c))
-    else named_struct('done', concat(s.done, array(c)), 'held', s.held)
-  end,
-  s -> concat(s.done, s.held))
-"""
+    when b.tok < {fv.CHUNK_MIN_TOKENS} then named_struct('done', s.done, 'last', s.last, 'held', array(b))
+    else named_struct('done', concat(s.done, s.last), 'last', array(b), 'held', s.held)
+  end""", "concat(done, o.last, o.held)")
 
 
 def text_blocks(df: DataFrame, text: str, out: str = "blocks") -> DataFrame:
@@ -103,7 +119,7 @@ def text_blocks(df: DataFrame, text: str, out: str = "blocks") -> DataFrame:
 
 def window_chunks(df: DataFrame, text: str, out: str = "chunks") -> DataFrame:
     """Adds ``out``: overlapping chunks of 200-300 tokens as ``array<struct<text,tok,section>>``."""
-    folded = text_blocks(df, text, "_blocks").withColumn("_raw", F.expr(_WINDOWS.replace("{blocks}", "_blocks")))
+    folded = text_blocks(df, text, "_blocks").withColumn("_raw", F.expr(_WINDOWS.replace("{items}", "_blocks")))
     numbered = F.transform(
         F.col("_raw"),
         lambda c, i: F.struct(c["text"].alias("text"), c["tok"].alias("tok"), i.alias("section")),
@@ -113,7 +129,7 @@ def window_chunks(df: DataFrame, text: str, out: str = "chunks") -> DataFrame:
 
 def merge_small(df: DataFrame, chunks: str = "chunks") -> DataFrame:
     """Joins chunks below the minimum to their predecessor, else to their successor, within one array."""
-    return df.withColumn(chunks, F.expr(_MERGE.replace("{chunks}", chunks)))
+    return df.withColumn(chunks, F.expr(_MERGE.replace("{items}", chunks)))
 
 
 def exploded(df: DataFrame, keep: list[str], array: Column, position: str, value: str) -> DataFrame:

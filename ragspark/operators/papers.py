@@ -12,6 +12,7 @@ from ragspark.operators import bm25
 from ragspark.operators.dedupe import first_seen
 from ragspark.operators.ranking import relative_score, top_k
 from ragspark.operators.vectors import nearest
+from ragspark.session import cut_lineage
 
 PAPER = ["title", "doi", "year", "abstract", "citations", "publisher", "is_oa", "pdf"]
 
@@ -87,6 +88,7 @@ def access_filter(papers: DataFrame, kind: str = "all") -> DataFrame:
         return papers
     if kind == "open_access":
         return papers.where(F.col("is_oa"))
+    papers = cut_lineage(papers)  # read three times below, and usually the result of a search
     known = papers.where(F.lower(F.coalesce("publisher", F.lit(""))).rlike("|".join(fv.SUBSCRIPTION_PUBLISHERS)))
     served = known.select("query_id").distinct()
     closed = papers.where(~F.coalesce("is_oa", F.lit(False))).join(served, "query_id", "left_anti")

@@ -22,6 +22,7 @@ from ragspark.functions import vectors as vx
 from ragspark.operators.ranking import top_k
 
 BLOCK_ROWS = 4096
+BLOCK_SCORES = 4_000_000  # scores a task holds at once, 32 MB a matrix
 SHIPPED_ROWS = 4096
 SHIPPED_VALUES = 8_000_000
 DIGITS = 9  # similarities are rounded before they are compared, so block shapes cannot reorder equal vectors
@@ -151,11 +152,14 @@ def _scan_best(right: DataFrame, shipped: pa.Table, k: int, metric: str, out: T.
                     continue
                 rows = np.flatnonzero(codes.indices.to_numpy(zero_copy_only=False) == code)
                 part = batch.take(pa.array(rows))
-                found = _block_best(*held.value[s], _ids(part["_id"]), _matrix(part["_v"]), k, metric)
-                if s in best:
-                    found = _best(*(np.concatenate(pair) for pair in zip(best[s], found)), k)
-                best[s] = found
                 corpus_type = part.schema.field("_id").type
+                step = max(1, BLOCK_SCORES // len(held.value[s][0]))
+                for at in range(0, part.num_rows, step):
+                    piece = part.slice(at, step)
+                    found = _block_best(*held.value[s], _ids(piece["_id"]), _matrix(piece["_v"]), k, metric)
+                    if s in best:
+                        found = _best(*(np.concatenate(pair) for pair in zip(best[s], found)), k)
+                    best[s] = found
         for owner, ids, value in best.values():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(owner, type=query_type), pa.array(ids, type=corpus_type), pa.array(value)],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import fixed_values as fv
 from ragspark.functions import scalars as sc
+from ragspark.functions import text as tx
 from ragspark.operators import keywords, ranking, requests, vectors
 
 SHOWN = ["title", "author", "category", "summary"]
@@ -41,18 +42,37 @@ def recommend_by_keyword(queries: DataFrame, catalog: DataFrame, k: int = fv.DEF
         "query_id", "rank", "book_id", *SHOWN, "score", "similarity_score", "match_percentage")
 
 
-def outcomes(queries: DataFrame, hits: DataFrame) -> DataFrame:
+def outcomes(queries: DataFrame, hits: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """Status of every query, valid or not.
 
-    A valid query whose hits all fall below the threshold is ``ok`` with an empty list.
+    A valid query whose hits all fall below the threshold is ``ok`` with an empty list. With ``books``, the searched
+    table, a valid query has ``no_results`` if that table is empty.
     """
     checked = requests.check_queries(queries)
     counts = hits.groupBy("query_id").agg(F.count("*").alias("n"))
     n = F.coalesce("n", F.lit(0))
-    return checked.join(counts, "query_id", "left").select(
+    empty = F.lit(False) if books is None else books.limit(1).agg(F.count("*")).scalar() == 0
+    rows = checked.join(counts, "query_id", "left").withColumn("_empty", empty)
+    return rows.select(
         "query_id",
-        F.when(F.col("valid"), "ok").otherwise("error").alias("status"),
+        F.when(~F.col("valid"), "error").when(F.col("_empty"), "no_results").otherwise("ok").alias("status"),
         n.alias("total"),
-        F.when(~F.col("valid"), F.col("message")).when(n == 0, "No recommendations found")
+        F.when(~F.col("valid"), F.col("message"))
+        .when(F.col("_empty"), F.concat(F.lit("No books found matching '"), "sanitized", F.lit("'. Try a different query.")))
+        .when(n == 0, "No recommendations found")
         .otherwise("Recommendations fetched successfully").alias("message"),
     )
+
+
+def keyword_outcomes(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """Status of every keyword query; a null query counts as one without words."""
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return queries.join(counts, "query_id", "left").select(
+        "query_id",
+        F.when(n == 0, "no_results").otherwise("ok").alias("status"),
+        n.alias("total"),
+        F.when(tx.filled(F.col("query")).isNull(), "Please provide a meaningful query.")
+        .when(n == 0, "No books found matching your query.")
+        .otherwise("Recommendations fetched successfully (fallback mode)").alias("message"),
+    )

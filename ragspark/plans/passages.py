@@ -10,6 +10,7 @@ from ragspark.functions import text as tx
 from ragspark.operators import catalog, ranking, requests, vectors
 from ragspark.operators.chunking import split_book
 from ragspark.operators.embedding import Embedder
+from ragspark.session import cut_lineage
 from ragspark.sources.files import valid_chunks
 from ragspark.sources.tables import retrieval_records, write_collections
 
@@ -55,7 +56,7 @@ def retrieve(requests_table: DataFrame, collections: DataFrame, titles: DataFram
     """
     routed = requests.route_requests(requests_table)
     asked = routed.where(F.col("status") == "ok").select("query_id", "query", F.col("book").alias("book_uid"))
-    embedded = embed_queries(asked, embedder)
+    embedded = cut_lineage(embed_queries(asked, embedder))  # read several times; the model runs once
     checked = vectors.dimension_check(embedded, collections, "book_uid")
     hits = best_passages(embedded, collections)
     full = hits.join(collections.select("book_uid", "chunk_id", "document"), ["book_uid", "chunk_id"])

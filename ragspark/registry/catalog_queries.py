@@ -121,6 +121,16 @@ def _(spark, d):
     return flows.recommend_by_keyword(tables.book_questions(spark, d), tables.recommender_books(spark, d))
 
 
+@query("keyword_recommendation_outcomes", f"""with {OVERLAP}, n as (select query_id, count(*) as n from ranked where query_id % 5 > 1 group by 1)
+select query_id, case when n is null then 'no_results' else 'ok' end as status, coalesce(n, 0) as total,
+  case when query_id % 5 = 0 then 'Please provide a meaningful query.' when n is null then 'No books found matching your query.'
+       else 'Recommendations fetched successfully (fallback mode)' end as message from questions left join n using (query_id)""")
+def _(spark, d):
+    which = F.col("query_id") % 5
+    asked = tables.book_questions(spark, d).withColumn("query", F.when(which == 0, " \t ").when(which == 1, "zz@zz").otherwise(F.col("query")))
+    return flows.keyword_outcomes(asked, flows.recommend_by_keyword(asked, tables.recommender_books(spark, d)))
+
+
 DELIVERY = f"""{q.RECOMMENDER}, held as (select book_id from recommender where processed),
 batch as (select l_partkey as book_id from lineitem union all select book_id from recommender),
 keys as (select book_id, count(*) as n, book_id in (select book_id from held) as held, book_id % 17 = 0 as broken from batch group by all),

@@ -45,12 +45,18 @@ flags as (select *, {q.forum_source('source')} as is_forum, {q.noise('chunk_text
 {q.FINAL_CONTEXT}"""
 
 
-@query("chunk_similarity", f"with recursive {SCORED} select query_id, chunk_key, token_estimate, round(similarity, 4) as similarity from scored")
+def _short_key():
+    """The key with a result's place counted in steps of 2^20, as the SQL statements write it."""
+    pos = F.floor(F.col("chunk_key") / web.PARTS_PER_RESULT)
+    return (pos * 1048576 + F.col("chunk_key") % web.PARTS_PER_RESULT).alias("chunk_key")
+
+
+@query("chunk_similarity",f"with recursive {SCORED} select query_id, chunk_key, token_estimate, round(similarity, 4) as similarity from scored")
 def _(spark, d):
     results = tables.web_results(spark, d)
     filtered = quality.filter_with_fallback(results)
     scored = web.scored_chunks(filtered, web.query_table(results), hashing_embedder(), 0.35)
-    return scored.select("query_id", "chunk_key", "token_estimate", "similarity")
+    return scored.select("query_id", _short_key(), "token_estimate", "similarity")
 
 
 @query("reranked_chunks", f"with recursive {CONTEXT} select query_id, chunk_key, rerank_score, rank from ranked")
@@ -58,7 +64,7 @@ def _(spark, d):
     results = tables.web_results(spark, d)
     asked = web.query_table(results)
     scored = web.scored_chunks(quality.filter_with_fallback(results), asked, hashing_embedder(), 0.35)
-    return rerank(web.pruned_chunks(scored), asked, lexical_scorer).select("query_id", "chunk_key", "rerank_score", "rank")
+    return rerank(web.pruned_chunks(scored), asked, lexical_scorer).select("query_id", _short_key(), "rerank_score", "rank")
 
 
 @query("web_context", f"with recursive {CONTEXT} select * from final_context")
@@ -170,6 +176,16 @@ def _(spark, d):
     return books.outcomes(*_book_flow(spark, d))
 
 
+@query("book_outcomes_without_books", f"""with {BOOK_HITS}
+select query_id, case when length(query) > 500 then 'error' else 'no_results' end as status, 0::BIGINT as total,
+  case when length(query) > 500 then 'Query too long. Maximum 500 characters allowed'
+       else 'No books found matching ''' || query || '''. Try a different query.' end as message from asked""")
+def _(spark, d):
+    asked, hits = _book_flow(spark, d)
+    none = tables.table(spark, d, "embeddings").where(F.size("embedding") == 0)
+    return books.outcomes(asked, hits.join(none.select(F.col("vec_id").alias("book_id")), "book_id", "left_semi"), none)
+
+
 SHOWN = f"""{HYBRID}, open_ones as (select * from hybrid where is_oa),
 cut as (select * from (select * exclude (rank), row_number() over (partition by query_id order by citations desc, branch, place)::INT as rank
         from open_ones) where rank <= 5)"""
