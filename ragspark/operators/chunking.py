@@ -5,14 +5,17 @@ an Arrow UDF."""
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ragspark.functions import fixed_values as fv
 from ragspark.functions import text as tx
+from ragspark.session import cut_lineage
 
 _CHUNK = "struct<text:string,tok:int>"
 _BLOCK = "struct<text:string,tok:int,upto:int>"
@@ -20,6 +23,7 @@ _WORD = "'" + tx.WORD.replace("\\", "\\\\") + "'"
 _SPACE = "'" + (tx.SPACE + "+").replace("\\", "\\\\") + "'"
 
 SEGMENT = 64
+RUN_SLICE = 65_536  # positions of a query that one task puts in order
 
 
 def _fold(kind: str, carried: dict[str, str], merge: str, finish: str) -> str:
@@ -149,17 +153,95 @@ def _one_row_per_chunk(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def chunk_results(results: DataFrame, merge: bool = True) -> DataFrame:
-    """Chunks of filtered web results ``(query_id, pos, url, score, content)``.
+    """Chunks of filtered web results ``(query_id, pos, url, score, content)``, with positions unique in a query.
 
-    Small neighbours merge within one result row, which is one source: a payload lists each URL once. Rows of a URL
-    that is listed again are chunked on their own, so a source that holds many rows never gathers in one task.
+    Small neighbours merge within one source. Nearly always that is one result row, folded inside the row; rows that
+    stand beside another row of their query and source merge across rows (``_merge_runs``). ``part`` orders the chunks
+    of a result; across rows, a merged chunk has place, score and section of its first member.
     """
     keyed = results.select("query_id", "pos", F.col("url").alias("source"), F.col("score").alias("tavily_score"),
                            "content")
-    out = window_chunks(keyed, "content").drop("content")
-    if merge:
-        out = merge_small(out)
-    return _one_row_per_chunk(out, ["query_id", "pos", "source", "tavily_score"])
+    keep = ["query_id", "pos", "source", "tavily_score"]
+    if not merge:
+        return _one_row_per_chunk(window_chunks(keyed, "content").drop("content"), keep)
+    runs = cut_lineage(_neighbours(keyed.select("query_id", "pos", "source")))
+    alone = keyed.join(runs, ["query_id", "pos"], "left_anti")
+    beside = window_chunks(keyed.join(runs, ["query_id", "pos"]), "content").drop("content")
+    return _one_row_per_chunk(merge_small(window_chunks(alone, "content").drop("content")), keep).unionByName(
+        _merge_runs(_one_row_per_chunk(beside, [*keep, "run"])))
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """``(query_id, pos, run)`` of rows beside a row of their query and source; ``run`` is the first row's position.
+
+    Rows are narrow and ordered in slices of ``RUN_SLICE`` positions, so a query of any length is many groups; the
+    slices' edges, one row each, link the slices of a query. A row without words still parts its neighbours.
+    """
+    sliced = rows.withColumn("_slice", F.floor(F.col("pos") / RUN_SLICE))
+    inside = Window.partitionBy("query_id", "_slice").orderBy("pos")
+    across = Window.partitionBy("query_id").orderBy("_slice")
+    ends = sliced.groupBy("query_id", "_slice").agg(
+        F.max_by(F.struct("source"), "pos").alias("_end"), F.min_by(F.struct("source"), "pos").alias("_begin"))
+    edges = ends.select(
+        "query_id", "_slice", F.lag("_end").over(across).alias("_end"), F.lead("_begin").over(across).alias("_begin"))
+    source = F.struct("source")
+    linked = sliced.join(edges, ["query_id", "_slice"]).select(
+        "query_id", "pos", "_slice",
+        F.coalesce(F.lag(source).over(inside), F.col("_end")).eqNullSafe(source).alias("_after"),
+        F.coalesce(F.lead(source).over(inside), F.col("_begin")).eqNullSafe(source).alias("_before"))
+    members = linked.where("_after or _before")
+    start = F.when(~F.col("_after"), F.col("pos"))
+    opened = members.groupBy("query_id", "_slice").agg(F.max(start).alias("_open"))
+    carried = opened.select("query_id", "_slice", F.max("_open").over(
+        across.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    run = F.coalesce(F.max(start).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    return members.join(carried, ["query_id", "_slice"]).select("query_id", "pos", run.alias("run"))
+
+
+def _merge_runs(chunks: DataFrame) -> DataFrame:
+    """Joins small chunks to their predecessor, else to their successor, over all rows of a run.
+
+    Each task reads its runs in order and holds one or two chunks, so a run may have any length.
+    """
+    rows = chunks.select("query_id", "run", "pos", "part", "source", "tavily_score", "section_index", "chunk_text",
+                         "token_estimate")
+
+    def merged(first: dict, second: dict) -> dict:
+        return first | {"chunk_text": first["chunk_text"] + "\n\n" + second["chunk_text"],
+                        "token_estimate": first["token_estimate"] + second["token_estimate"]}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = held = None
+        for batch in batches:
+            ready = []
+            for row in batch.to_pylist():
+                if last is not None or held is not None:
+                    before = held or last
+                    if (before["query_id"], before["run"]) != (row["query_id"], row["run"]):
+                        ready += [c for c in (last, held) if c is not None]
+                        last = held = None
+                small = row["token_estimate"] < fv.CHUNK_MIN_TOKENS
+                if held is not None:
+                    fits = held["token_estimate"] + row["token_estimate"] <= fv.CHUNK_MERGE_LIMIT
+                    ready += [c for c in ((last,) if fits else (last, held)) if c is not None]
+                    last, held, small = (merged(held, row), None, None) if fits else (None, None, small)
+                    if fits:
+                        continue
+                if small and last is not None and last["token_estimate"] + row["token_estimate"] <= fv.CHUNK_MERGE_LIMIT:
+                    last = merged(last, row)
+                elif small:
+                    held = row
+                else:
+                    ready += [last] if last is not None else []
+                    last = row
+            yield pa.RecordBatch.from_pylist(ready, schema=batch.schema)
+            kind = batch.schema
+        rest = [c for c in (last, held) if c is not None]
+        if rest:
+            yield pa.RecordBatch.from_pylist(rest, schema=kind)
+
+    ordered = rows.repartition("query_id", "run").sortWithinPartitions("query_id", "run", "pos", "part")
+    return ordered.mapInArrow(fold, rows.schema).drop("run")
 
 
 def _split_text(text: str, separators: tuple[str, ...]) -> list[str]:

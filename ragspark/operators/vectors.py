@@ -3,9 +3,8 @@
 The work is done block against block: Spark spreads the rows, each task multiplies two bounded matrices and emits
 only what survives (k rows per query, or pairs above a threshold). No join ever emits all pairs of a group.
 
-* A query side that fits a fixed size is shipped to every task and the corpus is scanned without a shuffle.
-* Otherwise both sides are cut into blocks of bounded size by a hash of their ids, and each pair of blocks of one
-  scope is a group of its own, so a scope that holds a third of all rows becomes many groups.
+Both sides are cut into blocks of bounded size by a hash of their ids, and each pair of blocks of one scope is a group
+of its own, so a scope that holds a third of all rows becomes many groups. The plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -21,10 +20,7 @@ from pyspark.sql import types as T
 from ragspark.functions import vectors as vx
 from ragspark.operators.ranking import top_k
 
-BLOCK_ROWS = 4096
-BLOCK_SCORES = 4_000_000  # scores a task holds at once, 32 MB a matrix
-SHIPPED_ROWS = 4096
-SHIPPED_VALUES = 8_000_000
+BLOCK_ROWS = 2048  # two blocks give at most 4 million scores, about 32 MB a matrix
 DIGITS = 9  # similarities are rounded before they are compared, so block shapes cannot reorder equal vectors
 
 
@@ -96,7 +92,6 @@ def nearest(
     vector: str = "embedding",
     metric: str = "cosine",
     block_rows: int = BLOCK_ROWS,
-    shipped_rows: int = SHIPPED_ROWS,
 ) -> DataFrame:
     """Exact k nearest corpus rows per query: ``(query_id, corpus_key, similarity | distance, rank)``.
 
@@ -109,12 +104,7 @@ def nearest(
         T.StructField("_id", right.schema["_id"].dataType),
         T.StructField("_c", T.DoubleType()),
     ])
-    shipped = _fitting(left, shipped_rows)
-    hits = (
-        _scan_best(right, shipped, k, metric, out)
-        if shipped is not None
-        else _grouped_best(left, right, k, metric, block_rows, out)
-    )
+    hits = _grouped_best(left, right, k, metric, block_rows, out)
     value = F.col("_c") if metric == "cosine" else -F.col("_c") + F.lit(0.0)
     best = top_k(hits, ["_q"], [F.desc("_c"), F.asc("_id")], k)
     return best.select(
@@ -125,50 +115,6 @@ def nearest(
     )
 
 
-def _fitting(left: DataFrame, rows: int) -> pa.Table | None:
-    """The prepared query side if it stays within the fixed size, else None. Reads at most ``rows + 1`` rows."""
-    if rows <= 0:
-        return None
-    head = left.limit(rows + 1).toArrow()
-    values = sum(len(chunk.flatten()) for chunk in head["_v"].chunks)
-    return head if head.num_rows <= rows and values <= SHIPPED_VALUES else None
-
-
-def _scan_best(right: DataFrame, shipped: pa.Table, k: int, metric: str, out: T.StructType) -> DataFrame:
-    sides = {}
-    for s in shipped["_s"].unique().to_pylist():
-        part = shipped.filter(pa.compute.equal(shipped["_s"], s))
-        sides[s] = (_ids(part["_id"]), _matrix(part["_v"]))
-    held = right.sparkSession.sparkContext.broadcast(sides)
-    query_type = shipped.schema.field("_id").type
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, tuple] = {}
-        corpus_type = None
-        for batch in batches:
-            codes = batch["_s"].dictionary_encode()
-            for code, s in enumerate(codes.dictionary.to_pylist()):
-                if s not in held.value:
-                    continue
-                rows = np.flatnonzero(codes.indices.to_numpy(zero_copy_only=False) == code)
-                part = batch.take(pa.array(rows))
-                corpus_type = part.schema.field("_id").type
-                step = max(1, BLOCK_SCORES // len(held.value[s][0]))
-                for at in range(0, part.num_rows, step):
-                    piece = part.slice(at, step)
-                    found = _block_best(*held.value[s], _ids(piece["_id"]), _matrix(piece["_v"]), k, metric)
-                    if s in best:
-                        found = _best(*(np.concatenate(pair) for pair in zip(best[s], found)), k)
-                    best[s] = found
-        for owner, ids, value in best.values():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(owner, type=query_type), pa.array(ids, type=corpus_type), pa.array(value)],
-                names=["_q", "_id", "_c"],
-            )
-
-    return right.mapInArrow(scan, out)
-
-
 def _grouped_best(left, right, k: int, metric: str, block_rows: int, out: T.StructType) -> DataFrame:
     left, right = _blocks(left, block_rows), _blocks(right, block_rows)
     across_left = right.select("_s", F.col("_n").alias("_m")).distinct()

@@ -41,6 +41,20 @@ def recommend_papers(
     return papers.present(papers.access_filter(found, kind), max(1, min(int(k), 20)))
 
 
+def answer_queries(
+    queries: DataFrame, first: DataFrame, second: DataFrame, path: str, embedder: Embedder | None, k: int = 5,
+    kind: str = "all",
+) -> DataFrame:
+    """The whole flow: rows of two sources to papers shown, with the index at ``path`` growing on the way.
+
+    Without an embedder, the sources' own order decides among each query's papers.
+    """
+    if embedder is None:
+        plain = papers.plain_ranking(collect_candidates(first, second))
+        return papers.present(papers.access_filter(plain, kind), max(1, min(int(k), 20)))
+    return recommend_papers(queries, grow_index(collect_candidates(first, second), path, embedder), embedder, k, kind)
+
+
 def outcomes(queries: DataFrame, shown: DataFrame) -> DataFrame:
     return label_outcomes(queries, shown).withColumn(
         "message",

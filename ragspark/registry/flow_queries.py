@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.operators import quality, requests
+from ragspark.functions import fixed_values as fv
+from ragspark.functions import text as tx
+from ragspark.operators import papers, quality, requests
 from ragspark.operators.embedding import hashing_embedder, lexical_scorer
 from ragspark.operators.rerank import rerank
 from ragspark.plans import books, journals, passages, web
@@ -12,6 +14,8 @@ from ragspark.registry import query, tables
 from ragspark.registry import sql as q
 from ragspark.registry.retrieval_queries import HYBRID, NEAR
 from ragspark.registry.text_queries import CHUNK_SQL
+from ragspark.session import shared_folder
+from ragspark.sources.tables import insert_if_absent, stored, write_collections
 
 SCORED = f"""{q.FILTERED}, source_texts as (select query_id * 1000000 + pos as doc, content from filtered), {CHUNK_SQL},
 parts as (select f.query_id, f.pos::BIGINT * 1048576 + m.part as chunk_key, f.url as source, m.chunk_text, m.token_estimate,
@@ -194,7 +198,6 @@ cut as (select * from (select * exclude (rank), row_number() over (partition by
 def _open_papers(spark, d):
     rows = tables.papers(spark, d).withColumn("doi", F.format_string("10.9/%d", F.col("paper_id")))
     # The paper's own number keeps the order of equal scores the same as in the SQL statement.
-    from ragspark.operators import papers
     index_table = hashing_embedder()(papers.paper_text(rows), "text", "embedding")
     return journals.recommend_papers(tables.queries(spark, d), index_table, hashing_embedder(), 5, "open_access")
 
@@ -215,3 +218,92 @@ select query_id, case when n is null then 'no_results' else 'ok' end as status,
 from queries left join n using (query_id)""")
 def _(spark, d):
     return journals.outcomes(tables.queries(spark, d), _open_papers(spark, d))
+
+
+FLOW_PAPERS = q.PAPERS.replace("papers as (", "raw_papers as (", 1).replace("from papers)", "from raw_papers)") + f""",
+flow_rows as (
+  select query_id, pos, '10.9/' || paper_id as paper_id, title, year, abstract, citations, publisher, pdf is not null as is_oa,
+    coalesce(pdf, '') as pdf from candidates_ where query_id % 2 = 0 union all
+  select query_id, pos, '10.9/' || paper_id, title, year, array_to_string({q.words('title')}, ' '), citations, publisher, is_oa,
+    coalesce(pdf, '') from candidates_ where query_id % 2 = 1),
+papers as (select * exclude (query_id, pos, seen) from (
+  select *, row_number() over (partition by query_id, title order by pos) as seen from flow_rows) where seen = 1)"""
+
+FLOW_SHOWN = f"""known as (select * from hybrid where regexp_matches(lower(publisher), '{'|'.join(fv.SUBSCRIPTION_PUBLISHERS)}')),
+allowed as (select * from known union all select * from hybrid where not is_oa and query_id not in (select query_id from known)),
+cut as (select * from (select * exclude (rank), row_number() over (partition by query_id order by citations desc, branch, place)::INT
+          as rank from allowed) where rank <= 5)"""
+
+
+def _source_rows(spark, d):
+    """Every paper as a raw row of both paper services; the first one answers every other query only."""
+    rows = tables.candidate_papers(spark, d).withColumn("doi", F.format_string("10.9/%d", F.col("paper_id")))
+    graph = rows.where("query_id % 2 = 0").select(
+        "query_id", "pos", "title", F.col("doi").alias("paperId"), "year", "abstract", F.col("publisher").alias("venue"),
+        F.col("citations").alias("citationCount"),
+        F.when(F.col("pdf").isNotNull(), F.struct(F.col("pdf").alias("url"))).alias("openAccessPdf"))
+    at = F.transform(tx.words(F.col("title")), lambda w, i: F.struct(w.alias("word"), i.alias("at")))
+    words = F.array_distinct(F.transform(at, lambda x: x["word"]))
+    inverted = F.map_from_arrays(words, F.transform(words, lambda w: F.transform(
+        F.filter(at, lambda x: x["word"] == w), lambda x: x["at"])))
+    works = rows.select(
+        "query_id", "pos", "title", F.col("doi").alias("id"), F.col("year").alias("publication_year"),
+        F.col("citations").alias("cited_by_count"), inverted.alias("abstract_inverted_index"),
+        F.struct("publisher").alias("host_venue"), F.struct("is_oa", F.col("pdf").alias("oa_url")).alias("open_access"))
+    return (papers.from_graph_source(graph, "query_id", "pos"), papers.from_works_source(works, "query_id", "pos"))
+
+
+@query("paper_flow", f"""with {HYBRID.replace(q.PAPERS, FLOW_PAPERS)}, {FLOW_SHOWN}
+select query_id, rank, coalesce(nullif(title, ''), 'Untitled') as title, paper_id as doi, year, {q.strip('abstract')} as abstract,
+  citations, publisher, is_oa, coalesce(nullif(pdf, ''), 'https://doi.org/' || replace(paper_id, '/', '%2F')) as source_url,
+  round(s, 4) as similarity_score, round(s * 100, 2) as match_percentage
+from (select *, coalesce(citations::DOUBLE / nullif(max(citations) over (partition by query_id), 0), 0.0) as s from cut)""")
+def _(spark, d):
+    shown = journals.answer_queries(tables.queries(spark, d), *_source_rows(spark, d), shared_folder(spark, "papers"),
+                                    hashing_embedder(), 5, "subscription")
+    return shown.drop("pdf", "summary")
+
+
+@query("paper_flow_without_vectors", f"""with {FLOW_PAPERS}, firsts as (
+  select query_id, paper_id, pos, is_oa, row_number() over (partition by query_id, title order by pos) as seen from flow_rows),
+cut as (select *, row_number() over (partition by query_id order by pos)::INT as rank from firsts where seen = 1 and is_oa)
+select query_id, rank, paper_id as doi from cut where rank <= 5""")
+def _(spark, d):
+    shown = journals.answer_queries(tables.queries(spark, d), *_source_rows(spark, d), shared_folder(spark, "papers"),
+                                    None, 5, "open_access")
+    return shown.select("query_id", "rank", "doi")
+
+
+@query("papers_delivered_twice", """select '10.9/' || doc_id as paper_id, 1::BIGINT as stored, length(string_split(text, chr(10))[1] || ' ' || text) as chars
+from documents""")
+def _(spark, d):
+    rows = tables.papers(spark, d).withColumn("doi", F.format_string("10.9/%d", F.col("paper_id"))).drop("paper_id")
+    path = shared_folder(spark, "papers")
+    journals.grow_index(rows.where("citations < 200"), path, hashing_embedder())
+    held = journals.grow_index(rows, path, hashing_embedder())
+    return held.groupBy("paper_id").agg(F.count("*").alias("stored"), F.max(F.length("text")).cast("long").alias("chars"))
+
+
+@query("books_delivered_twice", """select p_partkey as book_id, 1::BIGINT as stored, 384 as dim from part""")
+def _(spark, d):
+    path = shared_folder(spark, "books")
+    rows = tables.recommender_books(spark, d)
+
+    def embed(fresh):
+        return hashing_embedder(384)(fresh, "summary", "embedding")
+    insert_if_absent(rows.where("processed"), path, "book_id", embed)
+    insert_if_absent(rows.unionByName(rows), path, "book_id", embed)
+    return stored(spark, path).groupBy("book_id").agg(
+        F.count("*").alias("stored"), F.max(F.size("embedding")).alias("dim"))
+
+
+@query("collections_replaced", """select 'book-' || label as book_uid, count(*) as rows, min(vec_id) as first_chunk, max(vec_id) as last_chunk
+from embeddings where label >= 5 or vec_id % 2 = 0 group by label""")
+def _(spark, d):
+    path = shared_folder(spark, "collections")
+    rows = tables.collections(spark, d)
+    write_collections(rows, path)
+    again = rows.where("int(substr(book_uid, 6)) < 5 and chunk_id % 2 = 0")
+    write_collections(again, path)
+    return spark.read.parquet(path).groupBy("book_uid").agg(
+        F.count("*").alias("rows"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))

@@ -31,7 +31,7 @@ def _(spark, d):
 @query("passage_top_k_blocks", f"with {q.PASSAGES}, {NEAR} select query_id, chunk_id, rank, round(similarity, 6) as similarity from near")
 def _(spark, d):
     hits = vectors.nearest(tables.passage_queries(spark, d), tables.collections(spark, d), 5, scope=["book_uid"],
-                           shipped_rows=0, block_rows=256)
+                           block_rows=256)
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 

@@ -177,6 +177,25 @@ def _(spark, d):
     return chunking.chunk_results(tables.web_results(spark, d))
 
 
+ROW_CHUNKS, ROW_MERGE = CHUNK_SQL.split("merge_walk as (", 1)
+RUN_MERGE = "merge_walk as (" + ROW_MERGE.replace("source_texts", "run_texts").replace("chunk_rows", "run_chunks")
+
+
+@query("repeated_source_chunks", f"""with recursive {q.WEB}, source_texts as (select doc_id as doc, content from web), {ROW_CHUNKS}
+run_chunks as (
+  select run as doc, row_number() over (partition by run order by pos, n) as n, text, tok, query_id, pos, n::INT - 1 as section
+  from (select *, query_id * 1000000 + case when query_id % 5 = 0 then 0 else pos // 3 end as run from web) w
+  join chunk_rows c on c.doc = w.doc_id),
+run_texts as (select distinct doc from run_chunks), {RUN_MERGE}
+select r.query_id, r.pos, r.section as section_index, m.chunk_text, m.token_estimate
+from merged_chunks m join run_chunks r on r.doc = m.doc and r.n = m.section_index + 1""")
+def _(spark, d):
+    rows = tables.web_results(spark, d)
+    site = F.when(F.col("query_id") % 5 == 0, F.lit("all")).otherwise(F.floor(F.col("pos") / 3).cast("string"))
+    chunks = chunking.chunk_results(rows.withColumn("url", F.concat(F.lit("https://site.example.com/"), site)))
+    return chunks.select("query_id", "pos", "section_index", "chunk_text", "token_estimate")
+
+
 @query("character_split")
 def _(spark, d):
     docs = tables.table(spark, d, "documents")

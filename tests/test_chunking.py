@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from ragspark.operators import chunking
@@ -67,3 +70,50 @@ def test_one_evaluation_of_the_fold(spark):
 def test_separators_stay_with_the_text_after_them():
     text = "\n\n".join(["a" * 300, "\n" + "b" * 300, "c" * 100])
     assert chunking._split_text(text, ("\n\n", "\n", ". ", " ", "")) == ["a" * 300, "b" * 300 + "\n\n" + "c" * 100]
+
+
+def _merged_list(chunks):
+    """The list walk over ``(pos, section, source, text, tokens)`` rows that the run merge must equal."""
+    done, i = [], 0
+    while i < len(chunks):
+        pos, section, source, text, tok = chunks[i]
+        i += 1
+        if tok < 200 and done and done[-1][2] == source and done[-1][4] + tok <= 450:
+            p, s, _, before, held = done.pop()
+            done.append((p, s, source, before + "\n\n" + text, held + tok))
+        elif tok < 200 and i < len(chunks) and chunks[i][2] == source and tok + chunks[i][4] <= 450:
+            done.append((pos, section, source, text + "\n\n" + chunks[i][3], tok + chunks[i][4]))
+            i += 1
+        else:
+            done.append((pos, section, source, text, tok))
+    return done
+
+
+@pytest.mark.parametrize("slice_rows", [65_536, 4])
+def test_small_chunks_merge_over_rows_of_a_source(spark, monkeypatch, slice_rows):
+    monkeypatch.setattr(chunking, "RUN_SLICE", slice_rows)
+    draw = random.Random(3)
+    rows = []
+    for q in range(4):
+        place, site = 0, 0
+        for _ in range(30):
+            place += draw.choice([1, 1, 2, 9])
+            site += draw.random() < 0.3
+            words = draw.choice([20, 120, 190, 210, 260, 520])
+            url = None if site == 2 else f"s{site % 3}"
+            rows.append((q, place, url, 0.7, " ".join(f"w{n}" for n in range(words)) + "."))
+    df = spark.createDataFrame(rows, "query_id int, pos int, url string, score double, content string")
+    raw = chunking.chunk_results(df, merge=False).orderBy("query_id", "pos", "part").collect()
+    want = []
+    for q in range(4):
+        listed = [(r.pos, r.section_index, r.source, r.chunk_text, r.token_estimate) for r in raw if r.query_id == q]
+        want += [(q, *row) for row in _merged_list(listed)]
+    got = chunking.chunk_results(df).orderBy("query_id", "pos", "part")
+    found = [(r.query_id, r.pos, r.section_index, r.source, r.chunk_text, r.token_estimate) for r in got.collect()]
+    assert found == want
+    assert len(want) < len(raw)
+
+
+def test_run_merge_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "query_id int, pos int, url string, score double, content string")
+    assert chunking.chunk_results(none).collect() == []

@@ -25,11 +25,11 @@ def cosine(a, b):
     return round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
 
 
-@pytest.mark.parametrize("shipped", [4096, 0])
-def test_nearest_equals_brute_force(cloud, shipped):
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_nearest_equals_brute_force(cloud, block_rows):
     rows, df = cloud
     got = vectors.nearest(df, df.withColumnRenamed("id", "other"), 4, scope=["g"], query_key="id", corpus_key="other",
-                          shipped_rows=shipped, block_rows=16)
+                          block_rows=block_rows)
     found = {}
     for r in got.collect():
         found.setdefault(r.id, []).append((r.rank, r.other))
