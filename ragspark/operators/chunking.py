@@ -164,7 +164,8 @@ def chunk_results(results: DataFrame, merge: bool = True) -> DataFrame:
     keep = ["query_id", "pos", "source", "tavily_score"]
     if not merge:
         return _one_row_per_chunk(window_chunks(keyed, "content").drop("content"), keep)
-    runs = cut_lineage(_neighbours(keyed.select("query_id", "pos", "source")))
+    narrow = cut_lineage(keyed.select("query_id", "pos", "source"))  # read several times; its filters run once
+    runs = cut_lineage(_neighbours(narrow))
     alone = keyed.join(runs, ["query_id", "pos"], "left_anti")
     beside = window_chunks(keyed.join(runs, ["query_id", "pos"]), "content").drop("content")
     return _one_row_per_chunk(merge_small(window_chunks(alone, "content").drop("content")), keep).unionByName(
