@@ -4,9 +4,12 @@ A document's set holds the 64-bit hashes of its word shingles. Two sets link whe
 The way to the trees loses no link:
 
 1. Equal sets are one member from here on.
-2. A set of n hashes with a partner shares at least ``o = ceil(least * n / 100)`` of them, so of any ``p`` hashes at
-   least ``p - (n - o)``. The 30 % smallest hashes of every set are counted in hash buckets; sets with too few shared
-   ones have no partner. Then the same with whole sets, among the sets left.
+2. A set of n hashes shares at least ``o = ceil(least * n / 100)`` of them with a partner, with one of m hashes at least
+   ``c = ceil(least * (n + m) / (100 + least))``. The ``p`` smallest hashes of every set, 30 % of it, are its sketch. The
+   j-th smallest common hash is at most number ``j + n - c`` of the one set and ``j + m - c`` of the other, so the two
+   sketches share at least the smaller of ``p_n - (n - c)`` and ``p_m - (m - c)``. Sketches are counted in hash buckets;
+   sets that share less than the least of this over all sizes a partner can have (``least_matched``) have no partner.
+   Then the same with whole sets, among the sets left.
 3. Ordered from rare to frequent, the first ``n - o + 1`` hashes of two partners have one in common. Sets that meet
    there, directly or through others, are a family; only frequencies decide this, pairs are never listed.
 4. Each set travels once to its family. There a signature tree groups the sets: a node holds the OR of its sets'
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import WordHashes, lower_ascii, mixed, packed, runs, shipped, slices, stored, text_key, window_hashes, words_of
@@ -50,11 +53,6 @@ def shingle_set(text: str | None, table: WordHashes, width: int = WIDTH) -> np.n
     return np.unique(window_hashes(hashes, min(width, len(words))))
 
 
-def needed(n: Column, least: int) -> Column:
-    """The smallest number of hashes that a set of ``n`` shares with any partner."""
-    return F.ceil(n * least / 100)
-
-
 class SignatureTree:
     """Sets in an order that brings near copies together, in nodes with OR-combined bitmaps and size ranges."""
 
@@ -189,26 +187,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
-        table = WordHashes()
+        table, wanted = WordHashes(), {}
         for batch in slices(batches, BATCH_ROWS):
             sets = [shingle_set(t, table, width) for t in batch.column(2).to_pylist()]
             digests = [xxhash.xxh3_128(s.tobytes()).digest() for s in sets]
+            wanted.update((n, least_matched(n, least)) for n in {len(s) for s in sets} - wanted.keys())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([d.hex() if len(s) else None for s, d in zip(sets, digests)], pa.string()),
                  pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
-                 packed([s[:sketch_length(len(s), least)] for s in sets])],
-                ["doc", "key", "n", "set", "low", "sketch"])
+                 packed([s[:sketch_length(len(s), least)] for s in sets]), pa.array([wanted[len(s)] for s in sets], pa.int64())],
+                ["doc", "key", "n", "set", "low", "sketch", "wanted"])
 
-    every = stored(rows.mapInArrow(sketched, "doc long, key long, n long, set string, low long, sketch binary"))
-    n = F.col("n")
+    every = stored(rows.mapInArrow(sketched, "doc long, key long, n long, set string, low long, sketch binary, wanted long"))
     # a member is named by the low half of its set's digest; the smallest row holds it
-    members = stored(every.where("set is not null").groupBy("set", "low", "n").agg(
+    members = stored(every.where("set is not null").groupBy("set", "low", "n", "wanted").agg(
         F.min("doc").alias("first_doc"), F.min(F.struct(F.col("doc").isNull(), "doc", "key")).alias("h")))
     matched = shared_counts(every.where("n > 0").select("low", F.col("sketch").alias("hashes")))
-    length = F.least(n, F.greatest(n - needed(n, least) + 1, F.ceil(n * SKETCH / 100)))
-    eligible = stored(members.join(matched, "low").where(F.col("matched") >= length - n + needed(n, least))
-                      .select("low", "n", "h.doc", "h.key"))
+    eligible = stored(members.join(matched, "low").where("matched >= wanted").select("low", "n", "h.doc", "h.key"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
@@ -240,6 +236,16 @@ def sketch_length(n: int, least: int) -> int:
     return min(n, max(n - overlap + 1, -(-n * SKETCH // 100)))
 
 
+def least_matched(n: int, least: int) -> int:
+    """The smallest number of hashes that the sketch of a set of ``n`` shares with the sketch of any partner."""
+    if n == 0:
+        return 0
+    m = np.arange(-(-n * least // 100), n * 100 // least + 1)
+    common = -(-least * (n + m) // (100 + least))
+    other = np.minimum(m, np.maximum(m + -m * least // 100 + 1, -(-m * SKETCH // 100)))
+    return int(np.minimum(sketch_length(n, least) - (n - common), other - (m - common)).min())
+
+
 def buckets(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

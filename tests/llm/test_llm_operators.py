@@ -196,6 +196,27 @@ def test_signature_trees_equal_brute_force():
     assert components_of(range(len(sets)), split) == want
 
 
+def test_sketches_of_small_sets_lose_no_link(spark):
+    texts = [sentence(n, 9000 + 100 * n + i) for n in (8, 12, 28) for i in range(40)]
+    longer = [f"{t} more{i}" + "".join(f" x{i}y{k}" for k in range({8: 0, 12: 1, 28: 5}[len(t.split())])) for i, t in enumerate(texts)]
+    pairs = spark.createDataFrame([*enumerate(texts), *((1000 + i, t) for i, t in enumerate(longer))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(pairs).collect()}
+    assert {(got[1000 + i][0], got[i][0]) for i in range(120)} == {(5, 4), (10, 8), (30, 24)}
+    assert all(got[1000 + i][1] == i for i in range(120))
+
+
+def test_least_matched_is_reached_by_any_two_partners():
+    r = np.random.default_rng(2)
+    for n in range(1, 61):
+        for m in range(-(-n * 4 // 5), n * 5 // 4 + 1):
+            common = -(-80 * (n + m) // 180)
+            for _ in range(10):
+                place = r.permutation(n + m - common)  # ranks; the common hashes come first
+                one, two = np.sort(place[:n]), np.sort(np.r_[place[:common], place[n:]])
+                shared = len(np.intersect1d(one[:jaccard.sketch_length(n, 80)], two[:jaccard.sketch_length(m, 80)]))
+                assert shared >= max(jaccard.least_matched(n, 80), jaccard.least_matched(m, 80), 1), (n, m)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (8, 7), (5, 5), (20, 21), (21, 22), (22, 4), (2, 1)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
