@@ -3,7 +3,9 @@
 The patterns of ``BASE`` are found as they stand. Every other unbroken string of one of the entropy classes is a
 candidate: a window slides over it, the counts of its characters are kept up to date as one character enters and one
 leaves, and with them the sum of ``c * log2(c)``, hence the Shannon entropy. Windows at or above the class's bound are
-joined to spans. Spans that touch a base span, or whose string the allow-list knows, are left out.
+joined to spans. Candidates that touch a base span are left out, and those the allow-list knows: strings that are a word
+path as a whole or name themselves a placeholder. Public pieces (UUIDs, digests with their name, alphabets, runs of x) are
+left out themselves, and what lies beside them is a candidate of its own.
 
 Positions are code points, ends exclusive. Null texts are empty and have no spans. Every row gives one row; repeated
 rows are scanned alike, extra columns are not read, an empty table gives an empty result.
@@ -52,14 +54,16 @@ CLASSES = (
                  r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])"
                  r"[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 20, 20, 3.6),
 )
-#: Strings that look random but are known to be public or placeholders.
+#: Candidates that look random but are known to be placeholders or, as a whole, paths of words.
 ALLOWED = (
-    re.compile(r"(?i)example|sample|placeholder|changeme|dummy|x{6,}"),
-    re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}"),
-    re.compile(r"(?i)sha(1|256|384|512)-"),
+    re.compile(r"(?i).*(example|sample|placeholder|changeme|dummy).*"),
     re.compile(r"[A-Za-z]+([/_-][A-Za-z]+)+"),
-    re.compile(r"0123456789|abcdefghij", re.IGNORECASE),
 )
+#: Public pieces of candidates.
+PIECES = re.compile(
+    r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])"
+    r"|(?<![0-9A-Za-z])sha(1-[0-9a-z+/]{27}=|256-[0-9a-z+/]{43}=|384-[0-9a-z+/]{64}|512-[0-9a-z+/]{86}==)(?![0-9a-z+/=])"
+    r"|x{6,}|0123456789|abcdefghij", re.IGNORECASE)
 
 
 def entropy_spans(string: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -98,18 +102,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan(text: str, classes: tuple[EntropyClass, ...] = CLASSES,
-         allowed: tuple[re.Pattern, ...] = ALLOWED) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
+def scan(text: str, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[re.Pattern, ...] = ALLOWED,
+         pieces: re.Pattern = PIECES) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
     """Base spans, and all spans as (start, kind, end) in order."""
     base = base_spans(text)
     added: list[tuple[int, int, str, int]] = []
     taken = [(s, e) for s, _, e in base]
     for k, kind in enumerate(classes):
         for m in _compiled(kind.pattern).finditer(text):
-            if any(p.search(m[0]) for p in allowed) or any(s < m.end() and m.start() < e for s, e in taken):
+            if any(p.fullmatch(m[0]) for p in allowed) or any(s < m.end() and m.start() < e for s, e in taken):
                 continue
-            added += [(m.start() + a, len(BASE) + k, kind.name, m.start() + b)
-                      for a, b in entropy_spans(m[0], kind.window, kind.bits)]
+            rest = pieces.sub(lambda p: " " * len(p[0]), m[0])
+            parts = [(0, rest)] if rest == m[0] else [(p.start(), p[0]) for p in _compiled(kind.pattern).finditer(rest)]
+            added += [(m.start() + at + a, len(BASE) + k, kind.name, m.start() + at + b)
+                      for at, part in parts for a, b in entropy_spans(part, kind.window, kind.bits)]
     every = sorted([(s, k, BASE[k][0], e) for s, k, e in base] + added)
     return base, [(s, name, e) for s, _, name, e in every]
 

@@ -138,6 +138,24 @@ def test_entropy_windows():
     assert secret_scan.scan(text)[1] == [(4, "entropy_base64", 24)]
 
 
+def test_bare_keys_are_found():
+    r = random.Random(11)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def key(n, more=""):
+        return "aB3" + "".join(r.choice(signs + more) for _ in range(n - 3))
+    for make in (lambda: key(40, "+/"), lambda: key(43, "-_"), lambda: key(86, "+/") + "==", lambda: "ghp_" + key(36), lambda: "sk_live_" + key(24)):
+        keys = [make() for _ in range(200)]
+        found = [secret_scan.scan(f"a {k} b")[1] for k in keys]
+        assert sum(bool(f) for f in found) >= 199, keys[0]
+        assert sum(sum(e - s for s, _, e in f) >= 0.8 * len(k) for k, f in zip(keys, found)) >= 190
+    word_path, uuid = "some/path_of-Words/And/MoreWords", "550E8400-e29b-41d4-a716-446655440000"
+    known = [word_path, uuid, "sha256-" + key(43) + "=", signs + "+/", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    assert [secret_scan.scan(f"a {k} b")[1] for k in known] == [[]] * len(known)
+    beside = key(30)
+    assert secret_scan.scan(f"{uuid}_{beside}")[1][0][0] >= len(uuid) and secret_scan.scan(f"sha1-{beside}")[1]
+
+
 def test_mask_secrets_keeps_columns(docs):
     out = secret_scan.mask_secrets(docs.withColumn("n_chars", F.length("text").cast("long")), length_col="n_chars")
     assert out.columns == [*docs.columns, "n_chars"]
