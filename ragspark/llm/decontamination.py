@@ -10,8 +10,9 @@ each (passage, block) and most blocks fall; (3) postings of the blocks left give
 A retrieved item counts as leaked when the passage holds at least ``overlap`` of the word pairs of its question (the
 first two thirds of its words) and of its answer (the rest).
 
-Items are indexed in blocks of ``ITEMS_PER_INDEX``, one pass over the passages each, so what is shipped to the tasks is
-bounded; term statistics cover all items. Null and empty texts hold no passage and no item. Equal items are found alike,
+Items are indexed whole, however long: those of up to ``ITEM_WORDS`` words together, longer ones with others of up to twice
+the length, so that passages follow the length of the items they are searched for. Blocks hold ``ITEMS_PER_INDEX`` items at
+most, one pass over the passages each; term statistics cover all items. Only an item of one or two words has no answer. Null and empty texts hold no passage and no item. Equal items are found alike,
 repeated documents are reported once; documents without an id cannot be named and are left out of the report; extra
 columns are not read; an empty table on either side gives an empty result. Ties do not matter, as nothing is ranked.
 """
@@ -153,6 +154,11 @@ def parts_of(words: list[str]) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:]
 
 
+def length_class(words: int) -> int:
+    """0 for items of up to ``ITEM_WORDS`` words, then one more for every doubling."""
+    return ((words - 1) // ITEM_WORDS).bit_length()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, id_col: str = "doc_id",
           text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and leaked item: best score, overlap of question and answer there, and passages that hold it."""
@@ -161,25 +167,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
         "item is not null and words is not null")
     blocks = max(1, -(-clean.count() // ITEMS_PER_INDEX))
     block = F.pmod(F.xxhash64("item"), F.lit(blocks))
-    loaded: list[list[tuple[int, list[str]]]] = []
+    by_length: dict[int, list[tuple[int, list[str]]]] = {}
     frequency: Counter = Counter()
     total, length = 0, 0
     for n in range(blocks):
-        items = []
         for row in clean.where(block == n).distinct().orderBy("item", "words").collect():
             words = [plain(w) for w in words_of(row.words)]
-            # a very long item is indexed in pieces of the same id, each a test item of its own
-            items += [(row.item, words[a:a + ITEM_WORDS]) for a in range(0, len(words), ITEM_WORDS)]
-        for _, words in items:
-            frequency.update(set(words))
-            length += len(words)
-        total += len(items)
-        loaded.append(items)
+            if words:
+                by_length.setdefault(length_class(len(words)), []).append((row.item, words))
+                frequency.update(set(words))
+                length += len(words)
+                total += 1
+    loaded = [items[a:a + ITEMS_PER_INDEX] for _, items in sorted(by_length.items()) for a in range(0, len(items), ITEMS_PER_INDEX)]
     weights = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
     found = None
     for items in loaded:
-        if not items:
-            continue
         index = spark.sparkContext.broadcast(BlockMaxIndex(items, weights, length / total))
         one = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(
             _search(index, threshold, overlap),

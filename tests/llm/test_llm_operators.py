@@ -275,6 +275,18 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontamination.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_long_items_are_compared_whole(spark):
+    items = [(n, f"{sentence(400, 7000 + n)} " + " ".join(f"tail{k}" for k in range(n))) for n in (1, 2, 3)] + [(9, sentence(1900, 7009))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(n, f"{sentence(333, 7100 + n)} {t} {sentence(50, 7200 + n)}") for n, t in items]
+    tails = [(100 + i, f"{sentence(40, 7300 + i)} tail0 tail1 tail2 {sentence(40, 7400 + i)}") for i in range(5)]
+    parts = [(200, f"{sentence(99, 7500)} {' '.join(items[3][1].split()[:450])}"), (201, " ".join(items[0][1].split()[:200]))]
+    docs = spark.createDataFrame(texts + tails + parts, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.question_overlap, r.answer_overlap) for r in decontamination.leaks(docs, benchmark).collect()}
+    assert got == {(n, n, 1.0, 1.0) for n in (1, 2, 3, 9)}
+    assert [decontamination.length_class(n) for n in (1, 400, 401, 800, 801, 1601)] == [0, 0, 1, 1, 2, 3]
+
+
 def test_block_max_index_equals_brute_force():
     r = random.Random(8)
     items = [(i, [r.choice(VOCABULARY[:80]) for _ in range(r.randint(4, 20))]) for i in range(90)]
