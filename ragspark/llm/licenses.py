@@ -2,8 +2,11 @@
 
 Every sentence of every whole text that holds a licence cue is a candidate. Equal sentences are handled once. Their
 term vectors, weighted by inverse document frequency over all candidates, meet the templates' vectors in a join on the
-term; the best template with a cosine of at least ``threshold`` names the licence. A file's own licence is that of its
-best sentence. A file with a licence of its own (of those that ``speaks`` allows, such as files named LICENSE) speaks for
+term; the best template with a cosine of at least ``threshold`` names the licence. Beside them, the whole text, the opening
+comment, and every paragraph and sentence of the text without comment marks and line breaks are units; their vectors meet
+those of ``NOTICES`` (short licence texts whole, headers and titles of long ones), weighted by inverse document frequency
+over the notices, so that a file's score does not depend on other files. A name in an SPDX tag counts 1. A file's own licence is that of its
+best sentence or unit. A file with a licence of its own (of those that ``speaks`` allows, such as files named LICENSE) speaks for
 its directory and everything below it; a file without one takes that of the nearest directory that has a speaker.
 
 Ancestors are looked up for directories, not files, so a directory's files add nothing to that join. Null and empty
@@ -37,6 +40,82 @@ TEMPLATES = (
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, Version 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain, The Unlicense."),
 )
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions:")
+_MIT_REST = ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+             "the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT "
+             "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+             "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+             "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+             "THE SOFTWARE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution.")
+_BSD_THIRD = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission.")
+_BSD_REST = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+             "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+             "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+             "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+             "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+             "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+             "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies.")
+_ISC_REST = ("THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+             "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+             "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+             "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+             "PERFORMANCE OF THIS SOFTWARE.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
+           "License. You may obtain a copy of the License at")
+_APACHE_REST = ("http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software "
+                "distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+                "either express or implied. See the License for the specific language governing permissions and limitations "
+                "under the License.")
+_GNU = ("This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by "
+        "the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+_GNU_REST = ("This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+             "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should "
+             "have received a copy of the GNU {name} along with this {what}. If not, see http://www.gnu.org/licenses/.")
+_UNLICENSE = "This is free and unencumbered software released into the public domain."
+_UNLICENSE_REST = ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+                   "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.")
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.")
+_GNU_KINDS = (("AGPL-3.0", "program", "Affero General Public License", "3", "19 November 2007"),
+              ("GPL-2.0", "program", "General Public License", "2", "June 1991"),
+              ("GPL-3.0", "program", "General Public License", "3", "29 June 2007"),
+              ("LGPL-2.1", "library", "Lesser General Public License", "2.1", "February 1999"),
+              ("LGPL-3.0", "library", "Lesser General Public License", "3", "29 June 2007"))
+#: Whole texts of short licences, and headers and titles of long ones. Parts that two licences share stand in
+#: whole texts only.
+NOTICES = (
+    *TEMPLATES, ("MIT", _MIT), ("MIT", f"{_MIT} {_MIT_REST}"), ("MIT", f"MIT License {_MIT} {_MIT_REST}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_REST}"), ("BSD-3-Clause", f"{_BSD} {_BSD_THIRD} {_BSD_REST}"), ("BSD-3-Clause", _BSD_THIRD),
+    ("ISC", _ISC), ("ISC", f"{_ISC} {_ISC_REST}"), ("Apache-2.0", _APACHE), ("Apache-2.0", f"{_APACHE} {_APACHE_REST}"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    *((n, part.format(what=w, name=k, version=v)) for n, w, k, v, _ in _GNU_KINDS for part in (_GNU, f"{_GNU} {_GNU_REST}")),
+    *((n, f"GNU {k} Version {v}, {day}") for n, _, k, v, day in _GNU_KINDS),
+    ("MPL-2.0", _MPL), ("MPL-2.0", "Mozilla Public License Version 2.0"), ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("Unlicense", _UNLICENSE), ("Unlicense", f"{_UNLICENSE} {_UNLICENSE_REST}"),
+)
+#: SPDX names; ``-only``, ``-or-later`` and ``+`` do not count.
+SPDX = ("0BSD", "AFL-3.0", "AGPL-3.0", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause",
+        "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0",
+        "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.1", "EUPL-1.2", "GFDL-1.3",
+        "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL",
+        "MS-RL", "MulanPSL-2.0", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "UPL-1.0", "Unlicense",
+        "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1")
+SPDX_TAG = r"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)"
+NOTICE_CUE = r"licen[cs]|copyright|spdx|public domain|hereby granted|redistribut|warrant|free software|prior written permission"
+COMMENT = r"^[ \t]*(?:/\*|\*|//|#|--|;|%|<!--|\r?$)"
+MARKS = (r"^[ \t]*(?:(?:/\*+|\*+/|\*+|//+!?|#+!?|--|;+|%+|<!--|\"\"\"|'{3})[ \t]*)?|[ \t]*(?:\*+/|-->|\"\"\"|'{3})?[ \t\r]*$")
+OPENING = r"^\s*(?:#![^\n]*\n\s*)?(/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|<!--[\s\S]*?-->)"
 CUE = r"licen[cs]|copyright|spdx|public domain|hereby granted"
 SENTENCE = r"[.!?;][ \n\t]+|\n"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
@@ -84,6 +163,61 @@ def licence_of_sentences(found: DataFrame, threshold: float) -> DataFrame:
     return best.select("sentence", F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("score"))
 
 
+def units(files: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``unit`` by id: whole text, opening comment, paragraphs and sentences, without comment marks and line breaks."""
+    def bare(lines: Column) -> Column:
+        return F.transform(lines, lambda line: F.regexp_replace(line, MARKS, ""))
+
+    def flat(text: Column) -> Column:
+        return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    lines = F.split(text_col, "\n")
+    code = F.array_position(F.transform(lines, lambda line: line.rlike(COMMENT)), F.lit(False)).cast("int")
+    top = F.when(code > 1, F.slice(lines, F.lit(1), code - 1)).otherwise(F.array().cast("array<string>"))
+    opening = F.split(F.regexp_extract(text_col, OPENING, 1), "\n")
+    cut = (files.where(F.lower(F.col(text_col)).rlike(NOTICE_CUE)).select(
+        id_col, bare(lines).alias("lines"), F.array(*(F.array_join(bare(x), " ") for x in (top, opening))).alias("heads"))
+        .withColumn("paragraphs", F.transform(F.split(F.array_join("lines", "\n"), r"\n[ \t]*\n"), flat)))
+    parts = F.flatten(F.transform("paragraphs", lambda p: F.split(p, r"(?<=[.!?;]) ")))
+    every = F.concat(F.array(F.array_join("lines", " ")), F.col("heads"), F.col("paragraphs"), parts)
+    return (cut.select(id_col, F.explode(F.array_distinct(F.transform(every, flat))).alias("unit"))
+            .where(F.lower("unit").rlike(NOTICE_CUE)))
+
+
+def notices(files: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """``licence`` and ``score`` by id, of the units that match a notice and of the names in SPDX tags."""
+    spark = files.sparkSession
+    tags = F.regexp_extract_all(text_col, F.lit(SPDX_TAG), F.lit(1))
+    names = F.regexp_extract_all(F.lower(F.array_join(tags, " ")), F.lit(r"[a-z0-9][a-z0-9.-]*"), F.lit(0))
+    listed = ", ".join(f"('{x.lower()}', '{x}')" for x in SPDX)
+    tagged = (files.where(F.lower(F.col(text_col)).rlike("spdx-license-identifier")).select(id_col, F.explode(names).alias("name"))
+              .withColumn("name", F.regexp_replace("name", "-(only|or-later)$", ""))
+              .join(F.broadcast(spark.sql(f"select * from values {listed} as names(name, licence)")), "name")
+              .select(id_col, "licence", F.lit(1.0).alias("score")))
+    bodies = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(NOTICES))
+    fixed = (spark.sql(f"select * from values {bodies} as bodies(template, licence, body)")
+             .select("template", "licence", F.explode(terms(F.col("body"))).alias("term"))
+             .groupBy("template", "licence", "term").agg(F.count("*").alias("tf")))
+    rarity = F.log((1 + F.lit(len(NOTICES))) / (1 + F.coalesce("df", F.lit(0)))) + 1
+    df = stored(fixed.groupBy("term").agg(F.count("*").alias("df")))
+    known = stored(fixed.join(df, "term").select("template", "licence", "term", (F.col("tf") * rarity).alias("template_weight")))
+    sizes = known.groupBy("template").agg(F.sqrt(F.sum(F.pow("template_weight", F.lit(2)))).alias("template_norm"))
+    # a digest stands for the unit, so rows of terms do not carry its text
+    found = stored(units(files, id_col, text_col).withColumn("key", F.md5("unit")))
+    tf = (found.dropDuplicates(["key"]).select("key", F.explode(terms(F.col("unit"))).alias("term"))
+          .groupBy("key", "term").agg(F.count("*").alias("tf")))
+    weighted = stored(tf.join(F.broadcast(df), "term", "left").select("key", "term", (F.col("tf") * rarity).alias("weight")))
+    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.pow("weight", F.lit(2)))).alias("norm"))
+    dots = (weighted.join(F.broadcast(known), "term").groupBy("key", "template", "licence")
+            .agg(F.sum(F.col("weight") * F.col("template_weight")).alias("dot")))
+    cosines = dots.join(F.broadcast(sizes), "template").join(norms, "key").select(
+        "key", "licence", F.round(F.col("dot") / (F.col("norm") * F.col("template_norm")), 6).alias("score"))
+    best = cosines.where(F.col("score") >= threshold).groupBy("key").agg(
+        F.min(F.struct((-F.col("score")).alias("order"), "licence")).alias("best"))
+    matched = found.select(id_col, "key").join(best, "key")
+    return matched.select(id_col, F.col("best.licence").alias("licence"), (-F.col("best.order")).alias("score")).unionByName(tagged)
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
@@ -93,7 +227,8 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD, id_col: str =
     """Per file its own licence and score, the licence that holds for it, where from, and the directory inherited from."""
     found = stored(candidates(files, id_col, text_col))
     matched = licence_of_sentences(found, threshold)
-    sentences = found.join(matched, "sentence")
+    sentences = found.join(matched, "sentence").select(id_col, "licence", "score").unionByName(
+        notices(files, threshold, id_col, text_col))
     own = sentences.groupBy(id_col).agg(F.min(F.struct((-F.col("score")).alias("order"), F.col("licence"))).alias("best"))
     own = own.select(id_col, F.col("best.licence").alias("own_licence"), (-F.col("best.order")).alias("own_score"))
     allowed = F.lit(True) if speaks is None else speaks

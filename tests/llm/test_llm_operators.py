@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -313,6 +314,36 @@ def test_licences(spark, empty):
     assert licenses.scan_licences(df.where("false")).count() == 0
 
 
+def test_licence_headers_and_files(spark):
+    def wrapped(text, mark="", width=70):
+        return "\n".join(mark + line for line in textwrap.wrap(text, width))
+    gnu = licenses._GNU.format(what="program", name="General Public License", version="2")
+    long_gnu = f"{gnu} {licenses._GNU_REST.format(what='program', name='General Public License')}"
+    code = "\n\nimport os\n\ndef main():\n    return os.getcwd()\n"
+    files = {
+        "MIT": ["// SPDX-License-Identifier: MIT" + code, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrapped(licenses._MIT) + "\n\n" + wrapped(licenses._MIT_REST),
+                "/*\n" + wrapped("Copyright 2021 Someone. " + licenses._MIT + " " + licenses._MIT_REST, " * ") + "\n */" + code,
+                "Some words here.\nThis was released\nunder the MIT\nLicense. More words follow."],
+        "BSD-3-Clause": ["Copyright (c) 2019, The Authors\n\n" + "\n\n".join(map(wrapped, (licenses._BSD, licenses._BSD_THIRD, licenses._BSD_REST)))],
+        "BSD-2-Clause": ["Copyright (c) 2019, The Authors\n\n" + "\n\n".join(map(wrapped, (licenses._BSD, licenses._BSD_REST))),
+                         wrapped(licenses._BSD + " " + licenses._BSD_REST, "# ") + code],
+        "Apache-2.0": [wrapped(licenses._APACHE + " " + licenses._APACHE_REST, "# ") + code],
+        "GPL-2.0": [wrapped(long_gnu, "# ") + code, "# SPDX-License-Identifier: GPL-2.0-or-later" + code],
+        "GPL-3.0": [wrapped(long_gnu.replace("version 2", "version 3"), "// ") + code],
+        None: [code, "A warranty of words, and copyright of other things in a text about law."]}
+    rows = [(i, text, f"d{i}/{i}", name) for i, (name, text) in enumerate((n, t) for n, texts in files.items() for t in texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string, want string")
+    got = {r.doc_id: (r.own_licence, r.own_score) for r in licenses.scan_licences(df).collect()}
+    assert {i: got[i][0] for i, *_ in rows} == {i: want for i, _, _, want in rows}, got
+
+
+def test_tags_and_wrapped_statements_name_a_licence(spark):
+    rows = [(1, "// SPDX-License-Identifier: MIT\nint x;", "a/1"), (2, "Words.\nThis was released\nunder the MIT\nLicense. More words.", "b/2"),
+            (3, "# Licensed under the Apache\n# License, Version\n# 2.0.\n\nx = 1", "c/3")]
+    got = licenses.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()
+    assert {r.doc_id: r.own_licence for r in got} == {1: "MIT", 2: "MIT", 3: "Apache-2.0"}
+
+
 def test_licence_scan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "a/1")], "doc_id long, text string, path string")
     plan = licenses.scan_licences(df)._jdf.queryExecution().executedPlan().toString()
