@@ -178,7 +178,8 @@ def resolved(dealt: DataFrame, partitions: int) -> DataFrame:
 
     kind = dealt.schema["top"].dataType.simpleString()
     columns = dealt.select("bucket", "rep", "key", "n_rows", "top", "content")
-    return (columns.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    place = F.pmod("bucket", F.lit(partitions)).cast("int")
+    return (columns.repartitionById(partitions, place).sortWithinPartitions("bucket")
             .mapInArrow(resolve, f"rep long, keep_id {kind}, group_size long, keeper boolean"))
 
 
