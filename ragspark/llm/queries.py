@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import decontamination, exact_dedup, jaccard, licenses, near_vectors, packing, quality, secret_scan, substrings, token_counts, warc
+from ragspark.llm import alignment, decontamination, exact_dedup, jaccard, licenses, near_vectors, packing, quality, secret_scan, substrings, token_counts, warc
 from ragspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op10_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors.near_duplicate_vectors(read(spark, folder, "embeddings")).drop("audited_recall")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(read(spark, folder, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, folder, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality": op8_quality,
     "op9_substrings": op9_substrings,
     "op10_near_vectors": op10_near_vectors,
+    "op11_alignment": op11_alignment,
     "op12_exact_dedup": op12_exact_dedup,
 }
 ORACLES: dict[str, str] = {"op5_licence_scan": licenses.ORACLE, "op9_substrings": substrings.ORACLE,
