@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm import alignment, decontamination, exact_dedup, jaccard, licenses, near_vectors, packing, quality, secret_scan, substrings, token_counts, warc
+from ragspark.llm import alignment, conversations, decontamination, exact_dedup, jaccard, licenses, near_vectors, packing, quality, secret_scan, substrings, token_counts, warc
 from ragspark.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read(spark, folder, "documents"))
 
 
+def op13_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read(spark, folder, "conversations")
+    return conversations.repair(conversations.damaged(rows), all_ids=rows)
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op10_near_vectors": op10_near_vectors,
     "op11_alignment": op11_alignment,
     "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversations": op13_conversations,
 }
 ORACLES: dict[str, str] = {"op5_licence_scan": licenses.ORACLE, "op9_substrings": substrings.ORACLE,
                            "op10_near_vectors": near_vectors.ORACLE, "op12_exact_dedup": exact_dedup.ORACLE}
