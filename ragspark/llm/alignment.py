@@ -29,7 +29,7 @@ import hashlib
 import os
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -43,8 +43,10 @@ from ragspark.llm.common import mixed, slices, stored
 
 BATCH_ROWS = 256
 #: Pieces and characters a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 REMEMBERED_CHARS = 16 << 20
+#: Pieces that are encoded in one call, and children of a node of the sum.
+JOINED = 1000
 FAN_IN = 16
 #: Places per key in a level of the perfect hash.
 GAMMA = 2.0
@@ -110,28 +112,29 @@ class Tokenizers:
             return text.split(" ")
         return [p[1:] for p in _BETWEEN.split(" " + text)]
 
-    def encode(self, pieces: list[str]) -> Iterable[tuple[list[int], list[int]]]:
-        first = self.a.encode_batch([" " + p for p in pieces], add_special_tokens=False)
-        return zip((e.ids for e in first), self.b.encode(pieces, num_threads=1))
-
-    def groups(self, piece: str, a: list[int], b: list[int]) -> tuple[str, list[tuple[int, int]]] | None:
-        """The groups as text and the linked ids; nothing if a tokenizer spells other bytes."""
+    def encode(self, pieces: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+        """Ids of A for all pieces end to end, and ids of B for each piece."""
+        texts, run = [], []
+        for piece in pieces:
+            run.append(" " + piece)
+            # nothing follows white space, as a run of blanks is one pre-token with what is before it
+            if len(run) == JOINED or not piece or piece[-1].isspace():
+                texts.append("".join(run))
+                run = []
+        if run:
+            texts.append("".join(run))
+        found = self.a.encode_batch_fast(texts, add_special_tokens=False)
+        return np.fromiter(chain.from_iterable(e.ids for e in found), np.int64), self.b.encode(pieces, num_threads=1)
+
+    def misspelled(self, piece: str, b: list[int]) -> bool:
+        """Whether one of the tokenizers spells other bytes than a blank and the piece."""
         spelled = (" " + piece).encode("utf-8", "surrogatepass")
-        if b"".join(map(self.a_bytes.__getitem__, a)) != spelled or b"".join(map(self.b_bytes.__getitem__, b)) != spelled:
-            return None
-        found, links = [], []
-        i = j = from_i = from_j = at_a = at_b = 0
-        while i < len(a):
-            at_a += len(self.a_bytes[a[i]])
-            i += 1
-            while at_b < at_a:
-                at_b += len(self.b_bytes[b[j]])
-                j += 1
-            if at_a == at_b:
-                found.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                links.append((a[i - 1], b[j - 1]))
-                from_i, from_j = i, j
-        return ";".join(found), links
+        a = self.a.encode(" " + piece, add_special_tokens=False).ids
+        return any(b"".join(map(known.__getitem__, ids)) != spelled for known, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
+    def group_parts(self) -> list[str]:
+        """Every id as it stands inside and at the end of its side of a group: of A, then of B."""
+        return [f"{i}{end}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for end in (",", last)]
 
 
 class PerfectHash:
@@ -201,17 +204,20 @@ class LinkCounts:
 
 
 class Aligner:
-    """Aligned pieces that are remembered: numbers of pieces, and for each number its groups, links and figures."""
+    """Aligned pieces that are remembered: a number for each, and by number its links, figures and, if asked for, its groups."""
 
-    def __init__(self, known: Tokenizers, counts: LinkCounts | None = None):
+    def __init__(self, known: Tokenizers, counts: LinkCounts | None = None, with_groups: bool = False):
         self.tokenizers, self.counts, self.b_size = known, counts, len(known.b_bytes)
+        self.a_length = np.fromiter(map(len, known.a_bytes), np.int64)
+        self.b_length = np.fromiter(map(len, known.b_bytes), np.int64)
+        self.parts = known.group_parts() if with_groups else None
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.groups: list[str] = []
         self.links: list[np.ndarray] = []
-        self.stats = np.zeros((1024, len(STATS)), np.int64)
+        self.stats = np.zeros((1 << 16, len(STATS)), np.int64)
         self.bad: set[str] = set()
         self.uncounted: set[str] = set()
         self.chars = 0
@@ -220,8 +226,8 @@ class Aligner:
     def full(self) -> bool:
         return len(self.numbers) > REMEMBERED or self.chars > REMEMBERED_CHARS
 
-    def cut(self, texts: list[str | None]) -> list[list[str]]:
-        """The known pieces of each text; none for texts without tokens."""
+    def cut(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces of all texts end to end, and where each text's begin; none for texts without tokens."""
         cuts = [self.tokenizers.pieces(t) if t else [] for t in texts]
         new = [p for p in dict.fromkeys(chain.from_iterable(cuts)) if p not in self.numbers]
         if new:
@@ -231,30 +237,75 @@ class Aligner:
         # pieces that occur only in texts without tokens are not counted
         if self.uncounted and any(not self.uncounted.isdisjoint(c) for c in cuts):
             raise RuntimeError("a pair of ids was not counted; the documents are others than those counted")
-        return cuts
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(cuts)), np.int64)
+        return numbers, np.cumsum([0, *map(len, cuts)])
 
     def _learn(self, new: list[str]) -> None:
-        first = len(self.groups)
+        known = self.tokenizers
+        a_ids, b_lists = known.encode(new)
+        spelled = [(" " + p).encode("utf-8", "surrogatepass") for p in new]
+        b_ids = np.fromiter(chain.from_iterable(b_lists), np.int64)
+        whole = b"".join(spelled)
+        piece_ends = np.cumsum([*map(len, spelled)])
+        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
+        b_to = np.cumsum([*map(len, b_lists)])
+        fits = (b"".join(map(known.a_bytes.__getitem__, a_ids.tolist())) == whole
+                == b"".join(map(known.b_bytes.__getitem__, b_ids.tolist())))
+        if not fits or not (np.append(0, b_ends)[b_to] == piece_ends).all():
+            bad = {p for p, b in zip(new, b_lists) if known.misspelled(p, b)}
+            self._number(sorted(bad), np.zeros((len(bad), len(STATS)), np.int64), [""] * len(bad))
+            self.bad |= bad
+            new = [p for p in new if p not in bad]
+            return self._learn(new) if new else None
+        mark = np.zeros(len(whole) + 1, bool)
+        mark[b_ends] = True
+        a_last = mark[a_ends]
+        mark[:] = False
+        mark[a_ends] = True
+        b_last = mark[b_ends]
+        a_to = np.searchsorted(a_ends, piece_ends, side="right")
+        links_to = np.append(0, np.cumsum(a_last))[a_to]
+        pairs = a_ids[a_last] * self.b_size + b_ids[b_last]
+        stats = np.zeros((len(new), len(STATS)), np.int64)
+        for column, to in enumerate((a_to, b_to, links_to, links_to)):
+            stats[:, column] = np.diff(to, prepend=0)
+        if self.counts is not None:
+            count, best = self.counts.of(pairs)
+            owner = np.repeat(np.arange(len(new)), stats[:, 3])
+            self.uncounted.update(new[i] for i in set(owner[count < 0].tolist()))
+            for column, value in ((4, best), (5, count)):
+                stats[:, column] = np.diff(np.append(0, np.cumsum(value.astype(np.int64)))[links_to], prepend=0)
+        self._number(new, stats, self._groups(a_ids, b_ids, a_last, b_last, a_to + b_to) if self.parts else [])
+        self.links.append(pairs)
+
+    def _number(self, new: list[str], stats: np.ndarray, groups: list[str]) -> None:
+        first = len(self.numbers)
         while first + len(new) > len(self.stats):
             self.stats = np.concatenate([self.stats, np.zeros_like(self.stats)])
-        for number, (piece, (a, b)) in enumerate(zip(new, self.tokenizers.encode(new)), first):
-            self.numbers[piece] = number
-            self.chars += len(piece)
-            found = self.tokenizers.groups(piece, a, b)
-            if found is None:
-                self.bad.add(piece)
-                found = "", []
-            text, links = found
-            self.groups.append(text)
-            self.links.append(np.array([x * self.b_size + y for x, y in links], np.int64))
-            self.stats[number, :4] = len(a), len(b), len(links), len(links)
-        if self.counts is not None:
-            sizes = np.array([len(x) for x in self.links[first:]])
-            count, best = self.counts.of(np.concatenate(self.links[first:]))
-            owner = np.repeat(np.arange(first, first + len(new)), sizes)
-            self.uncounted.update(new[i - first] for i in set(owner[count < 0].tolist()))
-            np.add.at(self.stats[:, 4], owner, best.astype(np.int64))
-            np.add.at(self.stats[:, 5], owner, count)
+        self.stats[first:first + len(new)] = stats
+        self.numbers.update(zip(new, range(first, first + len(new))))
+        self.groups += groups if self.parts else []
+        self.chars += sum(map(len, new))
+
+    def _groups(self, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, to: np.ndarray) -> list[str]:
+        """The groups of each piece as text: a group's ids of A stand before its ids of B."""
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        a_end, b_start = np.flatnonzero(a_last) + 1, np.append(0, np.flatnonzero(b_last) + 1)
+        order = np.empty(len(a_ids) + len(b_ids), np.int64)
+        order[np.arange(len(a_ids)) + b_start[a_group]] = 2 * a_ids + a_last
+        order[np.arange(len(b_ids)) + a_end[b_group]] = 2 * (len(self.a_length) + b_ids) + b_last
+        parts = list(map(self.parts.__getitem__, order.tolist()))
+        ends = to.tolist()
+        return ["".join(parts[start:end]) for start, end in zip([0, *ends], ends)]
+
+    def link_counts(self, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of the links of pieces that occur so many times each, and how often they are linked."""
+        links = np.concatenate([*self.links, np.empty(0, np.int64)])
+        times = np.repeat(times, self.stats[:len(self.numbers), 3])
+        pairs, place = np.unique(links[times > 0], return_inverse=True)
+        sums = np.zeros(len(pairs), np.int64)
+        np.add.at(sums, place, times[times > 0])
+        return pairs, sums
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -271,25 +322,22 @@ def task_counts(docs: DataFrame, byte_file: str, piece_model: str, text_col: str
     """First pass: ``part``, ``pair`` and ``n`` for the linked pairs of every task's documents."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, seen, total = Aligner(tokenizers_of(byte_file, piece_model)), Counter(), {}
-        part = TaskContext.get().partitionId()
+        aligner = Aligner(tokenizers_of(byte_file, piece_model))
+        part, total, times = TaskContext.get().partitionId(), {}, np.zeros(0, np.int64)
 
         def settle() -> None:
-            links = [aligner.links[aligner.numbers[p]] for p in seen]
-            times = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) for x in links])
-            pairs, place = np.unique(np.concatenate([*links, np.empty(0, np.int64)]), return_inverse=True)
-            sums = np.zeros(len(pairs), np.int64)
-            np.add.at(sums, place, times)
-            for pair, n in zip(pairs.tolist(), sums.tolist()):
+            for pair, n in zip(*(x.tolist() for x in aligner.link_counts(times))):
                 total[pair] = total.get(pair, 0) + n
-            seen.clear()
 
         for batch in slices(batches, BATCH_ROWS):
-            for pieces in aligner.cut(batch.column(0).to_pylist()):
-                seen.update(pieces)
+            numbers, _ = aligner.cut(batch.column(0).to_pylist())
+            seen = np.bincount(numbers, minlength=len(aligner.numbers))
+            seen[:len(times)] += times
+            times = seen
             if aligner.full:
                 settle()
                 aligner.clear()
+                times = times[:0]
         settle()
         pairs = sorted(total)
         for start in range(0, len(pairs), 1 << 16):
@@ -354,16 +402,14 @@ def align(docs: DataFrame, byte_file: str, piece_model: str, counts: LinkCounts
     counts = counts or count_links(docs, byte_file, piece_model, text_col)
 
     def reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(tokenizers_of(byte_file, piece_model), counts)
+        aligner = Aligner(tokenizers_of(byte_file, piece_model), counts, True)
         for batch in slices(batches, BATCH_ROWS):
-            cuts = aligner.cut(batch.column(1).to_pylist())
-            numbers = np.fromiter(map(aligner.numbers.__getitem__, chain.from_iterable(cuts)), np.int64)
-            ends = np.cumsum([0, *map(len, cuts)])
+            numbers, ends = aligner.cut(batch.column(1).to_pylist())
             running = np.zeros((len(numbers) + 1, len(STATS)), np.int64)
             np.cumsum(aligner.stats[numbers], axis=0, out=running[1:])
             sums = running[ends[1:]] - running[ends[:-1]]
             of = list(map(aligner.groups.__getitem__, numbers.tolist()))
-            texts = [";".join(of[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            texts = ["".join(of[a:b])[:-1] for a, b in zip(ends.tolist(), ends[1:].tolist())]
             digests = [hashlib.sha256(t.encode("ascii")).hexdigest() if t else "" for t in texts]
             columns = [batch.column(0), *(pa.array(sums[:, k]) for k in range(len(STATS))), pa.array(digests, pa.string())]
             if with_groups:
