@@ -8,7 +8,7 @@ from ragspark.functions import fixed_values as fv
 from ragspark.functions import scalars as sc
 from ragspark.functions import text as tx
 from ragspark.functions import vectors as vx
-from ragspark.operators import bm25, context, dedupe, papers, ranking, requests, vectors
+from ragspark.operators import bm25, context, dedupe, papers, ranking, requests, vector_index, vectors
 from ragspark.operators.embedding import hashing_embedder, precomputed
 from ragspark.plans import passages
 from ragspark.registry import query, tables
@@ -83,6 +83,20 @@ def _(spark, d):
         tables.passage_queries(spark, d), tables.collections(spark, d), 5, 64, scope=["book_uid"])
 
 
+@query("passage_index_recall", f"""with {q.PASSAGES},
+s as (select query_id, chunk_id, round({q.cosine('p.v', 'c.v')}, 9) as similarity from passage_queries p cross join collections c),
+near as (select *, row_number() over (partition by query_id order by similarity desc, chunk_id) as rank from s)
+select count(distinct query_id) as queries, count(*) as neighbours, round(sum(similarity), 2) as similarity,
+  true as recall_reached, true as few_compared from near where rank <= 5""")
+def _(spark, d):
+    """Of the five nearest of all passages the index must find 0.9, comparing less than a tenth of them exactly."""
+    asked = tables.passage_queries(spark, d)
+    chunks = tables.collections(spark, d)
+    report = vector_index.recall_report(asked, chunks, vector_index.build_index(chunks, 64), 5)
+    return report.select("queries", "neighbours", F.round("similarity", 2).alias("similarity"),
+                         (F.col("recall") >= 0.9).alias("recall_reached"), (F.col("share_exact") < 0.1).alias("few_compared"))
+
+
 @query("similar_vector_pairs", f"""with {q.PASSAGES}
 select a.chunk_id as left_id, b.chunk_id as right_id, round({q.cosine('a.v', 'b.v')}, 6) as similarity
 from collections a join collections b on a.book_uid = b.book_uid and a.chunk_id < b.chunk_id
