@@ -8,7 +8,7 @@ from ragspark.functions import fixed_values as fv
 from ragspark.functions import scalars as sc
 from ragspark.functions import text as tx
 from ragspark.functions import vectors as vx
-from ragspark.operators import bm25, context, dedupe, papers, ranking, requests, vector_index, vectors
+from ragspark.operators import bm25, bm25_blocks, context, dedupe, papers, ranking, requests, vector_index, vectors
 from ragspark.operators.embedding import hashing_embedder, precomputed
 from ragspark.plans import passages
 from ragspark.registry import query, tables
@@ -280,6 +280,12 @@ lines as (select s_suppkey as doc_id, (case when s_suppkey % 2 = 0 then 'even '
           from supplier), {q.bm25('lines', 'doc_id', 'text', 'queries', 60, full=True)}"""
 
 
+@query("bm25_block_top_k", f"with {BM25} select query_id, doc_id, round(score, 5) as score, rank from bm25_hits")
+def _(spark, d):
+    index = bm25_blocks.block_index(bm25.build_index(tables.table(spark, d, "documents")), block_postings=20_000)
+    return bm25_blocks.search(tables.queries(spark, d), index, 20).withColumn("score", F.round("score", 5))
+
+
 @query("bm25_full_ranking", f"""with {q.QUERIES},
 {q.bm25('documents', 'doc_id', 'text', 'queries', 20, full=True)} select query_id, doc_id, round(score, 5) as score, rank from bm25_hits""")
 def _(spark, d):
