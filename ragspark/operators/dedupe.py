@@ -32,11 +32,12 @@ def prune_near_duplicates(
 ) -> DataFrame:
     """Greedy pruning: in order, a row stays unless it is too similar to a row of its scope that stayed before it.
 
-    Identical vectors collapse first. Then rounds: the first ``leaders`` undecided rows of each scope are decided
-    in one bounded group, and their survivors strike their neighbours from the rest, block against block. A scope of
-    at most ``leaders`` rows is done in one round. No pairs are emitted, and what is undecided between rounds lies in
-    the shared checkpoint folder. Order by falling similarity to get the same rows as keeping the more similar of
-    each pair.
+    Identical vectors collapse first. The first ``leaders`` rows of each scope are decided in one bounded group, and their
+    survivors strike their neighbours from the rest, block against block. A scope of at most ``leaders`` rows is then done. What
+    is left is decided in parallel rounds: a row with an earlier kept neighbour goes, a row without an earlier undecided one
+    stays, so a round decides a share of the rows, not a number of them. No pairs are emitted, and what is undecided between
+    rounds lies in the shared checkpoint folder. Order by falling similarity to get the same rows as keeping the more
+    similar of each pair.
     """
     ranked = chunks.select(
         F.col(scope).alias("_g"),
@@ -48,7 +49,7 @@ def prune_near_duplicates(
     blank = ranked.where(zero).select("_g", "_id")
     undecided = cut_lineage(first_seen(ranked.where(~zero), ["_g", "_v"], [F.col("_o").asc()]))
     kept = [blank]
-    while not undecided.isEmpty():
+    if not undecided.isEmpty():
         heads = top_k(undecided, ["_g"], [F.col("_o").asc()], leaders)
         decided = cut_lineage(
             heads.groupBy("_g").applyInArrow(_decide(threshold), "_g {0}, _id {1}, _v array<float>, kept boolean".format(
@@ -57,9 +58,9 @@ def prune_near_duplicates(
         survivors = decided.where("kept")
         kept.append(survivors.select("_g", "_id"))
         rest = undecided.join(decided.select("_g", "_id"), ["_g", "_id"], "left_anti")
-        if rest.isEmpty():
-            break
-        undecided = cut_lineage(_not_near(rest, survivors.select("_g", "_id", "_v"), threshold, block_rows))
+        if not rest.isEmpty():
+            left = _not_near(rest, survivors.select("_g", "_id", "_v"), threshold, block_rows)
+            kept.append(_in_rounds(left, threshold, block_rows))
     staying = kept[0]
     for part in kept[1:]:
         staying = staying.unionByName(part)
@@ -82,6 +83,49 @@ def _decide(threshold: float):
     return decide
 
 
+def _in_rounds(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """``(_g, _id)`` of the rows that stay. Rows are numbered in order once; a block is a run of numbers of one scope, so a row
+    only visits blocks before its own."""
+    numbered = rows.repartitionByRange("_g", "_o").sortWithinPartitions("_g", "_o").select(
+        "_g", "_id", "_v", F.monotonically_increasing_id().alias("_n"))
+    undecided = cut_lineage(numbered.withColumn("_b", F.expr(f"_n div {block_rows}")).withColumn("fresh", F.lit(False)))
+    fresh, kept = undecided.where("false"), None
+    while not undecided.isEmpty():
+        state = cut_lineage(_round(undecided, fresh, threshold))
+        fresh = state.where("not struck and not blocked").withColumn("fresh", F.lit(True)).drop("struck", "blocked")
+        kept = fresh if kept is None else kept.unionByName(fresh)
+        undecided = state.where("blocked and not struck").drop("struck", "blocked")
+    return (undecided if kept is None else kept).select("_g", "_id")
+
+
+def _round(undecided: DataFrame, fresh: DataFrame, threshold: float) -> DataFrame:
+    """Undecided rows with ``struck`` (near an earlier row that stays) and ``blocked`` (near an earlier undecided row)."""
+    sources = undecided.unionByName(fresh)
+    pairs = undecided.select("_g", F.col("_b").alias("_tb")).distinct().join(
+        sources.select("_g", F.col("_b").alias("_sb")).distinct(), "_g").where("_sb <= _tb")
+    targets = undecided.withColumnRenamed("_b", "_tb").join(pairs, ["_g", "_tb"]).select("_g", "_tb", "_sb", "_n", "_v")
+    visits = sources.withColumnRenamed("_b", "_sb").join(pairs, ["_g", "_sb"])
+    visits = visits.select(*[F.col(c).alias(c) for c in ("_g", "_tb", "_sb", "_n", "_v", "fresh")])
+    closeness, matrix = vec._closeness, vec._matrix
+
+    def mark(a: pa.Table, b: pa.Table) -> pa.Table:
+        numbers, struck, blocked = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        if a.num_rows and b.num_rows:
+            numbers, others, stays = (c.to_numpy() for c in (a["_n"], b["_n"], b["fresh"]))
+            near = (closeness(matrix(a["_v"]), matrix(b["_v"]), "cosine") > threshold) & (others[None, :] < numbers[:, None])
+            struck, blocked = (near & stays[None, :]).any(axis=1), (near & ~stays[None, :]).any(axis=1)
+            told = struck | blocked
+            numbers, struck, blocked = numbers[told], struck[told], blocked[told]
+        return pa.table({"_n": pa.array(numbers, pa.int64()), "struck": pa.array(struck), "blocked": pa.array(blocked)})
+
+    group = ["_g", "_tb", "_sb"]
+    marks = targets.groupBy(*group).cogroup(visits.groupBy(*group)).applyInArrow(mark, "_n long, struck boolean, blocked boolean")
+    marks = marks.groupBy("_n").agg(F.bool_or("struck").alias("struck"), F.bool_or("blocked").alias("blocked"))
+    no = F.lit(False)
+    return undecided.join(marks, "_n", "left").select(
+        *undecided.columns, F.coalesce("struck", no).alias("struck"), F.coalesce("blocked", no).alias("blocked"))
+
+
 def _not_near(rest: DataFrame, survivors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Rows of ``rest`` without a survivor of their scope above the threshold.
 

@@ -75,3 +75,31 @@ def test_empty(spark, grouped):
     assert vi.search(asked, index, 3).count() == 0
     assert vi.search(asked.where("false"), vi.build_index(corpus, 24, lists=4), 3).count() == 0
     assert vi.build_index(corpus.where(F.lit(False)), 24).probes >= 1
+
+
+def test_pruning_decides_in_few_rounds(spark, monkeypatch):
+    """One scope of 12,000 rows in loose groups and a long chain, against the row-by-row walk."""
+    from ragspark.operators import dedupe
+    r = np.random.default_rng(9)
+    middles = r.standard_normal((300, 16))
+    loose = [middles[i % 300] + 0.22 * r.standard_normal(16) for i in range(11_900)]
+    chain = [np.r_[np.cos(i * 0.2), np.sin(i * 0.2), np.zeros(14)] for i in range(100)]
+    vectors_ = np.array(loose + chain, dtype=np.float32)
+    order = r.permutation(len(vectors_))
+    rows = [(1, i, int(order[i]), v.tolist()) for i, v in enumerate(vectors_)]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id long, place long, embedding array<float>").repartition(8)
+    rounds, one = [], dedupe._round
+
+    def counted(*args):
+        rounds.append(1)
+        return one(*args)
+
+    monkeypatch.setattr(dedupe, "_round", counted)
+    got = dedupe.prune_near_duplicates(df, [F.col("place")], key="chunk_id", threshold=0.9, leaders=50, block_rows=1024)
+    units = vectors_.astype(float) / np.linalg.norm(vectors_.astype(float), axis=1, keepdims=True)
+    kept = []
+    for i in np.argsort(order):
+        if not kept or not (np.round(units[kept] @ units[i], 9) > 0.9).any():
+            kept.append(i)
+    assert sorted(x.chunk_id for x in got.select("chunk_id").collect()) == sorted(int(i) for i in kept)
+    assert 1 < len(rounds) < 20 and len(kept) > 300
