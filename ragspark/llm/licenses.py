@@ -119,11 +119,13 @@ OPENING = r"^\s*(?:#![^\n]*\n\s*)?(/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|<!--[\s\S
 CUE = r"licen[cs]|copyright|spdx|public domain|hereby granted"
 SENTENCE = r"[.!?;][ \n\t]+|\n"
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: The same with possessive repeats, which Java takes in a loop; it takes plain ones of a group by recursion, to the stack's end.
+JAVA_TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 THRESHOLD = 0.75
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(JAVA_TERM), F.lit(0))
 
 
 def candidates(files: DataFrame, id_col: str, text_col: str) -> DataFrame:

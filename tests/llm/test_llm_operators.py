@@ -344,6 +344,15 @@ def test_tags_and_wrapped_statements_name_a_licence(spark):
     assert {r.doc_id: r.own_licence for r in got} == {1: "MIT", 2: "MIT", 3: "Apache-2.0"}
 
 
+def test_licences_of_very_long_terms_and_lines(spark):
+    texts = ["license " + "a." * 500_000, "license " + "a-" * 500_000, "license " + "b" * 1_000_000, "/* license " + "* " * 300_000 + "*/ x",
+             "Released under the MIT License. " + "a.b-" * 100_000, "license\n" + "\n# " * 200_000, "license <!-- " + "x\n" * 200_000,
+             "spdx-license-identifier: " + "mit-" * 100_000]
+    df = spark.createDataFrame([(i, t, f"a{i}/f") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r.doc_id: r.own_licence for r in licenses.scan_licences(df.repartition(4)).collect()}
+    assert set(got) == set(range(len(texts))) and got[4] == "MIT" and not any(got[i] for i in (0, 1, 2, 3, 5, 6))
+
+
 def test_licence_scan_is_native(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License.", "a/1")], "doc_id long, text string, path string")
     plan = licenses.scan_licences(df)._jdf.queryExecution().executedPlan().toString()
