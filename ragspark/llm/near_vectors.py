@@ -11,8 +11,8 @@ precision cosines, so what is found is verified. A pair that meets in several sh
 A shard with more than ``PART_ROWS`` vectors is cut into parts by a hash; each part has its own graph and is searched by
 all vectors of the shard, so nothing is capped. ``audit`` compares a bounded number of vectors with all others.
 
-Null and zero vectors, and vectors with null or non-finite components or another length than most have, link with
-nothing. Copies link with each other. Repeated rows count as copies; a null id takes part, and names no component. Extra
+Vectors of different lengths never meet: every length has centroids, shards and an audit of its own, and lengths that the sample
+lacks have one shard. Null and zero vectors, and vectors with null or non-finite components, link with nothing. Copies link with each other. Repeated rows count as copies; a null id takes part, and names no component. Extra
 columns are not read. Ties cannot matter, as links depend on the threshold alone. An empty table gives an empty result.
 """
 
@@ -60,27 +60,32 @@ def matrix(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
 
 
+def by_width(raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each length."""
+    places: dict[int, list[int]] = {}
+    for i, data in enumerate(raw):
+        places.setdefault(len(data), []).append(i)
+    return [(np.array(at), matrix([raw[i] for i in at])) for _, at in sorted(places.items())]
+
+
 def distinct_vectors(table: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
     """All ids with the node of their vector (null if it has none), and the nodes with copies and unit vectors."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for batch in slices(batches, 5000):
             rows, vectors = usable(batch)
-            nodes, data, width = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
+            nodes, data = [None] * batch.num_rows, [None] * batch.num_rows
             for i, v in zip(rows.tolist(), vectors):
                 nodes[i] = xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63)
-                data[i], width[i] = unit(v).tobytes(), len(v)
+                data[i] = unit(v).tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(width, pa.int32()), pa.array(data, pa.binary())],
-                ["id", "node", "width", "data"])
+                [batch.column(0), pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], ["id", "node", "data"])
 
     rows = stored(table.select(F.col(id_col).cast("long").alias("id"), vector_col).mapInArrow(
-        keyed, "id long, node long, width int, data binary"))
-    usual = rows.where("width is not null").groupBy("width").count().orderBy(F.desc("count"), "width").first()
-    fits = F.col("width") == (usual["width"] if usual else 0)
-    named = rows.select("id", F.when(fits, F.col("node")).alias("node"))
+        keyed, "id long, node long, data binary"))
+    named = rows.select("id", "node")
     groups = named.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"))
-    nodes = stored(rows.where(fits).select("node", "data").dropDuplicates(["node"]).join(groups, "node"))
+    nodes = stored(rows.where("node is not null").select("node", "data").dropDuplicates(["node"]).join(groups, "node"))
     return named, nodes
 
 
@@ -96,16 +101,26 @@ def centroids(sample: np.ndarray, number: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def memberships(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Nodes with the sorted list of their shards."""
+def memberships(nodes: DataFrame, centres: list[np.ndarray]) -> DataFrame:
+    """Nodes with the sorted list of their shards; ``centres`` has a matrix for each length of vectors."""
+    first = dict(zip([c.shape[1] for c in centres], np.cumsum([0, *map(len, centres)]).tolist()))
+    of_width, beyond = {c.shape[1]: c for c in centres}, sum(map(len, centres))
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = min(OVERLAP, len(centres))
         for batch in slices(batches, 2000):
-            near = matrix(batch.column(1).to_pylist()) @ centres.T
-            shards = np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(shards.astype(np.int32).tolist(), pa.list_(pa.int32()))],
-                ["node", "data", "copies", "shards"])
+            listed: list = [None] * batch.num_rows
+            for places, vectors in by_width(batch.column(1).to_pylist()):
+                width = vectors.shape[1]
+                if width in of_width:
+                    k = min(OVERLAP, len(of_width[width]))
+                    near = vectors @ of_width[width].T
+                    shards = first[width] + np.sort(np.argpartition(-near, k - 1, axis=1)[:, :k], axis=1)
+                else:
+                    shards = np.full((len(places), 1), beyond + width)
+                for place, some in zip(places.tolist(), shards.astype(np.int32).tolist()):
+                    listed[place] = some
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(listed, pa.list_(pa.int32()))],
+                                             ["node", "data", "copies", "shards"])
 
     return nodes.select("node", "data", "copies").mapInArrow(assign, "node long, data binary, copies long, shards array<int>")
 
@@ -282,11 +297,9 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_co
     number = nodes.count()
     order = F.xxhash64("node")
     sample = [r["data"] for r in nodes.select("node", "data").orderBy(order, "node").limit(SAMPLE).collect()]
-    if sample:
-        shards = int(np.clip(-(-number // SHARD_ROWS), 1, MOST_CENTROIDS))
-        centres = centroids(matrix([bytes(x) for x in sample]), min(shards, len(sample)))
-    else:
-        centres = np.ones((1, 1))
+    shards = int(np.clip(-(-number // SHARD_ROWS), 1, MOST_CENTROIDS))
+    centres = [centroids(part, min(len(part), max(1, -(-shards * len(part) // len(sample)))))
+               for _, part in by_width([bytes(x) for x in sample])]
     wide = stored(memberships(nodes, centres))
     flat = wide.select("node", "data", "copies", "shards", F.explode("shards").alias("shard"))
     parts = stored(flat.groupBy("shard").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")))
@@ -316,14 +329,18 @@ def audit(nodes: DataFrame, of_node: DataFrame, threshold: float, queries: int)
         "node", "data", "copies", "n_links").collect()
     if not asked:
         return 1.0
-    wanted = matrix([bytes(r["data"]) for r in asked])
+    wanted = {w.shape[1]: (at, w) for at, w in by_width([bytes(r["data"]) for r in asked])}
+    queried = len(asked)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
+        total = np.zeros(queried, np.int64)
         for batch in slices(batches, 2000):
-            hit = matrix(batch.column(0).to_pylist()) @ wanted.T >= threshold
-            total += batch.column(1).to_numpy() @ hit
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(wanted))), pa.array(total)], ["q", "n"])
+            copies = batch.column(1).to_numpy()
+            for rows, vectors in by_width(batch.column(0).to_pylist()):
+                if vectors.shape[1] in wanted:
+                    at, asking = wanted[vectors.shape[1]]
+                    total[at] += copies[rows] @ (vectors @ asking.T >= threshold)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(queried)), pa.array(total)], ["q", "n"])
 
     truth = nodes.select("data", "copies").mapInArrow(exact, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
     links = {r["q"]: r["n"] - 1 for r in truth.collect()}
