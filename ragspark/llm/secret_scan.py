@@ -13,7 +13,9 @@ rows are scanned alike, extra columns are not read, an empty table gives an empt
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -107,10 +109,13 @@ def scan(text: str, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[
     """Base spans, and all spans as (start, kind, end) in order."""
     base = base_spans(text)
     added: list[tuple[int, int, str, int]] = []
-    taken = [(s, e) for s, _, e in base]
+    # a candidate meets a base span if one that starts before its end ends behind its start
+    starts = [s for s, _, _ in base]
+    reach = list(itertools.accumulate((e for _, _, e in base), max))
     for k, kind in enumerate(classes):
         for m in _compiled(kind.pattern).finditer(text):
-            if any(p.fullmatch(m[0]) for p in allowed) or any(s < m.end() and m.start() < e for s, e in taken):
+            before = bisect.bisect_left(starts, m.end())
+            if before and reach[before - 1] > m.start() or any(p.fullmatch(m[0]) for p in allowed):
                 continue
             rest = pieces.sub(lambda p: " " * len(p[0]), m[0])
             parts = [(0, rest)] if rest == m[0] else [(p.start(), p[0]) for p in _compiled(kind.pattern).finditer(rest)]

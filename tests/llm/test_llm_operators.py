@@ -300,6 +300,18 @@ def test_block_max_index_equals_brute_force():
     assert got == {(p, i) for p, t in enumerate(passages) for i in range(90) if dense[t, i].sum() >= 0.5 - 1e-9} and got
 
 
+def test_secret_scan_of_many_spans_in_one_text():
+    r, text = random.Random(3), []
+    for i in range(30_000):
+        text.append(f"token={''.join(r.choice('abcXYZ019') for _ in range(12))} {''.join(r.choice('abcDEF012xyzQ') for _ in range(24))}")
+    whole = " ".join(text)
+    base, every = secret_scan.scan(whole)
+    small = secret_scan.scan(" ".join(text[:200]))
+    assert len(base) == 30_000 and every[:len(small[1]) - 2] == small[1][:-2]
+    taken = [(s, e) for s, _, e in small[0]]
+    assert not any(k.startswith("entropy") and any(s < b and a < e for a, b in taken) for s, k, e in small[1])
+
+
 def test_licences(spark, empty):
     files = [(1, "Released under the MIT License.\nfoo", "a/b/c/1"), (2, "nothing", "a/b/c/2"), (3, None, "a/b/d/e/3"), (4, "x", "a/4"),
              (5, "Licensed under the Apache License, Version 2.0.", "a/b/5"), (6, "", None), (7, "y", "q/7"),
@@ -428,9 +440,12 @@ def test_near_vectors(spark):
     rows = [(i, [float(x) for x in (centre[i % 40] + 0.06 * (i % 7) * r.standard_normal(16))]) for i in range(600)]
     rows += [(600 + i, rows[0][1]) for i in range(50)] + [(700, [2 * x for x in rows[1][1]]), (701, None), (702, [0.0] * 16),
              (703, [None] + [1.0] * 15), (704, [float("nan")] + [1.0] * 15), (705, [1.0] * 3), (706, []), (0, rows[0][1]), (None, rows[5][1])]
-    usable = [(i, np.array(v)) for i, v in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
-    x = np.array([v / np.linalg.norm(v) for _, v in usable])
-    hit = x @ x.T >= 0.9
+    plane = r.standard_normal((60, 2))
+    rows += [(800 + i, plane[i % 50].tolist()) for i in range(60)] + [(900 + i, (centre[i][:5] + 0.01).tolist()) for i in range(30)]
+    usable = [(i, np.array(v)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.array([np.r_[v / np.linalg.norm(v), np.zeros(16 - len(v))] for _, v in usable])
+    lengths = np.array([len(v) for _, v in usable])
+    hit = (x @ x.T >= 0.9) & (lengths[:, None] == lengths[None, :])
     links = hit.sum(1) - 1
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("node", F.lit("x")).withColumn("part", F.lit(0))
     got = near_vectors.near_duplicate_vectors(df).collect()
