@@ -40,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.common import mixed, slices, stored
+from ragspark.llm.packing import _settled
+from ragspark.llm.token_counts import PRE_TOKEN
 
 BATCH_ROWS = 256
 #: Pieces and characters a worker remembers.
@@ -48,6 +50,8 @@ REMEMBERED_CHARS = 16 << 20
 #: Pieces that are encoded in one call, and children of a node of the sum.
 JOINED = 1000
 FAN_IN = 16
+#: Longer pieces are left to the tokenizer's own library.
+PLAIN_CHARS = 2000
 #: Places per key in a level of the perfect hash.
 GAMMA = 2.0
 BLANK = "▁"
@@ -82,6 +86,7 @@ class Tokenizers:
     def __init__(self, byte_file: str, piece_model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.files = byte_file, piece_model
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
         self.a = Tokenizer.from_file(byte_file)
@@ -91,6 +96,9 @@ class Tokenizers:
         entries = {i: t for t, i in self.a.get_vocab().items()}
         self.a_bytes = [special[i].encode() if i in special else byte_level_bytes(entries.get(i, ""))
                         for i in range(max(entries) + 1)]
+        # the same merges by another library, for characters whose classes no library disputes
+        ranks = {t: i for i, t in enumerate(self.a_bytes) if i not in special}
+        self.plain = tiktoken.Encoding("pieces", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [piece_bytes(n) for n in names]
         self.can_cut = not any(BLANK in n.lstrip(BLANK) for n in names)
@@ -112,8 +120,14 @@ class Tokenizers:
             return text.split(" ")
         return [p[1:] for p in _BETWEEN.split(" " + text)]
 
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, list[list[int]]]:
+    def encode(self, plain: list[str], others: list[str]) -> tuple[np.ndarray, list[list[int]]]:
         """Ids of A for all pieces end to end, and ids of B for each piece."""
+        found = [self.plain.encode_to_numpy(text) for text in self._joined(plain)]
+        found += [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(self._joined(others), add_special_tokens=False)]
+        return np.concatenate(found).astype(np.int64), self.b.encode(plain + others, num_threads=1)
+
+    @staticmethod
+    def _joined(pieces: list[str]) -> list[str]:
         texts, run = [], []
         for piece in pieces:
             run.append(" " + piece)
@@ -121,10 +135,7 @@ class Tokenizers:
             if len(run) == JOINED or not piece or piece[-1].isspace():
                 texts.append("".join(run))
                 run = []
-        if run:
-            texts.append("".join(run))
-        found = self.a.encode_batch_fast(texts, add_special_tokens=False)
-        return np.fromiter(chain.from_iterable(e.ids for e in found), np.int64), self.b.encode(pieces, num_threads=1)
+        return [*texts, "".join(run)] if run else texts
 
     def misspelled(self, piece: str, b: list[int]) -> bool:
         """Whether one of the tokenizers spells other bytes than a blank and the piece."""
@@ -137,6 +148,10 @@ class Tokenizers:
         return [f"{i}{end}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for end in (",", last)]
 
 
+def is_plain(piece: str) -> bool:
+    return len(piece) < PLAIN_CHARS and (piece.isascii() and piece.isprintable() or _settled(piece))
+
+
 class PerfectHash:
     """A minimal perfect hash of distinct 64-bit keys, with the keys beside their numbers.
 
@@ -242,15 +257,20 @@ class Aligner:
 
     def _learn(self, new: list[str]) -> None:
         known = self.tokenizers
-        a_ids, b_lists = known.encode(new)
+        plain, others = [], []
+        for piece in new:
+            (plain if is_plain(piece) else others).append(piece)
+        new = plain + others
+        a_ids, b_lists = known.encode(plain, others)
         spelled = [(" " + p).encode("utf-8", "surrogatepass") for p in new]
-        b_ids = np.fromiter(chain.from_iterable(b_lists), np.int64)
+        b_flat = list(chain.from_iterable(b_lists))
+        b_ids = np.array(b_flat, np.int64)
         whole = b"".join(spelled)
         piece_ends = np.cumsum([*map(len, spelled)])
         a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
         b_to = np.cumsum([*map(len, b_lists)])
         fits = (b"".join(map(known.a_bytes.__getitem__, a_ids.tolist())) == whole
-                == b"".join(map(known.b_bytes.__getitem__, b_ids.tolist())))
+                == b"".join(map(known.b_bytes.__getitem__, b_flat)))
         if not fits or not (np.append(0, b_ends)[b_to] == piece_ends).all():
             bad = {p for p, b in zip(new, b_lists) if known.misspelled(p, b)}
             self._number(sorted(bad), np.zeros((len(bad), len(STATS)), np.int64), [""] * len(bad))
