@@ -7,7 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragspark.operators.dedupe import first_seen
+from ragspark.operators.pages import numbered
 from ragspark.operators.ranking import page_bounds, paginate
+from ragspark.session import cut_lineage
+from ragspark.sources.versions import read_current, replace_table
 
 SEARCHED = ["title", "author", "isbn", "topic"]
 PAYLOAD = ["uid", "title", "author", "isbn", "topic", "description", "cover_image_url", "published_year"]
@@ -53,14 +57,20 @@ def lookup(refs: DataFrame, books: DataFrame) -> DataFrame:
 def merge_plan(existing: DataFrame, canonical: DataFrame) -> DataFrame:
     """One row per book with its action: ``insert``, ``update``, ``unchanged``, ``delete`` or ``keep``.
 
-    A canonical book matches the existing row with its uid, else the one with its isbn. Existing ``book-`` rows that
-    no canonical book claims are deleted, other unclaimed rows are kept.
+    A canonical book matches the existing row with its uid, else the one with its isbn; of several rows with one isbn
+    the last by id. A row that is claimed by its uid is not claimed by its isbn as well, and of several books that claim
+    a row by its isbn the one with the least uid gets it; the others are inserted. Existing ``book-`` rows that no canonical
+    book claims are deleted, other unclaimed rows are kept.
     """
     old = existing.select(*[F.col(c).alias(f"old_{c}") for c in ["id", *PAYLOAD]])
     new = canonical.select(*PAYLOAD)
     by_uid = new.join(old, F.col("uid") == F.col("old_uid"))
     rest = new.join(existing.select("uid"), "uid", "left_anti")
-    by_isbn = rest.join(old, F.nullif(F.col("isbn"), F.lit("")) == F.col("old_isbn"), "left")
+    free = first_seen(old.where("old_isbn <> ''"), ["old_isbn"], [F.desc("old_id")]).join(
+        new.select(F.col("uid").alias("old_uid")), "old_uid", "left_anti").select(*old.columns)
+    claims = first_seen(rest.where("isbn <> ''"), ["isbn"], [F.asc("uid")]).select(
+        "isbn", F.col("uid").alias("claimant")).join(free, F.col("isbn") == F.col("old_isbn")).drop("isbn")
+    by_isbn = rest.join(claims, F.col("uid") == F.col("claimant"), "left").drop("claimant").select(*by_uid.columns)
     matched = by_uid.unionByName(by_isbn)
     changed = reduce(lambda a, b: a | b, [~F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in PAYLOAD])
     claimed = matched.select(
@@ -84,6 +94,20 @@ def merged(plan: DataFrame) -> DataFrame:
     return plan.where(F.col("action") != "delete").drop("action")
 
 
+def write_merged(plan: DataFrame, path: str) -> DataFrame:
+    """The merged catalog as the new version of the table at ``path``; inserted rows get the ids after the largest one.
+
+    Ids follow the uids of the inserted rows, so a repeated write gives the same table.
+    """
+    whole = cut_lineage(merged(plan))
+    highest = plan.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    kind = whole.schema["id"].dataType
+    added = numbered(whole.where("id is null").drop("id"), ["uid"], highest + 1)
+    held = whole.where("id is not null").unionByName(added.withColumn("id", F.col("id").cast(kind)))
+    replace_table(held, path, whole.count())
+    return read_current(plan.sparkSession, path)
+
+
 def resolve_titles(rows: DataFrame, titles: DataFrame, key: str = "book_uid") -> DataFrame:
     """Display title per row, ``Unknown Title`` where there is none."""
     named = rows.join(titles.select(key, F.col("title").alias("_title")), key, "left")

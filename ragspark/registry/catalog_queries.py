@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ragspark.operators import catalog, keywords
+from ragspark.operators import catalog, keywords, pages
 from ragspark.plans import books as flows
 from ragspark.registry import query, tables
 from ragspark.registry import sql as q
+from ragspark.session import shared_folder
 from ragspark.sources import tables as sinks
 
 
@@ -37,6 +38,23 @@ def _(spark, d):
     return catalog.list_books(tables.books(spark, d), "bolt", 2, 10)
 
 
+@query("catalog_deep_page", f"""with {q.BOOKS}
+select id, uid, title from books order by title, id limit 20 offset 160""")
+def _(spark, d):
+    """Page 9 of all books, from the stored order."""
+    index = pages.page_index(tables.books(spark, d).select("id", "uid", "title"), ["title", "id"], part_rows=50)
+    return pages.page(index, 9, 20)
+
+
+@query("catalog_next_rows", f"""with {q.BOOKS}, placed as (select id, uid, title, row_number() over (order by title, id) as n from books)
+select id, uid, title from placed where n between 101 and 130""")
+def _(spark, d):
+    """The thirty books behind the hundredth, found by its key."""
+    index = pages.page_index(tables.books(spark, d).select("id", "uid", "title"), ["title", "id"], part_rows=40)
+    last = pages.page(index, 100, 1).first()
+    return pages.after(index, (last["title"], last["id"]), 30)
+
+
 @query("catalog_total", f"with {q.BOOKS} select count(*) as total from books where concat_ws('|', title, author, isbn, topic) ilike '%small%'")
 def _(spark, d):
     return catalog.total(catalog.search(tables.books(spark, d), "small"))
@@ -89,6 +107,14 @@ def _(spark, d):
     return _merge_plan(spark, d).select("uid", "id", "action")
 
 
+@query("canonical_merge_written", f"""with {CANONICAL}, kept as (select * from plan where action <> 'delete')
+select uid, case when id is not null then id else (select max(id) from books)
+  + row_number() over (partition by id is null order by uid) end::INT as id from kept""")
+def _(spark, d):
+    """The merged catalog written as a new version of a table and read back."""
+    return catalog.write_merged(_merge_plan(spark, d), shared_folder(spark, "catalog")).select("uid", "id")
+
+
 @query("canonical_merge_counts", f"with {CANONICAL} select action, count(*) as rows from plan group by 1")
 def _(spark, d):
     return catalog.merge_counts(_merge_plan(spark, d))
