@@ -4,7 +4,8 @@ The patterns of ``BASE`` are found as they stand. Every other unbroken string of
 candidate: a window slides over it, the counts of its characters are kept up to date as one character enters and one
 leaves, and with them the sum of ``c * log2(c)``, hence the Shannon entropy. Windows at or above the class's bound are
 joined to spans. Candidates that touch a base span are left out, and those the allow-list knows: strings that are a word
-path as a whole or name themselves a placeholder. Public pieces (UUIDs, digests with their name, alphabets, runs of x) are
+path as a whole, consist of words but for a few signs (paths and identifiers with digits in them) or name themselves a
+placeholder. Public pieces (UUIDs, digests with their name, alphabets, runs of x) are
 left out themselves, and what lies beside them is a candidate of its own.
 
 Positions are code points, ends exclusive. Null texts are empty and have no spans. Every row gives one row; repeated
@@ -55,7 +56,14 @@ CLASSES = (
     EntropyClass("entropy_base64",
                  r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])"
                  r"[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", 20, 20, 3.6),
+    # lower-case letters and digits only: at least three runs of digits with letters behind them tell them from names
+    EntropyClass("entropy_lower",
+                 r"(?<![A-Za-z0-9+/_=-])(?=(?:[a-z]*+[0-9]++(?=[a-z])){3})[a-z0-9]{24,}(?![A-Za-z0-9+/_=-])", 24, 24, 3.6),
 )
+#: Words inside candidates, and the share of letters and digits from which on words make a candidate up.
+WORDS = re.compile(r"[A-Z]?[a-z]{3,}+")
+VOWEL = re.compile(r"[aeiouyAEIOUY]")
+WORD_SHARE = 0.75
 #: Candidates that look random but are known to be placeholders or, as a whole, paths of words.
 ALLOWED = (
     re.compile(r"(?i).*(example|sample|placeholder|changeme|dummy).*"),
@@ -104,6 +112,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def made_of_words(candidate: str) -> bool:
+    """Whether words with a vowel make up ``WORD_SHARE`` of the letters and digits, and a separator or capital parts two."""
+    words = [w for w in WORDS.findall(candidate) if VOWEL.search(w)]
+    return len(words) > 1 and sum(map(len, words)) >= WORD_SHARE * sum(c.isalnum() for c in candidate)
+
+
 def scan(text: str, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[re.Pattern, ...] = ALLOWED,
          pieces: re.Pattern = PIECES) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
     """Base spans, and all spans as (start, kind, end) in order."""
@@ -115,7 +129,8 @@ def scan(text: str, classes: tuple[EntropyClass, ...] = CLASSES, allowed: tuple[
     for k, kind in enumerate(classes):
         for m in _compiled(kind.pattern).finditer(text):
             before = bisect.bisect_left(starts, m.end())
-            if before and reach[before - 1] > m.start() or any(p.fullmatch(m[0]) for p in allowed):
+            if before and reach[before - 1] > m.start() or any(p.fullmatch(m[0]) for p in allowed) \
+                    or made_of_words(m[0]):
                 continue
             rest = pieces.sub(lambda p: " " * len(p[0]), m[0])
             parts = [(0, rest)] if rest == m[0] else [(p.start(), p[0]) for p in _compiled(kind.pattern).finditer(rest)]

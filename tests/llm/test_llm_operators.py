@@ -157,6 +157,20 @@ def test_bare_keys_are_found():
     assert secret_scan.scan(f"{uuid}_{beside}")[1][0][0] >= len(uuid) and secret_scan.scan(f"sha1-{beside}")[1]
 
 
+def test_paths_and_identifiers_with_digits_are_free_and_lower_case_keys_found():
+    free = ["com/acme/service/v2/UserAccountManager", "src/components/LoginForm2/handleSubmit/index",
+            "AbstractSingletonProxyFactoryBean2", "com/acme/spark/blob/master/sql/core/src/main/scala/Dataset2",
+            "averylonglowercasename2024", "chapter12section34paragraph"]
+    assert [secret_scan.scan(f"a {c} b")[1] for c in free] == [[]] * len(free)
+    r = random.Random(4)
+    signs = "abcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(signs) for _ in range(32)) for _ in range(500)]
+    found = [secret_scan.scan(f"a {k} b")[1] for k in keys]
+    assert sum(f == [(2, "entropy_lower", 34)] for f in found) >= 425
+    mixed = ["aB3" + "".join(r.choice(signs + signs[:26].upper()) for _ in range(21)) for _ in range(2000)]
+    assert sum(map(secret_scan.made_of_words, mixed)) <= 4
+
+
 def test_mask_secrets_keeps_columns(docs):
     out = secret_scan.mask_secrets(docs.withColumn("n_chars", F.length("text").cast("long")), length_col="n_chars")
     assert out.columns == [*docs.columns, "n_chars"]
