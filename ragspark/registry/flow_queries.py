@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ragspark.functions import fixed_values as fv
@@ -10,12 +11,15 @@ from ragspark.operators import papers, quality, requests
 from ragspark.operators.embedding import hashing_embedder, lexical_scorer
 from ragspark.operators.rerank import rerank
 from ragspark.plans import books, journals, passages, web
+from ragspark.plans.staged import run_stages
 from ragspark.registry import query, tables
 from ragspark.registry import sql as q
 from ragspark.registry.retrieval_queries import HYBRID, NEAR
-from ragspark.registry.text_queries import CHUNK_SQL
+from ragspark.registry.text_queries import ACTIVE, CHUNK_SQL, scans
 from ragspark.session import shared_folder
+from ragspark.sources import files
 from ragspark.sources.tables import insert_if_absent, stored, write_collections
+from ragspark.streaming import incremental
 
 SCORED = f"""{q.FILTERED}, source_texts as (select query_id * 1000000 + pos as doc, content from filtered), {CHUNK_SQL},
 parts as (select f.query_id, f.pos::BIGINT * 1048576 + m.part as chunk_key, f.url as source, m.chunk_text, m.token_estimate,
@@ -307,3 +311,94 @@ def _(spark, d):
     write_collections(again, path)
     return spark.read.parquet(path).groupBy("book_uid").agg(
         F.count("*").alias("rows"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+
+
+STOPPED = "stopped half way"
+
+
+@query("staged_run_resumed", f"""with cleaned as (select doc_id, {q.clean('text')} as text from documents)
+select doc_id, len({q.tokens('text')})::INT as n_words, md5(text) as digest from cleaned""")
+def _(spark, d):
+    def cleaned(rows):
+        return rows.select("doc_id", tx.clean_text(F.col("text")).alias("text"))
+
+    def counted(rows):
+        return rows.select("*", F.size(tx.tokens(F.col("text"))).alias("n_words"))
+
+    def digested(rows):
+        return rows.select("doc_id", "n_words", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+    def dying(rows):
+        dies = F.when(F.col("doc_id") % 7 == 3, F.raise_error(F.lit(STOPPED)).cast("int")).otherwise(F.col("n_words"))
+        return digested(rows.withColumn("n_words", dies))
+
+    folder, docs = shared_folder(spark, "stages"), tables.table(spark, d, "documents").select("doc_id", "text")
+    before = [("cleaned", cleaned), ("counted", counted)]
+    try:
+        run_stages([*before, ("digested", dying)], docs, folder)
+    except PySparkException as error:
+        if STOPPED not in str(error):
+            raise
+    return run_stages([*before, ("digested", digested)], docs, folder, resume=True)
+
+
+@query("text_file_lines", """with lines as (select source, unnest(string_split(text, chr(10))) as line from documents)
+select source, count(*) as lines, sum(length(line))::BIGINT as chars, sum(('0x' || substr(md5(line), 1, 8))::BIGINT)::BIGINT as digests
+from lines group by source""")
+def _(spark, d):
+    """Documents written as text files, one folder for each source, and read back in segments."""
+    path = shared_folder(spark, "texts")
+    docs = tables.table(spark, d, "documents").where("text is not null")
+    docs.select("source", F.col("text").alias("value")).write.partitionBy("source").text(path)
+    segments = files.text_segments(spark, path, chars=4096)
+    line = segments.select(F.regexp_extract("file", "/source=([^/]+)/", 1).alias("source"),
+                           F.explode(F.split("text", "\n")).alias("line"))
+    digest = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 8), 16, 10).cast("long")
+    return line.groupBy("source").agg(
+        F.count("*").alias("lines"), F.sum(F.length("line")).cast("long").alias("chars"), F.sum(digest).alias("digests"))
+
+
+@query("prefixed_query_vectors", f"""with asked as (select item_id as query_id, '{fv.QUERY_PREFIX}' || text as query from benchmark),
+_slots_query_id as ({q.slots('asked', 'query_id', 'query')}), prefixed as ({q.hashed('asked', 'query_id', 'query')}),
+_slots_item_id as ({q.slots('benchmark', 'item_id', 'text')}), plain as ({q.hashed('benchmark', 'item_id', 'text')})
+select query_id, i - 1 as slot, round(prefixed.v[i], 5) as value, round(plain.v[i], 5) as without_prefix
+from prefixed join plain on query_id = item_id, range(1, 65) r(i)""")
+def _(spark, d):
+    asked, embedder = tables.queries(spark, d), hashing_embedder()
+    plain = embedder(asked, "query", "plain").select("query_id", "plain")
+    both = passages.embed_queries(asked, embedder).select("query_id", "embedding").join(plain, "query_id")
+    slots = both.select("query_id", F.posexplode(F.arrays_zip("embedding", "plain")).alias("slot", "v"))
+    return slots.select("query_id", F.col("slot").cast("long").alias("slot"),
+                        F.round(F.col("v.embedding").cast("double"), 5).alias("value"),
+                        F.round(F.col("v.plain").cast("double"), 5).alias("without_prefix"))
+
+
+def _delivered(spark, rows, deliveries: int = 3):
+    """``rows`` as a stream of that many micro-batches."""
+    path = shared_folder(spark, "deliveries")
+    rows.repartition(deliveries).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("streamed_active_book", f"with {ACTIVE} select * from active")
+def _(spark, d):
+    live = incremental.live_active_book(_delivered(spark, scans(spark, d)), "user_id", "uid", "ts", "event_id")
+    path = shared_folder(spark, "active")
+    run = incremental.keep_latest(live, path, shared_folder(spark, "progress"))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return incremental.latest(spark, path, "user_id")
+
+
+@query("streamed_index", """select p_partkey as book_id, 1::BIGINT as entries, 64 as dim,
+  round(case when p_name is null or p_name = '' then 0.0 else 1.0 end, 4)::DOUBLE as norm from part""")
+def _(spark, d):
+    """Every part delivered twice in micro-batches; the index holds each once."""
+    part = tables.table(spark, d, "part").select(F.col("p_partkey").alias("book_id"), F.col("p_name").alias("summary"))
+    path = shared_folder(spark, "index")
+    for _round in range(2):
+        run = incremental.maintain_index(_delivered(spark, part), hashing_embedder(), "summary", "book_id", path,
+                                         shared_folder(spark, "progress"))
+        run.trigger(availableNow=True).start().awaitTermination()
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return spark.read.parquet(path).groupBy("book_id").agg(
+        F.count("*").alias("entries"), F.max(F.size("embedding")).alias("dim"), F.round(F.sqrt(F.max(total)), 4).alias("norm"))

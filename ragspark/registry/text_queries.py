@@ -358,7 +358,7 @@ ACTIVE = """active as (select user_id, arg_max('book-' || (event_id % 10), (ts,
   from events where event_type = 'view' group by 1)"""
 
 
-def _scans(spark, d):
+def scans(spark, d):
     views = tables.table(spark, d, "events").where(F.col("event_type") == "view")
     return views.select("user_id", "ts", "event_id",
                         F.concat(F.lit("book-"), (F.col("event_id") % 10).cast("string")).alias("uid"))
@@ -366,7 +366,7 @@ def _scans(spark, d):
 
 @query("active_book", f"with {ACTIVE} select * from active")
 def _(spark, d):
-    return requests.active_book(_scans(spark, d), "user_id", "uid", "ts", "event_id")
+    return requests.active_book(scans(spark, d), "user_id", "uid", "ts", "event_id")
 
 
 @query("book_resolution", f"""with {ACTIVE}
@@ -380,7 +380,7 @@ def _(spark, d):
         F.when(kind == "click", F.concat(F.lit("ref-"), F.col("event_id").cast("string"))).otherwise("").alias("book_ref"),
         F.lit(None).cast("string").alias("book_uid"),
         F.when(kind == "error", F.concat(F.lit("uid-"), F.col("user_id").cast("string"))).alias("uid"))
-    sessions = requests.active_book(_scans(spark, d), "user_id", "uid", "ts", "event_id")
+    sessions = requests.active_book(scans(spark, d), "user_id", "uid", "ts", "event_id")
     return requests.resolve_book(asked, sessions, "user_id").select("event_id", "book")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +105,49 @@ def text_corpus(spark: SparkSession, path: str) -> DataFrame:
         F.concat(F.lit("book-"), book_number(file_name()).cast("string")).alias("book_uid"), F.col("value").alias("text"))
 
 
+SEGMENT_CHARS = 1 << 20
+
+
+def text_segments(spark: SparkSession, path: str, chars: int = SEGMENT_CHARS) -> DataFrame:
+    """Text files of any size as ordered segments ``(file, book_uid, block, part, text)``.
+
+    Spark cuts a file into byte ranges at line ends (``spark.sql.files.maxPartitionBytes``), so one large file is many tasks.
+    ``block`` is where a range starts and ``part`` counts the segments in it; joined by newlines in this order they are
+    the file, but for a newline at its end. A segment ends at the first blank line from ``chars`` characters on, or at the
+    line end that brings it to twice as many. No text moves between tasks; a task holds one segment. A line must fit one value.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.concat(F.lit("book-"), book_number(file_name()).cast("string")).alias("book_uid"),
+        F.col("_metadata.file_block_start").alias("block"), "value")
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held, size, part = None, [], 0, 0
+
+        def segment() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(
+                [{"file": place[0], "book_uid": place[1], "block": place[2], "part": part, "text": "\n".join(held)}], KIND)
+        for batch in batches:
+            for file, uid, block, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if (file, uid, block) != place:
+                    if held:
+                        yield segment()
+                    place, held, size, part = (file, uid, block), [], 0, 0
+                held.append(line)
+                size += len(line) + 1
+                if size >= 2 * chars or size >= chars and not line.strip():
+                    yield segment()
+                    held, size, part = [], 0, part + 1
+        if held:
+            yield segment()
+
+    return lines.mapInArrow(gathered, "file string, book_uid string, block long, part long, text string")
+
+
+KIND = pa.schema([("file", pa.string()), ("book_uid", pa.string()), ("block", pa.int64()), ("part", pa.int64()),
+                  ("text", pa.string())])
+
+
 def check_query_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retrieval records that have all required fields, and the rejected ones with the reason."""
     missing = F.filter(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ragspark.operators.catalog import lookup, merge_counts, merge_plan
 from ragspark.operators.embedding import hashing_embedder
 from ragspark.plans import journals, passages
-from ragspark.plans.staged import run_stages
+from ragspark.plans.staged import fingerprint, manifest, run_stages
 from ragspark.sources import files, tables
 from ragspark.streaming.incremental import live_active_book, maintain_index
 
@@ -147,6 +147,70 @@ def test_stages_resume(spark, tmp_path):
         run_stages(stages, spark.range(2), str(tmp_path), start="four")
 
 
+def test_stages_resume_after_a_failure(spark, tmp_path):
+    calls, folder = [], str(tmp_path)
+
+    def step(name, dies=False):
+        def run(df):
+            calls.append(name)
+            out = df.withColumn(name, F.col("id") * 2)
+            return out.withColumn("bad", F.when(F.col("id") == 90, F.raise_error(F.lit("died")))).drop("id") if dies else out
+        return name, run
+    source = spark.range(100, numPartitions=4)
+    with pytest.raises(Exception, match="died"):
+        run_stages([step("one"), step("two"), step("three", dies=True)], source, folder)
+    assert manifest(spark, folder, "two") and manifest(spark, folder, "three") is None
+    stages = [step("one"), step("two"), step("three")]
+    calls.clear()
+    straight = run_stages(stages, source, str(tmp_path / "other"))
+    calls.clear()
+    resumed = run_stages(stages, source.repartition(3), folder, resume=True)
+    assert calls == ["three"] and sorted(resumed.collect()) == sorted(straight.collect())
+    calls.clear()
+    run_stages(stages, source, folder, resume=True)
+    assert calls == []
+    run_stages(stages, source, folder, start="two", resume=False)
+    assert calls == ["two", "three"]
+    calls.clear()
+    run_stages(stages, source.where("id < 99"), folder, resume=True)
+    assert calls == ["one", "two", "three"]
+    with pytest.raises(ValueError, match="no committed table"):
+        run_stages(stages, source, str(tmp_path / "third"), start="two")
+    with pytest.raises(ValueError, match="differ"):
+        run_stages([step("one"), step("one")], source, folder)
+
+
+def test_fingerprints(spark):
+    rows = spark.createDataFrame([(1, {"a": 1}, [1.5]), (2, None, None)], "i int, m map<string, int>, v array<double>")
+    same = fingerprint(rows)
+    assert fingerprint(rows.orderBy(F.desc("i"))) == same
+    others = [rows.union(rows), rows.withColumn("i", F.col("i") + 1), rows.withColumnRenamed("i", "j"), rows.where("i = 1"),
+              rows.withColumn("m", F.lit(None).cast("map<string, int>")), rows.where("false")]
+    assert len({same, *map(fingerprint, others)}) == 7
+
+
+def test_large_text_files_in_segments(spark, tmp_path):
+    lines = [("" if i % 40 == 39 else f"line {i} " + "x" * (i % 97)) + ("\r" if i % 5 == 0 else "") for i in range(40_000)]
+    lines[777] = "long " * 20_000
+    texts = {"book-7.txt": "\n".join(lines), "notes.txt": "one\n\n\ntwo\n", "book-8.txt": "", "book-9.txt": "\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200_000)
+    try:
+        segments = files.text_segments(spark, str(tmp_path), chars=5000)
+        assert segments.rdd.getNumPartitions() >= 10
+        rows = sorted(segments.collect(), key=lambda r: (r.file, r.block, r.part))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    joined = {name: "\n".join(r.text for r in rows if r.file.endswith("/" + name)) for name in texts}
+    assert joined == {name: text.removesuffix("\n") for name, text in texts.items()}
+    book = [r for r in rows if r.book_uid == "book-7"]
+    assert len({r.block for r in book}) >= 10 and len({(r.block, r.part) for r in book}) == len(book)
+    assert all(len(r.text) < 10_200 for r in book if "long long" not in r.text)
+    assert {r.book_uid for r in rows if r.file.endswith("/notes.txt")} == {"book-1"}
+
+
 def test_stream_maintains_the_index(spark, tmp_path):
     source, index = str(tmp_path / "in"), str(tmp_path / "index")
     schema = "book_id int, summary string"
