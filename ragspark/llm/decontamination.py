@@ -162,7 +162,44 @@ def length_class(words: int) -> int:
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, id_col: str = "doc_id",
           text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and leaked item: best score, overlap of question and answer there, and passages that hold it."""
-    spark = docs.sparkSession
+    spark, found = docs.sparkSession, None
+    for index in _indexes(spark, benchmark, item_col, item_text_col):
+        one = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(
+            _search(index, threshold, overlap),
+            "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, "
+                                          "answer_overlap double")
+    return found.groupBy("doc_id", "item_id").agg(
+        F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"),
+        F.max("answer_overlap").alias("answer_overlap"), F.count("*").alias("passages"))
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6,
+                    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold an item; each row is judged by its own text, whatever its id."""
+    at = docs.columns.index(text_col)
+
+    def without(index):
+        search = _search(index, threshold, overlap)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms = Terms(index.value.vocabulary)
+            for batch in slices(batches, BATCH_ROWS):
+                numbers = pa.array(range(batch.num_rows), pa.int64())
+                numbered = pa.RecordBatch.from_arrays([numbers, batch.column(at)], ["row", "text"])
+                gone = {n for hits in search(iter([numbered]), terms) for n in hits.column(0).to_pylist()}
+                yield batch.filter(pa.array([n not in gone for n in range(batch.num_rows)], pa.bool_())) if gone else batch
+        return kept
+
+    for index in _indexes(docs.sparkSession, benchmark, item_col, item_text_col):
+        docs = docs.mapInArrow(without(index), docs.schema)
+    return docs
+
+
+def _indexes(spark, benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator:
+    """Broadcast indexes of the items, each of one class of lengths and at most ``ITEMS_PER_INDEX`` items."""
     clean = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("words")).where(
         "item is not null and words is not null")
     blocks = max(1, -(-clean.count() // ITEMS_PER_INDEX))
@@ -180,25 +217,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
                 total += 1
     loaded = [items[a:a + ITEMS_PER_INDEX] for _, items in sorted(by_length.items()) for a in range(0, len(items), ITEMS_PER_INDEX)]
     weights = {t: math.log(1 + (total - n + 0.5) / (n + 0.5)) for t, n in frequency.items()}
-    found = None
     for items in loaded:
-        index = spark.sparkContext.broadcast(BlockMaxIndex(items, weights, length / total))
-        one = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(
-            _search(index, threshold, overlap),
-            "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, "
-                                          "answer_overlap double")
-    return found.groupBy("doc_id", "item_id").agg(
-        F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"),
-        F.max("answer_overlap").alias("answer_overlap"), F.count("*").alias("passages"))
+        yield spark.sparkContext.broadcast(BlockMaxIndex(items, weights, length / total))
 
 
 def _search(index, threshold: float, overlap: float):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches: Iterator[pa.RecordBatch], terms: Terms | None = None) -> Iterator[pa.RecordBatch]:
         held = index.value
-        terms = Terms(held.vocabulary)
+        terms = Terms(held.vocabulary) if terms is None else terms
         stride = held.longest
         for batch in slices(batches, BATCH_ROWS):
             keys = batch.column(0).to_pylist()

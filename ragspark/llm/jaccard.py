@@ -182,6 +182,44 @@ def joined(sets: list[np.ndarray], others: list[np.ndarray] | None, least: int =
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """Per row the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    return classes(docs, width, least, id_col, text_col).select(
+        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
+        F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def unique_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of every component: of the smallest id, nulls last, and of its texts that with the smallest key.
+
+    Rows are told apart by id and a 64-bit key of the text, so rows without an id and different texts of one id are judged alike. Of rows that
+    share both, any one stays. Texts without words have no links and all stay. Only the rows that stay for several equal
+    ones are shuffled for that; partial aggregation leaves one of them in each task.
+    """
+    key = "text_key"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    rows = docs.withColumn(key, text_key(F.col(text_col)))
+    place = F.struct(F.col("doc").isNull(), "doc", "key")
+    linked = stored(classes(docs, width, least, id_col, text_col).where("component is not null").groupBy(
+        "component", "doc", "key").agg(F.count("*").alias("rows")))
+    first = linked.groupBy("component").agg(F.min(place).alias("first"))
+    judged = linked.join(first, "component").withColumn(
+        "stays", F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.key") == F.col("key")))
+    decided = stored(judged.where("not stays or rows > 1").select("doc", "key", "stays"))
+    same = F.col("key").eqNullSafe(rows[key]) & F.col("doc").eqNullSafe(rows[id_col].cast("long"))
+    left = rows.join(decided, same, "left_anti")
+    several = decided.where("stays")
+    if not several.isEmpty():
+        left = left.unionByName(rows.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return left.drop(key)
+
+
+def classes(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
+    """Per row ``doc``, the ``key`` of its text, ``n``, a name of its ``component`` and ``component_id``.
+
+    ``component`` is null without words; ``component_id`` is null as well where no member has an id.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(F.col(text_col)).alias("key"),
                        F.col(text_col).alias("text"))
 
@@ -225,10 +263,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id_
     named = members.join(joined_up, F.col("low") == F.col("node"), "left").select(
         "set", "first_doc", F.coalesce("component", "low").alias("component"))
     first = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
-    of_set = named.join(first, "component").select("set", "component_id")
-    return every.select("doc", "n", "set").join(of_set, "set", "left").select(
-        F.col("doc").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("set").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+    of_set = named.join(first, "component").select("set", "component", "component_id")
+    return every.select("doc", "key", "n", "set").join(of_set, "set", "left").drop("set")
 
 
 def sketch_length(n: int, least: int) -> int:

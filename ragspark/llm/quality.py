@@ -267,3 +267,15 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, id_col:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(id_col, text_col, held_out(F.col(id_col)).alias("held_out"))
     return rows.mapInArrow(scored, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+
+
+def good_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose score is below ``threshold``; each row is judged by its own text, whatever its id."""
+    at = docs.columns.index(text_col)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, BATCH_ROWS):
+            score = model.score([t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
