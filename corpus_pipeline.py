@@ -2,9 +2,9 @@
 
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns a DataFrame; ``run`` writes each
 stage's rows as Parquet below the shared checkpoint folder and reads them again for the next. All stages but the last
-return the columns of ``docs``, extra ones included. The stages that drop documents give every row a key of its own first,
-so each row is judged by its own text: rows with no id, or with the id of another row, go and stay like all others. Null and
-empty texts and empty tables are handled as the operators' docstrings say.
+return the columns of ``docs``, extra ones included. The stages that drop documents judge each row by its own text: rows with
+no id, or with the id of another row, go and stay like all others. Null and empty texts and empty tables are handled as the
+operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ragspark.llm import decontamination, jaccard, packing, quality, secret_scan
 from ragspark.llm.common import read, stored
@@ -21,37 +20,19 @@ from ragspark.llm.queries import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as a stored table with a key for each row, and the name of the key."""
-    key = "row_key"
-    while key in {c.lower() for c in docs.columns}:
-        key += "_"
-    return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier rejects go."""
-    model = quality.fit(docs, read(spark, sf_dir, "labels"))
-    rows, key = keyed(docs)
-    rejected = quality.score_quality(rows, model, id_col=key).where("predicted = 0").select(key)
-    return rows.join(rejected, key, "left_anti").drop(key)
+    return quality.good_documents(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates one row stays: of the smallest id, nulls last, the first row."""
-    rows, key = keyed(docs)
-    groups = stored(jaccard.near_duplicates(rows, id_col=key).select(key, "component_id"))
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", key)
-    first = groups.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(place)[key].alias(key))
-    copies = groups.select(key).join(first.select(key), key, "left_anti")
-    return rows.join(copies, key, "left_anti").drop(key)
+    """Of every group of near duplicates one row stays, that with the smallest id, nulls last."""
+    return jaccard.unique_documents(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    rows, key = keyed(docs)
-    leaked = decontamination.leaks(rows, read(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key))
-    return rows.join(leaked.distinct(), key, "left_anti").drop(key)
+    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
