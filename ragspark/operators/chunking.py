@@ -1,17 +1,14 @@
 """Chunkers. The window chunker is a fold over a document's blocks written as one SQL expression, so a document
-is chunked inside its own row: no shuffle, no Python. The character splitter recurses over separators and runs as
-an Arrow UDF."""
+is chunked inside its own row: no shuffle, no Python. The character splitter is a fold as well, over pieces that are
+cut by one separator after another."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ragspark.functions import fixed_values as fv
 from ragspark.functions import text as tx
@@ -245,48 +242,74 @@ def _merge_runs(chunks: DataFrame) -> DataFrame:
     return ordered.mapInArrow(fold, rows.schema).drop("run")
 
 
-def _split_text(text: str, separators: tuple[str, ...]) -> list[str]:
-    """Pieces no longer than the size limit where the separators allow it, greedily packed with overlap."""
-    size, overlap = fv.SPLIT_SIZE, fv.SPLIT_OVERLAP
-    at = next(i for i, s in enumerate(separators) if s in text)
-    sep, finer = separators[at], separators[at + 1:]
-    # Each piece but the first begins with the separator that was found before it.
-    parts = list(text) if sep == "" else re.split(f"({re.escape(sep)})", text)
-    pieces = parts if sep == "" else [p for p in map("".join, zip(["", *parts[1::2]], parts[0::2])) if p]
-    out: list[str] = []
-    run: list[str] = []
-    length = 0
-
-    def emit() -> None:
-        joined = "".join(run).strip()
-        if joined:
-            out.append(joined)
-
-    for piece in pieces:
-        if len(piece) >= size:
-            if run:
-                emit()
-                run, length = [], 0
-            out.extend(_split_text(piece, finer) if finer else [piece])
-            continue
-        if run and length + len(piece) > size:
-            emit()
-            while run and (length > overlap or length + len(piece) > size):
-                length -= len(run.pop(0))
-        run.append(piece)
-        length += len(piece)
-    if run:
-        emit()
-    return out
-
-
-def _split_series(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: _split_text(t, fv.SPLIT_SEPARATORS) if t and t.strip() else [])
-
-
-def split_characters(text) -> Column:
-    """Recursive character split: 480 characters, 100 overlap, coarse separators first."""
-    return F.pandas_udf(_split_series, T.ArrayType(T.StringType())).asNondeterministic()(text)
+# Recursive character split, one level of separators after another. An item is a piece of the text with its length;
+# ``starts`` marks an item that may not share a chunk with the one before it: they have different parents, or a piece
+# that was cut further lies between them.
+_RANGE = "struct<a:int,b:int>"
+
+
+def _finer(items: str, cut: str) -> str:
+    """SQL of the items with every one that fills a whole chunk replaced by the items of ``cut``."""
+    return f"flatten(transform({items}, x -> if(x.n >= {fv.SPLIT_SIZE}, {cut}, array(x))))"
+
+
+def _cut_at(separator: str) -> str:
+    """Pieces of ``x.p``; each but the first begins with the separator that was found before it."""
+    literal = separator.replace("\n", "\\n")
+    return f"""get(transform(
+      array(filter(transform(split(x.p, '{literal.replace(".", "[.]")}', -1), (y, i) -> if(i = 0, y, concat('{literal}', y))),
+                   y -> y != '')),
+      ps -> transform(ps, (y, i) -> named_struct(
+        'p', y, 'n', length(y), 'starts', i = 0 or length(get(ps, i - 1)) >= {fv.SPLIT_SIZE}))), 0)"""
+
+
+# Text without any separator: one pass cuts it by the stride, and each window takes its overlap from the next cut.
+_STRIDE = fv.SPLIT_SIZE - fv.SPLIT_OVERLAP
+_CUT_BY_LENGTH = f"""get(transform(
+      array(regexp_extract_all(x.p, '(?s).{{{{1,{_STRIDE}}}}}', 0)),
+      ps -> filter(
+        transform(ps, (y, i) -> get(transform(
+          array(concat(y, coalesce(substring(get(ps, i + 1), 1, {fv.SPLIT_OVERLAP}), ''))),
+          w -> named_struct('p', w, 'n', length(w), 'starts', true)), 0)),
+        (w, i) -> i = 0 or w.n > {fv.SPLIT_OVERLAP})), 0)"""
+
+
+def _split_items(text: str) -> str:
+    items = f"array(named_struct('p', {text}, 'n', length({text}), 'starts', true))"
+    for separator in fv.SPLIT_SEPARATORS:
+        items = _finer(items, _cut_at(separator) if separator else _CUT_BY_LENGTH.format())
+    return items
+
+
+# State: done = index ranges of the chunks put out; a = first item of the open chunk, len = its length, i = items seen.
+# A full chunk hands on its last items, as many as fit the overlap and leave room for the next item.
+_PACK = _fold(_RANGE, {"a": "0", "len": "0", "i": "0"}, f"""
+  case
+    when b.starts then
+      named_struct('done', if(s.a > 0, concat(s.done, array(named_struct('a', s.a, 'b', s.i))), s.done),
+                   'a', s.i + 1, 'len', b.n, 'i', s.i + 1)
+    when s.len + b.n > {fv.SPLIT_SIZE} then get(transform(
+      array(aggregate(
+        reverse(slice(every, greatest(s.i - {fv.SPLIT_OVERLAP} + 1, 1), least(s.i, {fv.SPLIT_OVERLAP}))),
+        named_struct('m', 0, 'len', 0, 'open', true),
+        (k, x) -> if(k.open and k.len + x.n <= {fv.SPLIT_OVERLAP} and k.len + x.n + b.n <= {fv.SPLIT_SIZE},
+                     named_struct('m', k.m + 1, 'len', k.len + x.n, 'open', true),
+                     named_struct('m', k.m, 'len', k.len, 'open', false)))),
+      k -> named_struct('done', concat(s.done, array(named_struct('a', s.a, 'b', s.i))),
+                        'a', s.i + 1 - k.m, 'len', k.len + b.n, 'i', s.i + 1)), 0)
+    else named_struct('done', s.done, 'a', s.a, 'len', s.len + b.n, 'i', s.i + 1)
+  end""", """
+  transform(concat(done, array(named_struct('a', o.a, 'b', o.i))),
+            r -> array_join(transform(slice(every, r.a, r.b - r.a + 1), x -> x.p), ''))""")
+
+
+def split_characters(text: str) -> Column:
+    """Recursive character split of a text column: 480 characters, 100 overlap, coarse separators first.
+
+    One SQL expression, linear in the text's length. Null and blank texts have no chunks.
+    """
+    kept = F.when(tx.filled(F.col(text)).isNotNull(), F.expr(_PACK.format(items=_split_items(f"`{text}`"))))
+    return F.filter(F.transform(F.coalesce(kept, F.array().cast("array<string>")), tx.strip), lambda c: c != "")
 
 
 def long_enough(chunks: Column) -> Column:

@@ -15,7 +15,7 @@ from ragspark.plans.staged import run_stages
 from ragspark.registry import query, tables
 from ragspark.registry import sql as q
 from ragspark.registry.retrieval_queries import HYBRID, NEAR
-from ragspark.registry.text_queries import ACTIVE, CHUNK_SQL, scans
+from ragspark.registry.text_queries import ACTIVE, BOOK_CHUNKS, CHUNK_SQL, scans
 from ragspark.session import shared_folder
 from ragspark.sources import files
 from ragspark.sources.tables import insert_if_absent, stored, write_collections
@@ -135,11 +135,19 @@ def _(spark, d):
                           F.get("results", F.lit(0))["chunk_id"].alias("first_chunk"), "summary.top_similarity_score")
 
 
-@query("book_index")
+@query("book_index", f"""with {BOOK_CHUNKS},
+passages as (select doc || '/' || chunk_id as passage, doc, chunk_id, text as document from split_chunks),
+_slots_passage as ({q.slots('passages', 'passage', 'document')}),
+h as ({q.hashed('passages', 'passage', 'document')})
+select p.doc as book_uid, p.chunk_id, p.document, array_to_string(list_transform(h.v,
+  lambda x: floor(coalesce(x, 0)::FLOAT::DOUBLE * 1000000)::BIGINT), ',') as millionths
+from passages p join h on h.passage = p.passage""")
 def _(spark, d):
     docs = tables.table(spark, d, "documents").select(
         F.concat(F.lit("book-"), F.col("doc_id").cast("string")).alias("book_uid"), "text")
-    return passages.book_vectors(docs, hashing_embedder())
+    millionths = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000).cast("string"))
+    return passages.book_vectors(docs, hashing_embedder()).select(
+        "book_uid", "chunk_id", "document", F.array_join(millionths, ",").alias("millionths"))
 
 
 BOOK_HITS = f"""asked as (select vec_id as query_id, 'wish ' || vec_id || case when vec_id % 9 = 0 then repeat('.', 600) else '' end as query,

@@ -237,3 +237,42 @@ bm25_scores as (
        bm25_numbers c group by 1, 2),
 bm25_hits as (select * from (select *, row_number() over (partition by query_id order by score desc, {key})::INT as rank
                              from {every if full else 'bm25_scores'}) where rank <= {k})"""
+
+
+def character_split(source: str) -> str:
+    """Common table expressions from ``source`` (doc, text) to ``split_chunks`` (doc, chunk_id, text).
+
+    Pieces are cut level by level; the chunks of a run are a walk over piece starts, each with its last piece and the
+    start of the next chunk.
+    """
+    size, overlap = fv.SPLIT_SIZE, fv.SPLIT_OVERLAP
+    levels = [f"split_0 as (select doc, 0::BIGINT as s, text as p, '' as run from {source} where {strip('text')} <> '')"]
+    cuts = [sep for sep in fv.SPLIT_SEPARATORS if sep]
+    for k, sep in enumerate(cuts, 1):
+        literal = "'" + sep.replace("\n", "' || chr(10) || '") + "'"
+        levels.append(f"""cut_{k} as (select doc, s as parent, i, case when i = 1 then part else {literal} || part end as p
+  from (select doc, s, unnest(parts) as part, generate_subscripts(parts, 1) as i
+        from (select doc, s, string_split(p, {literal}) as parts from split_{k - 1} where length(p) >= {size}))),
+split_{k} as (select doc, (parent + sum(length(p)) over w - length(p))::BIGINT as s, p,
+    '{k}:' || parent || ':' || sum((length(p) >= {size})::INT) over w as run
+  from cut_{k} where p <> '' window w as (partition by doc, parent order by i))""")
+    every = " union all ".join(f"select * from split_{k} where length(p) < {size}" for k in range(len(cuts) + 1))
+    return ",\n".join(levels) + f""",
+settled as (select doc, run, s, s + length(p) as e from ({every})),
+numbered as (select *, greatest(lead(s) over w - {overlap}, lead(e) over w - {size}) as bound
+  from settled window w as (partition by doc, run order by s)),
+hops as (select a.doc, a.run, a.s, b.e as upto, b.bound from numbered a
+  asof join numbered b on a.doc = b.doc and a.run = b.run and a.s + {size} >= b.e),
+jumps as (select h.doc, h.run, h.s, h.upto, n.s as onward from hops h
+  asof left join numbered n on h.doc = n.doc and h.run = n.run and h.bound <= n.s),
+walk as (select doc, run, min(s) as s from numbered group by all
+  union all select j.doc, j.run, j.onward from walk w join jumps j on j.doc = w.doc and j.run = w.run and j.s = w.s
+  where j.onward is not null),
+ranges as (select j.doc, j.s, j.upto from walk w join jumps j on j.doc = w.doc and j.run = w.run and j.s = w.s
+  union all select doc, s + cut, s + least(cut + {size}, length(p))
+  from (select doc, s, p, unnest(range(0, length(p) - {overlap}, {size - overlap})) as cut
+        from split_{len(cuts)} where length(p) >= {size})),
+range_texts as (select r.doc, r.s, {strip('substring(t.text, r.s + 1, r.upto - r.s)')} as text
+  from ranges r join {source} t on t.doc = r.doc),
+split_chunks as (select doc, row_number() over (partition by doc order by s)::INT - 1 as chunk_id, text
+  from range_texts where length(text) > {fv.MIN_SPLIT_CHARS})"""

@@ -196,7 +196,13 @@ def _(spark, d):
     return chunks.select("query_id", "pos", "section_index", "chunk_text", "token_estimate")
 
 
-@query("character_split")
+BOOK_CHUNKS = f"""recursive books as (select 'book-' || doc_id as doc, {q.clean('text')} as text from documents),
+{q.character_split('books')}"""
+
+
+@query("character_split", f"""with {BOOK_CHUNKS}
+select doc as book_uid, chunk_id, text, length(text)::INT as length, len({q.words('text')})::INT as word_count,
+  length(text)::INT as char_count from split_chunks""")
 def _(spark, d):
     docs = tables.table(spark, d, "documents")
     return chunking.split_book(docs.select(

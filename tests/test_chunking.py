@@ -67,9 +67,52 @@ def test_one_evaluation_of_the_fold(spark):
     assert plan.count("flatten(") == 1 and plan.count("aggregate(") == 2  # one fold over segments, one within
 
 
-def test_separators_stay_with_the_text_after_them():
+def _split(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    return [r.c for r in rows.select("i", chunking.split_characters("text").alias("c")).orderBy("i").collect()]
+
+
+def test_separators_stay_with_the_text_after_them(spark):
     text = "\n\n".join(["a" * 300, "\n" + "b" * 300, "c" * 100])
-    assert chunking._split_text(text, ("\n\n", "\n", ". ", " ", "")) == ["a" * 300, "b" * 300 + "\n\n" + "c" * 100]
+    assert _split(spark, [text]) == [["a" * 300, "b" * 300 + "\n\n" + "c" * 100]]
+
+
+def _split_by_recursion(text, separators):
+    """Chunks by the definition: pieces that are too long are split by finer separators, the others packed in order."""
+    sep = separators[0]
+    found = list(text) if not sep else text.split(sep)
+    pieces = [p for p in ([found[0]] + [sep + p for p in found[1:]]) if p]
+    chunks, held = [], []
+    for piece in pieces:
+        if len(piece) >= 480:
+            chunks, held = [*chunks, "".join(held), *_split_by_recursion(piece, separators[1:])], []
+        else:
+            if sum(map(len, held)) + len(piece) > 480:
+                chunks.append("".join(held))
+                while sum(map(len, held)) > 100 or sum(map(len, held)) + len(piece) > 480:
+                    held = held[1:]
+            held.append(piece)
+    return [c.strip() for c in [*chunks, "".join(held)] if c.strip()]
+
+
+def test_character_split_against_recursion(spark):
+    r = random.Random(3)
+    texts = ["", " \n ", "a" * 479, "a" * 480, "a" * 481, "a" * 860, "a" * 861, " " * 900 + "q", "\U0001f600\xe9" * 700]
+    for _ in range(120):
+        words = []
+        for _ in range(r.choice([10, 80, 600])):
+            length = r.choice([1, 30, 100, 500, 1200]) if r.random() < 0.1 else r.randint(1, 9)
+            words.append("".join(r.choices("ab\xe9\U0001f600.", k=length)) + r.choice([" ", " ", " ", ". ", "\n", "\n\n", "\n\n\n", "  "]))
+        texts.append("".join(words))
+    separators = ("\n\n", "\n", ". ", " ", "")
+    assert _split(spark, [None, *texts]) == [[], *(_split_by_recursion(t, separators) for t in texts)]
+
+
+def test_character_split_of_a_long_text(spark):
+    sizes = spark.range(1).select(F.expr("repeat('x', 1000000)").alias("text")).repartition(1).select(
+        F.size(chunking.split_characters("text")).alias("n"))
+    assert sizes.first().n == 1 + -(-(1_000_000 - 480) // 380)
+    assert "Python" not in sizes._jdf.queryExecution().executedPlan().toString()
 
 
 def _merged_list(chunks):
