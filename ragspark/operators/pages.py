@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ragspark.session import cut_lineage, shared_folder
 
 PART_ROWS = 1_000_000
+#: Folders a table may have however small the wanted parts are; beyond, parts grow up to ``PART_ROWS`` before their number does.
+MOST_PARTS = 256
 
 
 @dataclass(frozen=True)
@@ -29,8 +31,13 @@ class PageIndex:
 
 
 def page_index(df: DataFrame, order: list[str], part_rows: int = PART_ROWS) -> PageIndex:
-    """The table in ascending order of columns that name a row; nulls come first."""
-    wanted = max(1, -(-df.count() // part_rows))
+    """The table in ascending order of columns that name a row; nulls come first.
+
+    Parts have about ``part_rows`` rows, and more where that would make more than ``MOST_PARTS`` of them: a page reads a range
+    of its part, but every part costs a task, a folder and a row of the driver's file list.
+    """
+    rows = df.count()
+    wanted = max(1, min(-(-rows // part_rows), max(MOST_PARTS, -(-rows // PART_ROWS))))
     placed = df.repartitionByRange(wanted, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     placed = placed.withColumns({"_part": F.shiftright("_id", 33).cast("int"), "_at": F.col("_id").bitwiseAND((1 << 33) - 1)}).drop("_id")
     path = shared_folder(df.sparkSession, "pages")

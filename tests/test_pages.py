@@ -43,6 +43,17 @@ def test_a_deep_page_reads_one_part(table):
     assert len(set(scans)) == 1 and re.search(r"_part#\d+ = \d+", scans[0])
 
 
+def test_small_parts_of_a_large_table_stay_few(spark, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_PARTS", 12)
+    df = spark.range(5000).select(F.col("id"), F.format_string("t%05d", F.col("id")).alias("title"))
+    index = pages.page_index(df, ["title", "id"], part_rows=5)
+    assert index.total == 5000 and index.parts.count() <= 12
+    assert ids(pages.page(index, 31, 100)) == list(range(3000, 3100))
+    assert ids(pages.after(index, ("t04890", 4890), 200)) == list(range(4891, 5000))
+    monkeypatch.setattr(pages, "PART_ROWS", 100)
+    assert 12 < pages.page_index(df, ["title", "id"], part_rows=5).parts.count() <= 50
+
+
 def test_rows_behind_a_key(table):
     rows, df = table
     index = pages.page_index(df, ["title", "id"], part_rows=130)
