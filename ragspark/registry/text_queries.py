@@ -424,9 +424,10 @@ def _(spark, d):
 where len({q.words('text')}) > 0""")
 def _(spark, d):
     docs = tables.table(spark, d, "documents")
-    places = docs.select("doc_id", F.posexplode(tx.words(F.col("text"))).alias("at", "word"))
-    lists = places.groupBy("doc_id", "word").agg(F.collect_list("at").alias("ats"))
-    inverted = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "ats"))).alias("m"))
+    # a fixed number of partitions, as the work behind this shuffle is far larger than its bytes
+    dealt = docs.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    texts = dealt.groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    inverted = texts.select("doc_id", tx.inverted_words(F.col("texts")).alias("m")).where(F.size("m") > 0)
     return inverted.select("doc_id", tx.rebuild_abstract(F.col("m")).alias("abstract"))
 
 

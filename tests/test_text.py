@@ -98,3 +98,17 @@ def test_vector_lengths_must_agree(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0))
     assert value(spark, vx.cosine(a, b), x=1) is None
     assert value(spark, vx.cosine(a, F.array(F.lit(0.0), F.lit(0.0))), x=1) == 0.0
+
+
+def test_inverted_words(spark):
+    got = value(spark, tx.inverted_words(F.col("t")), t=["b a b", " a\tc "])
+    assert {w: sorted(at) for w, at in got.items()} == {"a": [0, 1], "b": [0, 2], "c": [1]}
+    assert value(spark, tx.rebuild_abstract(tx.inverted_words(F.array(F.col("t")))), t="b  a\nb c") == "b a b c"
+    assert value(spark, tx.inverted_words(F.array(F.col("t"))), t=" \n") == {}
+
+
+def test_rebuilt_abstracts_move_each_text_once(spark, small):
+    from ragspark import registry
+    registry.load()
+    plan = registry.QUERIES["rebuilt_abstracts"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1
