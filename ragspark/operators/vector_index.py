@@ -159,66 +159,133 @@ def build_index(
     return VectorIndex(corpus.sparkSession.read.schema(kinds).parquet(path), centroids, values, probes, tuple(scope or ()), key)
 
 
-def _probed(queries: DataFrame, index: VectorIndex, probes: int) -> DataFrame:
-    """A row for each query and list it goes through."""
-    centroids = index.centroids
+def _probes_by_list(queries: DataFrame, index: VectorIndex) -> DataFrame:
+    """``(_s, list, n)``: how many queries of a scope go through a list, counted in each task."""
+    centroids, probes = index.centroids, index.probes
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                scores = _unit(vec._matrix(batch["_v"])) @ centroids.T
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
-                rows = pa.Table.from_batches([batch]).take(at)
-                yield pa.RecordBatch.from_arrays([pa.array(best.ravel(), pa.int32()), *(c.combine_chunks() for c in rows.columns)],
-                                                 names=["list", "_s", "_id", "_v"])
+                best = _first_lists(_unit(vec._matrix(batch["_v"])), centroids, probes)
+                pairs = pa.table({"_s": batch["_s"].take(pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))),
+                                  "list": pa.array(best.ravel(), pa.int32())})
+                yield from pairs.group_by(["_s", "list"]).aggregate([([], "count_all")]).rename_columns(
+                    ["_s", "list", "n"]).to_batches()
 
-    kinds = T.StructType([T.StructField("list", T.IntegerType()), *(queries.schema[c] for c in ("_s", "_id", "_v"))])
-    return queries.mapInArrow(probe, kinds)
+    kinds = T.StructType([queries.schema["_s"], T.StructField("list", T.IntegerType()), T.StructField("n", T.LongType())])
+    return queries.mapInArrow(count, kinds).groupBy("_s", "list").agg(F.sum("n").alias("n"))
 
 
-def _groups(df: DataFrame, rows: int) -> DataFrame:
-    """Adds the row's block ``_b`` of its scope and list, and the number of these blocks ``_n``."""
-    counts = df.groupBy("_s", "list").agg(F.ceil(F.count("*") / rows).cast("int").alias("_n"))
-    return df.join(counts, ["_s", "list"]).withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+def _first_lists(units: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
+    return np.argsort(-(units @ centroids.T), axis=1, kind="stable")[:, :probes]
 
 
 def short_lists(queries: DataFrame, index: VectorIndex, short: int, query_key: str = "query_id", vector: str = "embedding",
                 probes: int | None = None, block_rows: int = vec.BLOCK_ROWS) -> DataFrame:
-    """``(_s, _q, list, _id, _c)``: the best rows of each query by their codes, and the vectors' scope and list."""
+    """``(_s, _q, list, _id, _c)``: the best rows of each query by their codes, and the vectors' scope and list.
+
+    Codes are small, so a task holds a tile of them with rows of all lists, and a tile of queries: a query moves once for each
+    tile and not for each list it goes through, and a tile hands on ``short`` rows per query at most.
+    """
     asked = vec._prepare(queries.where(F.size(vector) == index.dim), list(index.scope), query_key, vector)
-    left = _groups(_probed(asked, index, probes or index.probes), block_rows)
-    right = _groups(index.coded.select("_s", "list", "_id", "code"), block_rows)
-    sizes = [side.select("_s", "list", F.col("_n").alias("_m")).distinct() for side in (right, left)]
-    left = left.join(sizes[0], ["_s", "list"]).select(
-        "_s", "list", F.col("_b").alias("_lb"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_rb"), "_id", "_v")
-    right = right.join(sizes[1], ["_s", "list"]).select(
-        "_s", "list", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_lb"), F.col("_b").alias("_rb"), "_id", "code")
+    left = vec._tiles(asked, block_rows, 4)
+    right = index.coded.select("_s", "list", "_id", "code")
+    rows = max(block_rows, vec.TILE_VALUES // index.dim)
+    counts = right.groupBy("_s").agg(F.ceil(F.count("*") / rows).cast("int").alias("_n"))
+    right = right.join(counts, "_s").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+    sizes = [side.select("_s", F.col("_n").alias("_m")).distinct() for side in (right, left)]
+    left = left.join(sizes[0], "_s").select(
+        "_s", F.col("_b").alias("_lb"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_rb"), "_id", "_v")
+    right = right.join(sizes[1], "_s").select(
+        "_s", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_lb"), F.col("_b").alias("_rb"), "list", "_id", "code")
     centroids, values, dim = index.centroids, index.values, index.dim
+    lists = probes or index.probes
 
     def score(key, a: pa.Table, b: pa.Table) -> pa.Table:
-        owner, ids, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        q_at, c_at, value = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        number = b["list"].to_numpy() if b.num_rows else np.zeros(0, np.int32)
         if a.num_rows and b.num_rows:
+            units = _unit(vec._matrix(a["_v"]))
             codes = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            rows = centroids[key[1].as_py()] + _decode(codes, values, dim)
-            scores = _unit(vec._matrix(a["_v"])) @ rows.T
-            owner, ids = vec._candidates(scores, short)
-            value = scores[owner, ids]
-        return pa.table({"_s": pa.array([key[0].as_py()] * len(value), pa.string()), "_q": a["_id"].take(pa.array(owner)),
-                         "list": pa.array([key[1].as_py()] * len(value), pa.int32()), "_id": b["_id"].take(pa.array(ids)),
+            ids = vec._ids(b["_id"])
+            found = [_short_of_tile(units[at:at + block_rows], centroids, values, lists, number, codes, ids, short, block_rows, at)
+                     for at in range(0, len(units), block_rows)]
+            q_at, c_at, value = (np.concatenate(parts) for parts in zip(*found))
+        return pa.table({"_s": pa.array([key[0].as_py()] * len(value), pa.string()), "_q": a["_id"].take(pa.array(q_at)),
+                         "list": pa.array(number[c_at], pa.int32()), "_id": b["_id"].take(pa.array(c_at)),
                          "_c": pa.array(value, pa.float64())})
 
-    group = ["_s", "list", "_lb", "_rb"]
+    group = ["_s", "_lb", "_rb"]
     out = T.StructType([asked.schema["_s"], T.StructField("_q", asked.schema["_id"].dataType),
                         T.StructField("list", T.IntegerType()), index.coded.schema["_id"], T.StructField("_c", T.DoubleType())])
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(score, out)
     return top_k(found, ["_q"], [F.desc("_c"), F.asc("_id")], short)
 
 
+def _short_of_tile(units, centroids, values, probes: int, number, codes, ids, short: int, rows: int, start: int):
+    """Row numbers of queries and codes, and scores, of the ``short`` best codes of each query in its lists of a tile."""
+    probed = np.zeros((len(units), len(centroids)), bool)
+    np.put_along_axis(probed, _first_lists(units, centroids, probes), True, axis=1)
+    order = np.argsort(number, kind="stable")
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    waiting, floor = 0, np.full(len(units), -np.inf)
+
+    def settle():
+        nonlocal waiting
+        _, _, place = _best_places(*held, ids, short)
+        held[:] = held[0][place], held[1][place], held[2][place]
+        waiting = 0
+        full = np.bincount(held[0], minlength=len(units)) >= short
+        last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True]) if len(held[0]) else np.zeros(0, int)
+        lowest = np.full(len(units), -np.inf)
+        lowest[held[0][last]] = held[2][last]
+        floor[:] = np.where(full, lowest, -np.inf)
+
+    for one, begin, end in zip(*_runs(number[order])):
+        who = np.flatnonzero(probed[:, one])
+        for at in range(begin, end, rows) if len(who) else ():
+            members = order[at:min(at + rows, end)]
+            scores = units[who] @ (centroids[one] + _decode(codes[members], values, units.shape[1])).T
+            some = scores >= floor[who][:, None]
+            if some.sum() > 4 * short * len(who):
+                # too many, as at the start: only each query's best of these members
+                mine, of = vec._candidates(scores, short)
+                keep = some[mine, of]
+                mine, of = mine[keep], of[keep]
+            else:
+                mine, of = np.nonzero(some)
+            held[:] = np.r_[held[0], who[mine]], np.r_[held[1], members[of]], np.r_[held[2], scores[mine, of]]
+            waiting += len(mine)
+            if waiting > 2 * short * len(units):
+                settle()
+    settle()
+    return held[0] + start, held[1], held[2]
+
+
+def _runs(sorted_values: np.ndarray):
+    """Values, starts and ends of the runs of a sorted array."""
+    starts = np.flatnonzero(np.r_[True, sorted_values[1:] != sorted_values[:-1]])
+    return sorted_values[starts], starts, np.r_[starts[1:], len(sorted_values)]
+
+
+def _best_places(owner: np.ndarray, at: np.ndarray, value: np.ndarray, ids: np.ndarray, k: int):
+    """Owners, values and places of the first k entries per owner by falling value, then by id."""
+    order = np.lexsort((ids[at], -value, owner))
+    starts = np.flatnonzero(np.r_[True, owner[order][1:] != owner[order][:-1]]) if len(owner) else np.zeros(0, int)
+    nth = np.arange(len(owner)) - np.repeat(starts, np.diff(np.r_[starts, len(owner)]))
+    place = order[nth < k]
+    return owner[place], value[place], place
+
+
 def search(queries: DataFrame, index: VectorIndex, k: int, *, short: int = 40, query_key: str = "query_id",
            vector: str = "embedding", probes: int | None = None) -> DataFrame:
     """Approximate k nearest by cosine: ``(query_key, key, similarity, rank)``; similarities are exact."""
-    listed = short_lists(queries, index, short, query_key, vector, probes).select("_s", "_q", "list", "_id")
+    return _exact(queries, short_lists(queries, index, short, query_key, vector, probes), index, k, query_key, vector)
+
+
+def _exact(queries: DataFrame, listed: DataFrame, index: VectorIndex, k: int, query_key: str, vector: str) -> DataFrame:
+    """The k best rows of short lists by their exact scores."""
+    listed = listed.select("_s", "_q", "list", "_id")
     asked = queries.select(F.col(query_key).alias("_q"), F.col(vector).cast("array<double>").alias("_w"))
     held = index.coded.select("_s", "list", "_id", "_v")
     scored = listed.join(held, ["_s", "list", "_id"]).join(asked, "_q").select(
@@ -233,13 +300,13 @@ def recall_report(queries: DataFrame, corpus: DataFrame, index: VectorIndex, k:
     that were scored by their codes and exactly."""
     exact = cut_lineage(vec.nearest(queries, corpus, k, scope=list(index.scope) or None, query_key=query_key,
                                     corpus_key=index.key, vector=vector))
-    found = search(queries, index, k, short=short, query_key=query_key, vector=vector)
+    compared = cut_lineage(short_lists(queries, index, short, query_key, vector).select("_s", "_q", "list", "_id"))
+    found = _exact(queries, compared, index, k, query_key, vector)
     hits = exact.join(found.select(query_key, index.key), [query_key, index.key], "left_semi").agg(F.count("*").alias("found"))
     asked = vec._prepare(queries.where(F.size(vector) == index.dim), list(index.scope), query_key, vector)
     rows = index.coded.groupBy("_s", "list").agg(F.count("*").alias("rows"))
     all_pairs = asked.groupBy("_s").agg(F.count("*").alias("n")).join(rows.groupBy("_s").agg(F.sum("rows").alias("rows")), "_s")
-    by_code = _probed(asked, index, index.probes).groupBy("_s", "list").agg(F.count("*").alias("n")).join(rows, ["_s", "list"])
-    compared = short_lists(queries, index, short, query_key, vector)
+    by_code = _probes_by_list(asked, index).join(rows, ["_s", "list"])
     total, coded = (df.agg(F.sum(F.col("n") * F.col("rows")).alias(name)) for df, name in ((all_pairs, "pairs"), (by_code, "coded")))
     parts = [exact.agg(F.countDistinct(query_key).alias("queries"), F.count("*").alias("neighbours"),
                        F.round(F.sum("similarity"), 3).alias("similarity")), hits, total, coded,
