@@ -20,18 +20,23 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.common import WordHashes, mixed, runs, slices, stored, text_key, window_hashes, words_of
+from ragspark.llm.common import WordHashes, mixed, slices, stored, text_key, window_hashes, words_of
 
 SIZE = 50
 MINIMISER = 16
 BATCH_ROWS = 256
+#: Words and strings that are hashed and compared in one pass, if that many come together.
+BATCH_WORDS = 100_000
+BUCKET_STRINGS = 2000
 STRINGS_PER_BUCKET = 4000
 LAST = (1 << 63) - 1
 _SECOND = 0xC2B2AE3D27D4EB4F
@@ -49,19 +54,34 @@ def smallest_in_windows(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
 
 
-def super_kmers(hashes: np.ndarray, size: int, minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Minimiser, first window, number of windows and content hash of each super-k-mer of one document."""
-    if len(hashes) < size:
+def super_kmers(hashes: np.ndarray, counts: np.ndarray, size: int,
+                minimiser: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, minimiser, first window, number of windows and content hash of each super-k-mer.
+
+    ``hashes`` are the words of several documents end to end, ``counts`` their numbers of words. All windows are looked at
+    in one pass; those that reach over the end of a document are left out.
+    """
+    owner, place = window_places(counts, size)
+    if not len(owner):
         none = np.empty(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(np.uint64)
-    smallest = smallest_in_windows(window_hashes(hashes, minimiser), size - minimiser + 1)
-    starts, length = runs(smallest)
+        return none, none.astype(np.uint64), none, none, none.astype(np.uint64)
+    smallest = smallest_in_windows(window_hashes(hashes, minimiser), size - minimiser + 1)[place]
+    starts = np.flatnonzero(np.r_[True, (smallest[1:] != smallest[:-1]) | (owner[1:] != owner[:-1])])
+    length = np.diff(np.r_[starts, len(owner)])
     # a polynomial over the words, so that the hash of any span is a difference of two prefix sums
-    power = _powers(len(hashes))
-    prefix = np.append(np.uint64(0), np.cumsum(mixed(hashes) * power, dtype=np.uint64))
-    span = length + size - 1
-    content = (prefix[starts + span] - prefix[starts]) * _inverse_powers(starts)
-    return smallest[starts], starts, length, mixed(content ^ (span.astype(np.uint64) * np.uint64(_SECOND)))
+    prefix = np.append(np.uint64(0), np.cumsum(mixed(hashes) * _powers(len(hashes)), dtype=np.uint64))
+    span, at, owner = length + size - 1, place[starts], owner[starts]
+    content = (prefix[at + span] - prefix[at]) * _inverse_powers(at)
+    first = at - (np.cumsum(counts) - counts)[owner]
+    return owner, smallest[starts], first, length, mixed(content ^ (span.astype(np.uint64) * np.uint64(_SECOND)))
+
+
+def window_places(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """List and place of each window that lies within one of several lists of ``counts`` words, end to end."""
+    windows = np.maximum(counts - size + 1, 0)
+    owner = np.repeat(np.arange(len(counts)), windows)
+    skipped = (np.cumsum(counts) - counts) - (np.cumsum(windows) - windows)
+    return owner, np.arange(len(owner)) + skipped[owner]
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -90,19 +110,24 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, minimiser: int = MINIMIS
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in slices(batches, BATCH_ROWS):
-            doc, key, out = batch.column(0), batch.column(1), [[] for _ in range(4)]
-            counts = []
-            for text in batch.column(2).to_pylist():
-                found = super_kmers(table.of(words_of(text)), size, minimiser)
-                counts.append(len(found[0]))
-                for column, values in zip(out, found):
-                    column.append(values)
-            at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            mini, start, length, content = (np.concatenate(c) for c in out)
-            yield pa.RecordBatch.from_arrays(
-                [doc.take(at), key.take(at), signed(mini), pa.array(start.astype(np.int32)),
-                 pa.array(length.astype(np.int32)), signed(content)],
-                ["doc", "key", "mini", "start", "windows", "content"])
+            hashes, begin, held = [], 0, 0
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                hashes.append(table.of(words_of(text)))
+                held += len(hashes[-1])
+                if held >= BATCH_WORDS:
+                    yield kmers_of(hashes, batch.slice(begin, row + 1 - begin))
+                    hashes, begin, held = [], row + 1, 0
+            if hashes:
+                yield kmers_of(hashes, batch.slice(begin))
+
+    def kmers_of(hashes: list[np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch:
+        counts = np.array([len(h) for h in hashes], np.int64)
+        owner, mini, start, length, content = super_kmers(np.concatenate(hashes), counts, size, minimiser)
+        at = pa.array(owner)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(at), batch.column(1).take(at), signed(mini), pa.array(start.astype(np.int32)),
+             pa.array(length.astype(np.int32)), signed(content)],
+            ["doc", "key", "mini", "start", "windows", "content"])
 
     kmers = stored(rows.mapInArrow(cut, "doc long, key long, mini long, start int, windows int, content long"))
     owner = F.coalesce("doc", F.lit(LAST))
@@ -134,18 +159,21 @@ def _texts(rows: DataFrame, different: DataFrame, size: int) -> DataFrame:
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
+        names = ("mini", "content", "windows", "start", "strings", "doc_min")
         for batch in slices(batches, 32):
             out: list[tuple] = []
-            for text, listed in zip(*(c.to_pylist() for c in batch.columns)):
+            listed = batch.column(1)
+            every = listed.flatten()
+            fields = zip(*(every.field(n).to_pylist() for n in names))
+            for text, n_listed in zip(batch.column(0).to_pylist(), pc.list_value_length(listed).to_pylist()):
                 words = words_of(text)
-                for w in listed:
-                    begin, n = w["start"], w["windows"]
-                    parts = -(-w["strings"] // STRINGS_PER_BUCKET)
+                for mini, content, n, begin, different, doc_min in itertools.islice(fields, n_listed):
+                    parts = -(-different // STRINGS_PER_BUCKET)
                     pieces = [(0, n)] if parts == 1 else [(i, 1) for i in range(n)]
                     for at, count in pieces:
                         packed_words = " ".join(words[begin + at:begin + at + count + size - 1])
                         part = 0 if parts == 1 else xxhash.xxh3_64_intdigest(packed_words.encode()) % parts
-                        out.append((w["mini"], part, w["content"], at, w["doc_min"], packed_words))
+                        out.append((mini, part, content, at, doc_min, packed_words))
                 if len(out) >= 4000:
                     yield _rows(out, _STRING_KINDS, _STRING_NAMES)
                     out = []
@@ -168,51 +196,47 @@ def _buckets(strings: DataFrame, size: int) -> DataFrame:
     """For each string the smallest document of each of its windows."""
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, group, out = WordHashes(), [], []
+        table, held, rows, last = WordHashes(), [], 0, None
         for batch in slices(batches, 1000):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[:2] != group[0][:2]:
-                    out += _resolved(group, table, size)
-                    group = []
-                    if len(out) >= 2000:
-                        yield _rows(out, _LEAST_KINDS, _LEAST_NAMES)
-                        out = []
-                group.append(row)
-        if group:
-            out += _resolved(group, table, size)
-        if out:
-            yield _rows(out, _LEAST_KINDS, _LEAST_NAMES)
+            mini, part = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            new = np.r_[last != (mini[0], part[0]), (mini[1:] != mini[:-1]) | (part[1:] != part[:-1])]
+            # the groups before the batch's last one are whole
+            edge, last = (int(np.flatnonzero(new)[-1]) if new.any() else None), (mini[-1], part[-1])
+            if edge is not None and rows + edge >= BUCKET_STRINGS:
+                yield _resolved([*held, batch.slice(0, edge)], table, size)
+                held, rows, batch = [], 0, batch.slice(edge)
+            held.append(batch)
+            rows += batch.num_rows
+        if held:
+            yield _resolved(held, table, size)
 
     dealt = strings.repartition("mini", "part").sortWithinPartitions("mini", "part")
     return dealt.mapInArrow(bucket, "mini long, content long, at int, docs array<long>")
 
 
-_LEAST_KINDS = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-_LEAST_NAMES = ["mini", "content", "at", "docs"]
-
+def _resolved(held: list[pa.RecordBatch], table: WordHashes, size: int) -> pa.RecordBatch:
+    """Sort the windows of whole buckets by two independent 64-bit hashes and give each string its windows' smallest ids.
 
-def _resolved(group: list[tuple], table: WordHashes, size: int) -> list[tuple]:
-    """Sort the windows of one bucket by two independent 64-bit hashes and give each string its windows' smallest ids."""
-    first, second, counts, docs = [], [], [], []
-    for *_, doc, words in group:
-        hashes = table.of(words.split(" "))
-        first.append(window_hashes(hashes, size))
-        second.append(window_hashes(mixed(hashes ^ np.uint64(_SECOND)), size, _SECOND))
-        counts.append(len(first[-1]))
-        docs.append(doc)
-    a, b = np.concatenate(first), np.concatenate(second)
-    owner = np.repeat(np.array(docs, np.int64), counts)
+    Equal windows have equal minimisers and parts, so windows of different buckets differ.
+    """
+    mini, _, content, place, docs, words = pa.Table.from_batches(held).combine_chunks().columns
+    texts = words.to_pylist()
+    counts = np.array([t.count(" ") + 1 for t in texts], np.int64)
+    hashes = table.of(" ".join(texts).split(" "))
+    string, at = window_places(counts, size)
+    a = window_hashes(hashes, size)[at]
+    b = window_hashes(mixed(hashes ^ np.uint64(_SECOND)), size, _SECOND)[at]
+    owner = docs.to_numpy()[string]
     order = np.lexsort((b, a))
     edge = np.r_[True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])]
     starts = np.flatnonzero(edge)
     least = np.minimum.reduceat(owner[order], starts)
     smallest = np.empty(len(a), np.int64)
     smallest[order] = np.repeat(least, np.diff(np.r_[starts, len(a)]))
-    out, at = [], 0
-    for (mini, _, content, place, _, _), n in zip(group, counts):
-        out.append((mini, content, place, smallest[at:at + n].tolist()))
-        at += n
-    return out
+    ends = np.r_[0, np.cumsum(counts - size + 1)].astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [*(c.combine_chunks() for c in (mini, content, place)), pa.ListArray.from_arrays(pa.array(ends), pa.array(smallest))],
+        ["mini", "content", "at", "docs"])
 
 
 def _removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -280,6 +280,29 @@ def test_substrings_with_cut_buckets(docs, monkeypatch):
     assert sorted(map(str, substrings.dedup_substrings(docs).collect())) == want
 
 
+def test_substrings_of_many_documents_in_one_pass(monkeypatch):
+    import pyarrow as pa
+    lists = [sentence(n, n).split(" ") for n in (0, 3, 49, 50, 51, 300, 0, 120)] + [["a"] * 90]
+    table, calls = substrings.WordHashes(), []
+    each = [substrings.super_kmers(table.of(w), np.array([len(w)]), 50, 16) for w in lists]
+    monkeypatch.setattr(substrings, "window_hashes", lambda *a, f=substrings.window_hashes: calls.append(1) or f(*a))
+    counts = np.array([len(w) for w in lists])
+    owner, *every = substrings.super_kmers(np.concatenate([table.of(w) for w in lists]), counts, 50, 16)
+    assert len(calls) == 1 and owner.tolist() == [i for i, found in enumerate(each) for _ in found[0]]
+    for at, column in enumerate(every, 1):
+        assert column.tolist() == [v for found in each for v in found[at].tolist()]
+    long = [" ".join(w) for w in lists if len(w) >= 50] * 2
+    n = len(long) // 2
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([i % n for i in range(2 * n)], pa.int64()), pa.array([0] * 2 * n, pa.int32()), pa.array(range(2 * n), pa.int64()),
+         pa.array([0] * 2 * n, pa.int32()), pa.array([9 - i for i in range(2 * n)], pa.int64()), pa.array(long)],
+        ["mini", "part", "content", "at", "doc_min", "words"])
+    calls.clear()
+    found = substrings._resolved([batch.slice(0, 3), batch.slice(3)], table, 50).to_pylist()
+    assert len(calls) == 2 and [r["content"] for r in found] == [*range(2 * n)]
+    assert [r["docs"] for r in found] == [[9 - n - i % n] * (len(t.split(" ")) - 49) for i, t in enumerate(long)]
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = [(1, PASSAGE), (2, sentence(60, 500)), (3, None), (4, ""), (None, PASSAGE), (5, PASSAGE.upper()), (6, sentence(900, 3))]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("x"))
