@@ -207,10 +207,10 @@ def unique_documents(docs: DataFrame, width: int = WIDTH, least: int = LEAST, id
         "stays", F.col("first.doc").eqNullSafe(F.col("doc")) & (F.col("first.key") == F.col("key")))
     decided = stored(judged.where("not stays or rows > 1").select("doc", "key", "stays"))
     same = F.col("key").eqNullSafe(rows[key]) & F.col("doc").eqNullSafe(rows[id_col].cast("long"))
-    left = rows.join(decided, same, "left_anti")
+    left = rows.join(shipped(decided), same, "left_anti")
     several = decided.where("stays")
     if not several.isEmpty():
-        left = left.unionByName(rows.join(several, same, "left_semi").dropDuplicates([id_col, text_col]))
+        left = left.unionByName(rows.join(shipped(several), same, "left_semi").dropDuplicates([id_col, text_col]))
     return left.drop(key)
 
 

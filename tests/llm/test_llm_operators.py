@@ -238,6 +238,16 @@ def test_sketches_of_small_sets_lose_no_link(spark):
     assert all(got[1000 + i][1] == i for i in range(120))
 
 
+def test_few_decisions_move_no_texts(spark, docs):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard.unique_documents(docs.select("doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan
+
+
 def test_least_matched_is_reached_by_any_two_partners():
     r = np.random.default_rng(2)
     for n in range(1, 61):
