@@ -12,12 +12,15 @@ time, so hot terms and many queries become more groups, not larger ones.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ragspark.functions import fixed_values as fv
 from ragspark.functions import text as tx
@@ -47,9 +50,25 @@ def block_index(index: bm25.Bm25Index, key: str = "doc_id", block_postings: int
     impact = F.col("tf") * (fv.BM25_K1 + 1) / (F.col("tf") + length_part)
     blocks = max(1, -(-index.postings.count() // block_postings))
     placed = index.postings.select(F.col(key).alias("doc"), "term", impact.alias("impact")).repartitionByRange(blocks, "doc")
-    # all rows of a block lie in one partition, so lists are whole before they are shuffled
-    lists = placed.withColumn("block", F.spark_partition_id()).groupBy("block", "term").agg(
-        F.max("impact").alias("upper"), F.collect_list(F.struct("doc", "impact")).alias("postings"))
+    doc, key_kind = placed.schema["doc"].dataType, placed.schema["doc"].dataType.simpleString()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), schema).combine_chunks()
+        if rows.num_rows:
+            docs, terms, impacts = (c.combine_chunks() for c in rows.columns)
+            codes = terms.dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+            ends = pa.array(np.r_[starts, len(codes)].astype(np.int32))
+            most = np.maximum.reduceat(impacts.to_numpy(), starts)
+            items = pa.StructArray.from_arrays([docs, impacts], ["doc", "impact"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(starts), TaskContext.get().partitionId(), np.int32)), terms.take(pa.array(starts)),
+                 pa.array(most), pa.ListArray.from_arrays(ends, items)], ["block", "term", "upper", "postings"])
+
+    schema = pa.schema([("doc", to_arrow_type(doc)), ("term", pa.string()), ("impact", pa.float64())])
+    # all rows of a block lie in one partition, so its lists are made there and the postings move once
+    lists = placed.sortWithinPartitions("term").mapInArrow(
+        listed, f"block int, term string, upper double, postings array<struct<doc: {key_kind}, impact: double>>")
     return BlockIndex(cut_lineage(lists), index, key)
 
 
@@ -72,7 +91,9 @@ def _scored(pairs: DataFrame, weights: DataFrame, index: BlockIndex, k: int) ->
     asked = pairs.join(weights, "query_id").select(
         "block", F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk"), "query_id", "least", "term", "weight")
     wanted = asked.select("block", "chunk", "term").distinct()
-    held = wanted.join(index.lists, ["block", "term"])
+    # the stored terms tell Spark how few they are, so lists of other terms are left out where they lie
+    terms = cut_lineage(weights.select("term").distinct())
+    held = wanted.join(index.lists.join(terms, "term", "left_semi"), ["block", "term"])
     # columns of their own, as both sides of the cogroup come from ``asked``
     held = held.select(*[F.col(c).alias(c) for c in ("block", "chunk", "term", "upper", "postings")])
 

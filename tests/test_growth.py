@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from ragspark.operators import bm25, embedding, keywords, vector_index, vectors
+from ragspark.operators import bm25, bm25_blocks, embedding, keywords, vector_index, vectors
 
 
 def table(spark, rows, key):
@@ -81,3 +81,23 @@ def test_overlap_rows_are_not_summed_at_the_end(spark, monkeypatch):
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = {(1, 1, 2), (1, 2, 1), (1, None, 1), (2, 1, 2), (2, 2, 1), (2, None, 1), (3, 1, 2), (3, 2, 3), (None, 1, 1), (None, None, 1)}
     assert {(r.query_id, r.book_id, r.score) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_block_lists_are_made_and_chosen_where_the_postings_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"common common w{i % 7}") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common w{q}") for q in range(3)], "query_id long, query string")
+    plain, plans = bm25.build_index(docs), []
+
+    def kept(df, cut=bm25_blocks.cut_lineage):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+    monkeypatch.setattr(bm25_blocks, "cut_lineage", kept)
+    index = bm25_blocks.block_index(plain, block_postings=30)
+    assert plans[0].count("Exchange") == 1
+    assert {(r.term, p.doc) for r in index.lists.collect() for p in r.postings} == {
+        (r.term, r.doc_id) for r in plain.postings.collect()}
+    assert index.lists.select("block", "term").distinct().count() == index.lists.count()
+    assert all(r.upper == max(p.impact for p in r.postings) for r in index.lists.collect())
+    got = bm25_blocks.search(asked, index, 5).collect()
+    assert sorted(map(str, got)) == sorted(map(str, bm25.search(asked, plain, 5).collect()))
+    assert any("LeftSemi" in p for p in plans)
