@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ragspark.operators import bm25, bm25_blocks, embedding, keywords, vector_index, vectors
+from ragspark.sources.files import spread
 
 
 def table(spark, rows, key):
@@ -101,3 +102,22 @@ def test_block_lists_are_made_and_chosen_where_the_postings_lie(spark, monkeypat
     got = bm25_blocks.search(asked, index, 5).collect()
     assert sorted(map(str, got)) == sorted(map(str, bm25.search(asked, plain, 5).collect()))
     assert any("LeftSemi" in p for p in plans)
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(200)), None if i % 5 else i) for i in range(4000)]
+    path = str(tmp_path / "one.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string, n long").coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        read = spark.read.parquet(path)
+        assert read.rdd.getNumPartitions() >= cores
+        sizes = [r["count"] for r in spread(read).groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2 * 4000 / cores and sum(sizes) == 4000
+        assert sorted(spread(read).collect(), key=lambda r: r.doc_id) == sorted(read.collect(), key=lambda r: r.doc_id)
+        assert spread(read.where("false")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
