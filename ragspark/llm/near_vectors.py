@@ -37,6 +37,8 @@ PART_ROWS = 4_000
 CANDIDATES, FAR, DEGREE, ALPHA = 48, 8, 16, 1.2
 BEAM = 32
 QUERY_ROWS = 256
+#: What a task holds besides its part: rows of similarities, numbers of gathered vectors, cells of a step of the search.
+GRAPH_ROWS, HELD_VALUES, CELLS = 512, 1 << 21, 1 << 18
 
 
 def usable(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -126,33 +128,35 @@ def memberships(nodes: DataFrame, centres: list[np.ndarray]) -> DataFrame:
 
 
 def pruned_graph(vectors: np.ndarray, seed: int = 7) -> list[np.ndarray]:
-    """Neighbour lists of one shard, pruned and made symmetric."""
+    """Neighbour lists of one shard, pruned and made symmetric. Similarities are held for a bounded number of rows at a time."""
     n = len(vectors)
     if n < 2:
         return [np.empty(0, np.int64)] * n
-    near = vectors @ vectors.T
-    np.fill_diagonal(near, -2)
     close = min(CANDIDATES, n - 1)
-    candidates = np.argpartition(-near, close - 1, axis=1)[:, :close]
     far = np.random.default_rng(seed).integers(0, n, (n, FAR))
-    candidates = np.hstack([candidates, far])
-    rows = np.arange(n)[:, None]
-    away = np.where(candidates == rows, np.inf, np.sqrt(np.maximum(0, 2 - 2 * near[rows, candidates])))
-    order = np.argsort(away, axis=1, kind="stable")
-    candidates, away = np.take_along_axis(candidates, order, 1), np.take_along_axis(away, order, 1)
-    alive = np.isfinite(away)
+    size = max(1, min(GRAPH_ROWS, HELD_VALUES // ((close + FAR) * vectors.shape[1])))
     left, right = [], []
-    for _ in range(DEGREE):
-        going = alive.any(1)
-        if not going.any():
-            break
-        first = alive.argmax(1)
-        chosen = candidates[np.arange(n), first]
-        left.append(np.flatnonzero(going))
-        right.append(chosen[going])
-        between = np.sqrt(np.maximum(0, 2 - 2 * near[chosen[:, None], candidates]))
-        between[candidates == chosen[:, None]] = 0
-        alive &= ALPHA * between > away
+    for start in range(0, n, size):
+        own = np.arange(start, min(start + size, n))
+        rows = np.arange(len(own))
+        near = vectors[own] @ vectors.T
+        near[rows, own] = -2
+        candidates = np.hstack([np.argpartition(-near, close - 1, axis=1)[:, :close], far[own]])
+        away = np.where(candidates == own[:, None], np.inf, np.sqrt(np.maximum(0, 2 - 2 * near[rows[:, None], candidates])))
+        order = np.argsort(away, axis=1, kind="stable")
+        candidates, away = np.take_along_axis(candidates, order, 1), np.take_along_axis(away, order, 1)
+        there = vectors[candidates]
+        between = np.sqrt(np.maximum(0, 2 - 2 * (there @ there.transpose(0, 2, 1))))
+        between[candidates[:, :, None] == candidates[:, None, :]] = 0
+        alive = np.isfinite(away)
+        for _ in range(DEGREE):
+            going = alive.any(1)
+            if not going.any():
+                break
+            first = alive.argmax(1)
+            left.append(own[going])
+            right.append(candidates[rows, first][going])
+            alive &= ALPHA * between[rows, first] > away
     a, b = np.concatenate(left), np.concatenate(right)
     pairs = np.unique(np.r_[a * n + b, b * n + a])
     return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
@@ -162,45 +166,98 @@ def medoid(vectors: np.ndarray) -> int:
     return int((vectors @ vectors.mean(0)).argmax())
 
 
-def in_range(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, graph: np.ndarray, start: int,
+class Links:
+    """The neighbour lists of one shard part as flat arrays, both ways round."""
+
+    def __init__(self, sources: np.ndarray, targets: np.ndarray, n: int):
+        """``sources`` ascends."""
+        self.targets, self.degree = targets, np.bincount(sources, minlength=n)
+        self.starts = np.cumsum(self.degree) - self.degree
+        order = np.argsort(targets, kind="stable")
+        self.sources = sources[order]
+        self.reached, self.first = np.unique(targets[order], return_index=True)
+
+    def of(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of neighbours of some vectors, and the neighbours one after the other."""
+        degree = self.degree[where]
+        return degree, self.targets[np.arange(degree.sum()) + np.repeat(self.starts[where] - np.cumsum(degree) + degree, degree)]
+
+    def beyond(self, cells: np.ndarray) -> np.ndarray:
+        """The (query, vector) cells next to the given ones: the queries are bits, so dense surroundings take no more memory."""
+        q = len(cells)
+        bits = np.packbits(cells, axis=0).T
+        out = np.zeros((cells.shape[1], bits.shape[1]), np.uint8)
+        if len(self.first):
+            out[self.reached] = np.bitwise_or.reduceat(bits[self.sources], self.first, axis=0)
+        return np.unpackbits(out, axis=1, count=q).T.astype(bool)
+
+
+def in_range(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, graph: Links, start: int,
              threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) pairs found at or above the threshold. ``own``: the query's place among the vectors, or -1."""
     q, n = len(queries), len(vectors)
     found = np.full((q, n), -2.0)
     expanded = np.zeros((q, n), bool)
-
-    def look(who: np.ndarray, where: np.ndarray) -> None:
-        """Similarities of the neighbours of ``where``, for the queries ``who``."""
+    some = max(1, HELD_VALUES // vectors.shape[1])
+
+    def see(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, vectors and similarities of new cells."""
+        who, where, value = cells // n, cells % n, np.empty(len(cells))
+        for a in range(0, len(cells), some):
+            value[a:a + some] = np.einsum("ij,ij->i", queries[who[a:a + some]], vectors[where[a:a + some]])
+        found[who, where] = value
+        return who, where, value
+
+    def look(who: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What is new among the neighbours of ``where``, for the ascending queries ``who``, a bounded number at a time."""
         expanded[who, where] = True
-        flat = graph[where]
-        who = np.repeat(who, flat.shape[1])[flat.ravel() >= 0]
-        where = flat.ravel()[flat.ravel() >= 0]
-        new = found[who, where] == -2.0
-        cells = np.unique(who[new] * n + where[new])
-        who, where = cells // n, cells % n
-        for a in range(0, len(who), 65536):
-            part = slice(a, a + 65536)
-            found[who[part], where[part]] = np.einsum("ij,ij->i", queries[who[part]], vectors[where[part]])
-
-    found[:, start] = queries @ vectors[start]
-    member = np.flatnonzero(own >= 0)
-    found[member, own[member]] = np.einsum("ij,ij->i", queries[member], vectors[own[member]])
-    width = min(BEAM, n)
+        seen = [(who[:0], where[:0], np.empty(0))]
+        total = np.cumsum(graph.degree[where])
+        for part in np.split(np.arange(len(who)), np.flatnonzero(np.diff(total // CELLS)) + 1):
+            degree, near = graph.of(where[part])
+            asking = np.repeat(who[part], degree)
+            new = found[asking, near] == -2.0
+            seen.append(see(np.unique(asking[new] * n + near[new])))
+        return tuple(np.concatenate(x) for x in zip(*seen))
+
+    def spread(open_: np.ndarray) -> None:
+        """As ``look`` for cells that have very many neighbours in all; similarities come as a product where most are new."""
+        expanded[open_] = True
+        new = graph.beyond(open_) & (found == -2.0)
+        columns = np.flatnonzero(new.any(0))
+        if 4 * np.count_nonzero(new) < q * len(columns):
+            see(np.flatnonzero(new))
+        else:
+            for a in range(0, len(columns), some):
+                there = columns[a:a + some]
+                found[:, there] = np.where(new[:, there], queries @ vectors[there].T, found[:, there])
+
+    member, width = np.flatnonzero(own >= 0), min(BEAM, n)
+    best, at = np.full((q, width), -2.0), np.full((q, width), -1)
+    who, where, value = see(np.unique(np.r_[np.arange(q) * n + start, member * n + own[member]]))
     for _ in range(4 * BEAM):  # the beam holds the best seen; its unexpanded members go next, all queries at once
-        beam = np.argpartition(-found, width - 1, axis=1)[:, :width]
-        open_ = ~np.take_along_axis(expanded, beam, 1) & (np.take_along_axis(found, beam, 1) > -2)
-        score = np.where(open_, np.take_along_axis(found, beam, 1), -3)
-        best = np.argsort(-score, axis=1)[:, :4]
-        who = np.repeat(np.arange(q), best.shape[1])
-        going = np.take_along_axis(open_, best, 1).ravel()
+        count = np.bincount(who, minlength=q)
+        place = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        more, more_at = np.full((q, count.max()), -2.0), np.full((q, count.max()), -1)
+        more[who, place], more_at[who, place] = value, where
+        best, at = np.hstack([best, more]), np.hstack([at, more_at])
+        kept = np.argpartition(-best, width - 1, axis=1)[:, :width]
+        best, at = np.take_along_axis(best, kept, 1), np.take_along_axis(at, kept, 1)
+        open_ = ~np.take_along_axis(expanded, at, 1) & (best > -2)
+        first = np.argsort(-np.where(open_, best, -3), axis=1)[:, :4]
+        going = np.take_along_axis(open_, first, 1).ravel()
         if not going.any():
             break
-        look(who[going], np.take_along_axis(beam, best, 1).ravel()[going])
+        who, where, value = look(np.repeat(np.arange(q), first.shape[1])[going], np.take_along_axis(at, first, 1).ravel()[going])
     while True:
-        who, where = np.nonzero((found >= threshold) & ~expanded)
-        if not len(who):
+        open_ = (found >= threshold) & ~expanded
+        if not open_.any():
             break
-        look(who, where)
+        who, where = np.nonzero(open_)
+        if graph.degree[where].sum() > CELLS:
+            spread(open_)
+        else:
+            look(who, where)
     return np.nonzero(found >= threshold)
 
 
@@ -243,51 +300,121 @@ def search(members: DataFrame, graph: DataFrame, parts: DataFrame, threshold: fl
         F.lit(None).cast("array<long>").alias("near")))
     dealt = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "role", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_group(batches, 2):
-            yield _searched(group, threshold)
-
-    return dealt.mapInArrow(run, "node long, links long, joined long")
-
-
-def _searched(group: list[tuple], threshold: float) -> pa.RecordBatch:
-    shard = group[0][0]
-    nodes = np.array([r[3] for r in group], dtype=np.int64)
-    vectors, copies = matrix([r[4] for r in group]), np.array([r[5] for r in group], dtype=np.int64)
-    longest = max(len(r[6]) for r in group)
-    shards = np.array([list(r[6]) + [-1 - i for i in range(longest - len(r[6]))] for r in group])
-    m = sum(r[2] == 0 for r in group)
-    place = {int(x): i for i, x in enumerate(nodes[:m])}
-    lists = [[place[x] for x in r[7] or () if x in place] for r in group[:m]]
-    width = max(1, max(map(len, lists)))
-    graph = np.full((m, width), -1, np.int64)
-    for i, x in enumerate(lists):
-        graph[i, :len(x)] = x
-    links, label = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
-    start, pairs = medoid(vectors[:m]), []
-    for a in range(0, len(nodes), QUERY_ROWS):
-        b = min(a + QUERY_ROWS, len(nodes))
-        own = np.where(np.arange(a, b) < m, np.arange(a, b), -1)
-        who, where = in_range(vectors[a:b], own, vectors[:m], graph, start, threshold)
-        who = who + a
-        other = who != where
-        who, where = who[other], where[other]
-        pairs.append(np.unique(np.minimum(who, where) * len(nodes) + np.maximum(who, where)))
-        # the pair belongs to the first shard that both have
-        both = (shards[who][:, :, None] == shards[where][:, None, :]).any(2)
-        first = np.where(both, shards[who], np.iinfo(np.int64).max).min(1)
-        np.add.at(links, who[first == shard], copies[where[first == shard]])
-    pairs = np.unique(np.concatenate(pairs))
-    left, right = pairs // len(nodes), pairs % len(nodes)
-    while len(left):
-        low = np.minimum(label[left], label[right])
-        before = label.copy()
-        np.minimum.at(label, left, low)
-        np.minimum.at(label, right, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[label])], ["node", "links", "joined"])
+    return dealt.mapInArrow(lambda batches: searched(batches, threshold), "node long, links long, joined long")
+
+
+def searched(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Parts come one after the other, in each its own vectors before its guests, which are not held."""
+    part, key = None, None
+    for batch in slices(batches, 1000):
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+        ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(keys)]):
+            if tuple(keys[a, :2].tolist()) != key:
+                if part is not None:
+                    yield part.own()
+                key = tuple(keys[a, :2].tolist())
+                part = Part(key[0], threshold)
+            if keys[a, 2] == 0:
+                part.add(batch.slice(a, b - a))
+            else:
+                yield part.guests(batch.slice(a, b - a))
+    if part is not None:
+        yield part.own()
+
+
+def merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Smallest places of connected vectors, after some more pairs."""
+    while True:
+        a, b = label[left], label[right]
+        apart = a != b
+        if not apart.any():
+            return label
+        left, right = left[apart], right[apart]
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+class Part:
+    """One shard part: its vectors and their graph. Of what the searches find, only links and labels are kept."""
+
+    def __init__(self, shard: int, threshold: float):
+        self.shard, self.threshold, self.rows = shard, threshold, []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        self.rows.append(rows.select(["node", "data", "copies", "shards", "near"]))
+
+    def _build(self) -> None:
+        """The rows come by node, so neighbours are found by a binary search."""
+        if self.rows is None:
+            return
+        self.nodes, self.vectors, self.copies, self.shards = self._unpacked(self.rows)
+        sources, targets, held = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for rows in self.rows:
+            near = rows.column("near")
+            values = near.flatten().to_numpy()
+            source = held + np.repeat(np.arange(len(near)), near.value_lengths().fill_null(0).to_numpy())
+            place = np.minimum(np.searchsorted(self.nodes, values), len(self.nodes) - 1)
+            here = self.nodes[place] == values
+            sources.append(source[here])
+            targets.append(place[here])
+            held += len(near)
+        self.graph = Links(np.concatenate(sources), np.concatenate(targets), held)
+        self.label, self.start, self.rows = np.arange(held), medoid(self.vectors) if held else 0, None
+
+    @staticmethod
+    def _unpacked(rows: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if not rows:
+            return np.empty(0, np.int64), np.empty((0, 1)), np.empty(0, np.int64), np.empty((0, 1), np.int64)
+        nodes, copies = (np.concatenate([r.column(c).to_numpy() for r in rows]) for c in ("node", "copies"))
+        listed = [x for r in rows for x in r.column("shards").to_pylist()]
+        longest = max(map(len, listed))
+        shards = np.array([x + [-1 - i for i in range(longest - len(x))] for x in listed], dtype=np.int64)
+        return nodes, np.concatenate([matrix(r.column("data").to_pylist()) for r in rows]), copies, shards
+
+    def _found(self, vectors: np.ndarray, own: np.ndarray, shards: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For some queries at a time: the first one's place, the pairs found, but for a vector and itself, and the queries' links."""
+        for a in range(0, len(vectors), QUERY_ROWS):
+            asking = slice(a, a + QUERY_ROWS)
+            who, where = in_range(vectors[asking], own[asking], self.vectors, self.graph, self.start, self.threshold)
+            other = own[a + who] != where
+            who, where = who[other], where[other]
+            links = np.zeros(len(vectors[asking]), np.int64)
+            for at in range(0, len(who), CELLS):
+                x, y = who[at:at + CELLS], where[at:at + CELLS]
+                # the pair belongs to the first shard that both have
+                first = np.full(len(x), np.iinfo(np.int64).max)
+                for mine in shards[a + x].T:
+                    both = (self.shards[y] == mine[:, None]).any(1)
+                    first[both] = np.minimum(first[both], mine[both])
+                np.add.at(links, x[first == self.shard], self.copies[y[first == self.shard]])
+            yield a, who, where, links
+
+    def guests(self, rows: pa.RecordBatch) -> pa.RecordBatch:
+        """Vectors of other parts: what one of them finds is joined, and it hangs on the first of these."""
+        self._build()
+        nodes, vectors, _, shards = self._unpacked([rows])
+        links, to = np.zeros(len(nodes), np.int64), nodes.copy()
+        if len(self.nodes):
+            for a, who, where, some in self._found(vectors, np.full(len(nodes), -1), shards):
+                links[a:a + QUERY_ROWS] = some
+                asking, first = np.unique(who, return_index=True)
+                to[a + asking] = self.nodes[where[first]]
+                self.label = merged(self.label, where, where[first][np.searchsorted(asking, who)])
+        return self._result(nodes, links, to)
+
+    def own(self) -> pa.RecordBatch:
+        self._build()
+        links = np.zeros(len(self.nodes), np.int64)
+        for a, who, where, some in self._found(self.vectors, np.arange(len(self.nodes)), self.shards):
+            links[a:a + QUERY_ROWS] = some
+            self.label = merged(self.label, a + who, where)
+        return self._result(self.nodes, links, self.nodes[self.label])
+
+    @staticmethod
+    def _result(nodes: np.ndarray, links: np.ndarray, to: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(to)], ["node", "links", "joined"])
 
 
 def near_duplicate_vectors(table: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id",

@@ -4,10 +4,12 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -517,3 +519,32 @@ def test_near_vectors_in_parts(spark, monkeypatch):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = near_vectors.near_duplicate_vectors(df).collect()
     assert {r.component_id for r in got} == {0} and sum(r.n_links for r in got) >= 0.98 * 200 * 199
+
+
+def test_near_vectors_hold_little_in_dense_parts():
+    r = np.random.default_rng(8)
+    hot = r.standard_normal(16)
+    x = np.array([near_vectors.unit(v) for v in np.r_[hot + 0.05 * r.standard_normal((1700, 16)), r.standard_normal((300, 16))]])
+    role = np.r_[np.zeros(1000, int), np.ones(700, int), np.zeros(200, int), np.ones(100, int)]
+    order = np.argsort(role, kind="stable")
+    x, role, own = x[order], role[order], int((role == 0).sum())
+    tracemalloc.start()
+    graph = near_vectors.pruned_graph(np.r_[x, x[:1000] + 0.01 * r.standard_normal((1000, 16))])
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    graph = near_vectors.pruned_graph(x[:own])
+    rows = pa.RecordBatch.from_pydict({
+        "shard": [5] * len(x), "part": [0] * len(x), "role": role.tolist(), "node": list(range(len(x))), "data": [v.tobytes() for v in x],
+        "copies": [2] * len(x), "shards": [[3 if i % 2 else 4, 5] for i in range(len(x))],
+        "near": [n.tolist() for n in graph] + [None] * (len(x) - own)})
+    tracemalloc.reset_peak()
+    got = [row for batch in near_vectors.searched(iter([rows.slice(0, 700), rows.slice(700)]), 0.9) for row in batch.to_pylist()]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    near = x @ x[:own].T >= 0.9
+    near[np.arange(own), np.arange(own)] = False
+    ours = near & (np.arange(len(x))[:, None] % 2 != np.arange(own) % 2)  # the others have a shard before this one in common
+    assert near.sum() > 1_500_000 and len(got) == len(x)
+    links = {row["node"]: row["links"] for row in got}
+    assert sum(links.values()) >= 0.99 * 2 * ours.sum() and all(links[i] <= 2 * n for i, n in enumerate(ours.sum(1).tolist()))
+    of = components_of(range(len(x)), [(row["node"], row["joined"]) for row in got])
+    assert len({of[i] for i in range(len(x)) if near[i].any()}) == 1
