@@ -84,6 +84,17 @@ def test_overlap_rows_are_not_summed_at_the_end(spark, monkeypatch):
     assert {(r.query_id, r.book_id, r.score) for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_overlap_rows_are_written_in_few_bytes(spark, tmp_path):
+    books = spark.range(400).select(F.col("id").alias("book_id"), F.format_string("w%d red", F.col("id") % 40).alias("title"))
+    books = books.withColumns({c: F.lit(None).cast("string") for c in ("author", "category", "summary")})
+    asked = spark.range(6000).select((F.col("id") * 7919 % 6007).alias("query_id"), F.format_string("red k%d", F.col("id") % 5).alias("query"))
+    path = tmp_path / "rows"
+    keywords.overlap_scores(asked, books).write.parquet(str(path))
+    got = spark.read.parquet(str(path))
+    assert got.count() == 400 * 6000 == got.distinct().count() and got.select("score").distinct().collect() == [(1,)]
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 0.5 * 400 * 6000
+
+
 def test_block_lists_are_made_and_chosen_where_the_postings_lie(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"common common w{i % 7}") for i in range(60)], "doc_id long, text string")
     asked = spark.createDataFrame([(q, f"common w{q}") for q in range(3)], "query_id long, query string")
