@@ -95,6 +95,42 @@ def test_overlap_rows_are_written_in_few_bytes(spark, tmp_path):
     assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 0.5 * 400 * 6000
 
 
+def test_sums_of_few_query_terms_meet_where_the_postings_are(spark):
+    docs = spark.createDataFrame([(i, f"common common w{i % 7}" if i % 9 else None) for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"common w{q} w{q}") for q in range(3)], "query_id long, query string")
+    index = bm25.build_index(docs)
+    want = sorted(bm25.scores(asked, index).collect())
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = bm25.scores(asked, index)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") <= 2 and sorted(got.collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(want) == 3 * sum(1 for i in range(60) if i % 9)
+
+
+def test_postings_count_the_words_of_long_and_empty_texts(spark):
+    texts = [None, "", " \t", "a b\u2003a\x85A", *(" ".join(f"w{j % (i + 1)}" for j in range(5000)) for i in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in bm25.postings(docs).collect())
+    assert got == sorted((i, len(t.split()), w, t.split().count(w)) for i, t in enumerate(texts) if t for w in set(t.split()))
+
+
+def test_a_long_title_is_inverted_in_one_pass(spark, tmp_path):
+    import time
+
+    from ragspark.registry import flow_queries
+    text = " ".join(f"w{i % 9000}" for i in range(20_000))
+    spark.createDataFrame([(i, text if i < 8 else None if i == 8 else "", "s") for i in range(10)], "doc_id long, text string, source string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, "x") for i in range(3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    began = time.time()
+    got = {r.doi: r.abstract for r in flow_queries._source_rows(spark, str(tmp_path))[1].select("doi", "abstract").collect()}
+    assert got == {f"10.9/{i}": text if i < 8 else "" for i in range(10)} and time.time() - began < 30
+
+
 def test_block_lists_are_made_and_chosen_where_the_postings_lie(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"common common w{i % 7}") for i in range(60)], "doc_id long, text string")
     asked = spark.createDataFrame([(q, f"common w{q}") for q in range(3)], "query_id long, query string")
